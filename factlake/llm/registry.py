@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .chat_format import OP7_SQL, op7_chat_format
+from .quality import OP5_SQL, op5_quality_rules
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_chat_format": op7_chat_format,
 }
 
 ORACLES = {
+    "op5_quality_rules": OP5_SQL,
     "op7_chat_format": OP7_SQL,
 }
