@@ -138,9 +138,10 @@ def certified(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: floa
     )
     tests = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, _, _, c) in enumerate(grid)]
     strata = clean.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), stratum), F.lit("n"))).alias("strata"))
-    long = sums.join(F.broadcast(strata)).select(stratum, "n", "strata", F.explode(F.array(*tests)).alias("g"))
+    n_tests = strata.first()[0] * len(tests)
+    long = sums.select(stratum, "n", F.explode(F.array(*tests)).alias("g"))
     tail = binomial_tail(F.col("n"), F.col("g.k"), risk / len(RULES))
-    safe = long.where(tail * F.col("strata") * len(tests) <= alpha)
+    safe = long.where(tail * n_tests <= alpha)
     cuts = [F.min(F.when(F.col("g.rule") == rule, F.col("g.cutoff"))).alias(f"cut_{rule}") for rule in RULES]
     return safe.groupBy(stratum).agg(*cuts)
 
