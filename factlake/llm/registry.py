@@ -5,14 +5,17 @@ from __future__ import annotations
 from .chat_format import OP7_SQL, op7_chat_format
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .quality import OP5_SQL, op5_quality_rules
+from .shingle_join import OP3_SQL, op3_shingle_join
 
 QUERIES = {
+    "op3_shingle_join": op3_shingle_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_chat_format": op7_chat_format,
 }
 
 ORACLES = {
+    "op3_shingle_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_chat_format": OP7_SQL,
