@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .chat_format import OP7_SQL, op7_chat_format
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .mixing import OP1_SQL, op1_source_mixing
+from .packing import op2_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .shingle_join import OP3_SQL, op3_shingle_join
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_packing": op2_packing,
     "op3_shingle_join": op3_shingle_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
@@ -15,6 +19,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_source_mixing": OP1_SQL,
     "op3_shingle_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
