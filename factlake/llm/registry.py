@@ -8,8 +8,10 @@ from .mixing import OP1_SQL, op1_source_mixing
 from .packing import op2_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .shingle_join import OP3_SQL, op3_shingle_join
+from .vector_join import OP9_SQL, op9_vector_join
 
 QUERIES = {
+    "op9_vector_join": op9_vector_join,
     "op1_source_mixing": op1_source_mixing,
     "op2_packing": op2_packing,
     "op3_shingle_join": op3_shingle_join,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op9_vector_join": OP9_SQL,
     "op1_source_mixing": OP1_SQL,
     "op3_shingle_join": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
