@@ -9,8 +9,10 @@ from .packing import op2_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .shingle_join import OP3_SQL, op3_shingle_join
 from .vector_join import OP9_SQL, op9_vector_join
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op8_warc": op8_warc,
     "op9_vector_join": op9_vector_join,
     "op1_source_mixing": op1_source_mixing,
     "op2_packing": op2_packing,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_warc": OP8_SQL,
     "op9_vector_join": OP9_SQL,
     "op1_source_mixing": OP1_SQL,
     "op3_shingle_join": OP3_SQL,
