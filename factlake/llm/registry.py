@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP7_SQL, op7_chat_format
 from .html_text import op6_html_text
+from .language_model import op10_language_model
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import OP1_SQL, op1_source_mixing
 from .packing import op2_packing
@@ -13,6 +14,7 @@ from .vector_join import OP9_SQL, op9_vector_join
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op10_language_model": op10_language_model,
     "op6_html_text": op6_html_text,
     "op8_warc": op8_warc,
     "op9_vector_join": op9_vector_join,
