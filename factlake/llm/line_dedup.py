@@ -172,6 +172,15 @@ def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return docs.join(maps, key, "left").drop("_doc", "_mark").mapInArrow(cut, out)
 
 
+def without_copied_lines(docs: DataFrame) -> DataFrame:
+    """docs with text cut and n_chars anew. A document of which all long lines are kept by others
+    is a copy of them and goes; so what is left of a text is never short scraps alone."""
+    out = kept_text(docs, keep_bitmaps(docs)).where("_n_dropped = 0 or _n_long_left > 0")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = kept_text(docs, keep_bitmaps(docs))

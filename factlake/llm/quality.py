@@ -150,20 +150,32 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _with_cuts(counts: DataFrame, labelled: DataFrame, labels: DataFrame, risk: float, alpha: float) -> DataFrame:
+    """counts (_stratum, COUNTS, others) with base_failed and kept, by cutoffs from labelled."""
+    marked = labels.select("doc_id", "quality").join(labelled, "doc_id")
+    cuts = certified(marked, "_stratum", risk, alpha).withColumnRenamed("_stratum", "_of")
+    hit = F.lit(False)
+    for rule, (a, b) in RULES.items():
+        hit = hit | F.coalesce(1000 * F.col(a) > F.col(f"cut_{rule}") * F.col(b), F.lit(False))
+    judged = counts.join(cuts, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~hit)
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs (doc_id, lang, text).
 
     The counts are written once; the labels and the verdicts both read them, not the texts.
     """
     counts = stored(measured(docs.select("doc_id", F.col("lang").alias("_stratum"), "text")), "quality")
-    marked = labels.select("doc_id", "quality").join(counts, "doc_id")
-    cuts = certified(marked, "_stratum", risk, alpha).withColumnRenamed("_stratum", "_of")
-    hit = F.lit(False)
-    for rule, (a, b) in RULES.items():
-        hit = hit | F.coalesce(1000 * F.col(a) > F.col(f"cut_{rule}") * F.col(b), F.lit(False))
-    judged = counts.join(cuts, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
-    judged = judged.withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~F.col("base_failed") & ~hit).drop("_stratum", "_of", *[f"cut_{r}" for r in RULES])
+    return _with_cuts(counts, counts, labels, risk, alpha).select("doc_id", *COUNTS, "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
+    """The rows of docs (doc_id, lang, text, any others) that judge() keeps. Texts are measured
+    twice, for cutoffs and for verdicts, which is less than to shuffle them."""
+    counts = stored(measured(docs.select("doc_id", F.col("lang").alias("_stratum"), "text")), "quality")
+    rows = measured(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("_stratum"), "text"))
+    return _with_cuts(rows, counts, labels, risk, alpha).where("kept").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
