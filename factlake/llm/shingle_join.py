@@ -6,13 +6,13 @@ multiplied, slab of columns by slab, with overlap counts accumulated and tested
 
 1. Sets. Each text becomes its set of 64-bit shingle hashes. Equal sets form one class, which a
    group of exact copies of any size thereby is; the join is between classes.
-2. Prefixes. Two sets of n and m shingles link only if they share 4/9 (n + m); so they share one
-   of their n - ceil(4n/5) + 1 smallest. Classes that share none with any other are done. The
-   others' sets are read again.
-3. Blocks. Shingles that many classes have in their prefixes are put last in the order, after
-   which a class shares k of its n - ceil(4n/5) + k first with any partner (k: n/20). Classes that
-   share fewer, also with what frequent shingles may add, cannot link. What remains are small
-   candidate groups; groups that share a frequent shingle are tied by a star, not by pairs.
+2. Prefixes. Two sets of n and m shingles link only if they share 4/9 (n + m); so, in any common
+   order, they share k of their n - ceil(4n/5) + k first (k: a twentieth of the smaller). Classes
+   that share fewer of their smallest hashes with all others together are done. The others' sets
+   are made again.
+3. Blocks. Shingles that many classes have in their prefixes are now put last in the order. Pairs
+   that share fewer than k, also with what frequent shingles may add, cannot link. What remains
+   are small candidate groups; classes that share a frequent shingle are tied by a star, not by pairs.
 4. Product. A group of at most BLOCK classes is one block. A larger one is cut by hash twice over,
    blocks are multiplied, and their links merged; classes that then are outside the group's
    largest component are multiplied with all of the group, block by block. So no link is lost,
@@ -41,8 +41,8 @@ from .graph import components
 WIDTH = 5
 #: Classes in a block of the product, columns in a slab, and when a shingle counts as frequent.
 BLOCK, SLAB, FREQUENT = 256, 8192, 24
-#: Bits of the map of frequent shingles, whatever their number.
-HOT_BITS = 22
+#: Bits of the maps of frequent shingles and of documents to read again, whatever their numbers.
+HOT_BITS, DOC_BITS = 22, 24
 _LOWEST = -(2**63)
 
 
@@ -93,14 +93,14 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(
             n=[len(s) for s in sets],
             key=[_class(s) for s in sets],
-            prefix=[s[: _prefix(len(s), 1)].tobytes() if len(s) else b"" for s in sets],
+            prefix=[s[: _prefix(len(s), max(1, len(s) // 20))].tobytes() if len(s) else b"" for s in sets],
         )
 
 
 def _dealt(bins: int):
-    """Prefixes as blobs by bin of the hash. A batch sends a hash once, with the number of its
-    classes; where it has several, these are reported at once. So a hash in a third of all
-    prefixes is a row per batch. Rows: bin -1 holds classes that have company."""
+    """Prefixes as blobs by bin of the hash. A batch sends a hash once: where several of its classes
+    have it, these are told so at once (rows of negative bins: classes and counts), and the hash
+    goes on without owner. So a hash in a third of all prefixes is one entry per batch."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,46 +112,48 @@ def _dealt(bins: int):
             h, owner = h[order], owner[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             count = np.diff(np.r_[first, len(h)])
-            many = np.repeat(count > 1, count)
-            rows = [(-1, b"", b"", np.unique(owner[many]).tobytes())] if many.any() else []
+            key, times = np.unique(owner[np.repeat(count > 1, count)], return_counts=True)
+            rows = [(-1 - int(h[0] % np.uint64(bins)), b"", times.astype(np.int32).tobytes(), key.tobytes())] if len(key) else []
             h, owner, count = h[first], owner[first], np.minimum(count, 255).astype(np.uint8)
-            to = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(bins)
-            order = np.argsort(to, kind="stable")
+            to = (h & np.uint64(0xFFFFFFFF)) % np.uint64(bins)
+            order = np.lexsort((owner, to))  # by owner within a bin, which compresses
             ends = np.searchsorted(to[order], np.arange(bins + 1))
             for b in range(bins):
                 at = order[ends[b] : ends[b + 1]]
                 if len(at):
-                    rows.append((b, h[at].tobytes(), count[at].tobytes(), owner[at].tobytes()))
+                    rows.append((b, (h[at] >> np.uint64(32)).astype(np.uint32).tobytes(), count[at].tobytes(), owner[at].tobytes()))
             yield pd.DataFrame(rows, columns=["bin", "h", "c", "owner"])
 
     return deal
 
 
 def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a bin: the classes that share a hash, and the hashes that more than FREQUENT share."""
-    h = np.frombuffer(b"".join(rows["h"]), np.uint64)
+    """Of a bin: how many of its hashes each class shares with others, and where in the map of
+    frequent shingles those fall that more than FREQUENT share. Halves of hashes are compared:
+    a chance match only lets a class be looked at more closely."""
+    if rows["bin"].iloc[0] < 0:
+        key, times = np.frombuffer(b"".join(rows["owner"]), np.int64), np.frombuffer(b"".join(rows["c"]), np.int32)
+        return pd.DataFrame({"hot": False, "value": key, "shared": times})
+    h = np.frombuffer(b"".join(rows["h"]), np.uint32)
     count = np.frombuffer(b"".join(rows["c"]), np.uint8)
     owner = np.frombuffer(b"".join(rows["owner"]), np.int64)
     order = np.argsort(h, kind="stable")
     h, count, owner = h[order], count[order], owner[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    runs = np.diff(np.r_[first, len(h)])
-    total = np.add.reduceat(count.astype(np.int64), first) if len(first) else runs
-    shared = np.unique(owner[np.repeat(runs > 1, runs)])
-    hot = _signed(h[first[total > FREQUENT]])
-    return pd.DataFrame({"hot": np.r_[np.zeros(len(shared), bool), np.ones(len(hot), bool)], "value": np.r_[shared, hot]})
-
-
-def _hot_map(hot: DataFrame) -> np.ndarray:
-    """A fixed number of bits, set where a frequent hash falls. Any such map gives exact results,
-    since all sets are ordered by the same one; a full map only orders them less well."""
-    slot = (F.shiftrightunsigned("value", 64 - HOT_BITS) + 1).cast("bigint")
-    parts = hot.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    bits = np.zeros(1 << HOT_BITS, bool)
-    for b, part in parts.collect():  # at most 2 ** HOT_BITS bits
-        one = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")
-        bits[(b - 1) * 32768 : b * 32768] = one[: len(bits)]
-    return np.packbits(bits)
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    total = np.add.reduceat(count.astype(np.int64), first)
+    key, times = np.unique(owner[(np.repeat(total, np.diff(np.r_[first, len(h)])) > 1) & (count == 1)], return_counts=True)
+    hot = np.unique(h[first[total > FREQUENT]] >> np.uint32(32 - HOT_BITS)).astype(np.int64)
+    return pd.DataFrame({"hot": np.r_[np.zeros(len(key), bool), np.ones(len(hot), bool)], "value": np.r_[key, hot], "shared": np.r_[times, np.zeros(len(hot), int)].astype(np.int32)})
+
+
+def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2 ** bits bits, set at the column `slot`; its size is fixed, whatever the rows."""
+    at = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    out = np.zeros(1 << bits, bool)
+    for b, part in parts.collect():  # at most 2 ** (bits - 15) rows
+        out[(b - 1) * 32768 : b * 32768] = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")
+    return np.packbits(out)
 
 
 def _entries(hot: np.ndarray):
@@ -277,31 +279,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows.select("doc", "text").mapInPandas(_classes, "doc bigint, n int, key bigint, prefix binary"),
         "classes",
     )
-    classes = read.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") != _LOWEST, F.col("doc"))).alias("least"), F.count("*").alias("n_copies"))
+    classes = read.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") != _LOWEST, F.col("doc"))).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"))
     prefixes = read.where("n > 0").groupBy("key").agg(F.first("prefix").alias("prefix"))
     total = read.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, total / 500_000))
     blobs = prefixes.mapInPandas(_dealt(bins), "bin int, h binary, c binary, owner binary")
-    blobs = stored(blobs, "prefixes")
-    met = stored(blobs.where("bin >= 0").groupBy("bin").applyInPandas(_met, "hot boolean, value bigint"), "met")
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": np.frombuffer(b"".join(batch["owner"]), np.int64)})
-
-    early = blobs.where("bin < 0").select("owner").mapInPandas(unpack, "key bigint")
-    active = early.union(met.where("not hot").select(F.col("value").alias("key"))).distinct()
-    chosen = classes.join(active, "key").select("key", "doc")
+    met = stored(blobs.groupBy("bin").applyInPandas(_met, "hot boolean, value bigint, shared int"), "met")
+    shared = met.where("not hot").groupBy(F.col("value").alias("key")).agg(F.sum("shared").alias("shared"))
+    chosen = stored(classes.join(shared, "key").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * 4 / 5) / 20))).select("key", "doc"), "chosen")
+    slot = F.shiftrightunsigned(F.xxhash64("doc"), 64 - DOC_BITS)
+    wanted = _bit_map(chosen.select(slot.alias("slot")), DOC_BITS)
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), np.unpackbits(wanted).astype(bool)
         for batch in batches:
-            found = [shingles(t, hashes) for t in batch["text"]]
+            found = [shingles(t, hashes) for t in batch["text"][bits[batch["slot"].to_numpy()]]]
             yield pd.DataFrame({"key": [_class(s) for s in found], "n": [len(s) for s in found], "shingles": [s.tobytes() for s in found]})
 
-    again = rows.select("doc", "text").join(chosen.select("doc").distinct(), "doc", "left_semi").select("text")
-    sets = stored(again.mapInPandas(sets_of, "key bigint, n int, shingles binary").where("n > 0").dropDuplicates(["key"]), "sets")
-    linked = link_classes(sets, _hot_map(met.where("hot")))
+    again = rows.select(slot.alias("slot"), "text").mapInPandas(sets_of, "key bigint, n int, shingles binary")
+    sets = stored(again.join(chosen.select("key"), "key", "left_semi"), "sets")
+    linked = link_classes(sets, _bit_map(met.where("hot").select(F.col("value").alias("slot")), HOT_BITS))
 
     named = classes.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -317,6 +314,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without rows whose component has a smaller doc_id. Rows without a doc_id stay."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id")
