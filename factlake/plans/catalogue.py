@@ -1,4 +1,8 @@
 """Every query of the library with its SQL counterpart."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import analytics
+
+QUERIES: dict = {**analytics.QUERIES}
+ORACLES: dict = {**analytics.ORACLES}
