@@ -28,6 +28,8 @@ from .common import SPACE, stored, table
 #: Of the largest possible entropy; epochs of any source; blocks of all sources; of the hashes.
 ENTROPY, REPEATS, BLOCKS, SEED = 0.95, 4.0, 4096, 17
 _ROUNDS = 60
+#: A table of sources is broadcast up to so many rows, else joined by shuffling.
+SMALL = 100_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -96,6 +98,8 @@ def plan(counted: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
             own = max(n, math.floor(w * tokens + 1e-6)) if whole else math.floor(w * tokens)
             rows.append((s, w, own, own // n, own % n, max(1, math.ceil(BLOCKS * n / total))))
     by_source = spark.createDataFrame(rows, "_s string, weight double, budget bigint, epochs bigint, rest bigint, _blocks bigint")
+    if len(rows) <= SMALL:
+        by_source = F.broadcast(by_source)
     placed = counted.join(by_source, "_s").withColumn("_b", F.col("_h") % F.col("_blocks"))
     blocks = placed.groupBy("_s", "_b", "_blocks", "weight", "budget", "epochs", "rest").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("_s").orderBy(_hash(F.col("_s"), F.col("_b")), "_b")
@@ -112,6 +116,8 @@ def plan(counted: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
 
 def _copies(keyed: DataFrame, blocks: DataFrame) -> DataFrame:
     of = blocks.select("_s", "_blocks").distinct()
+    if of.count() <= SMALL:
+        of = F.broadcast(of)
     placed = keyed.join(of, "_s").withColumn("_b", F.col("_h") % F.col("_blocks")).drop("_blocks")
     copies = F.col("epochs") + (F.col("_h") <= F.col("_upto")).cast("bigint")
     return placed.join(blocks, ["_s", "_b"]).withColumn("_copies", copies)
