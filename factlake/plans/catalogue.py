@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics
+from . import analytics, text_queries
 
-QUERIES: dict = {**analytics.QUERIES}
-ORACLES: dict = {**analytics.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **text_queries.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **text_queries.ORACLES}
