@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-TTL_SECONDS, HISTORY = 30 * 60, 5
+TTL_SECONDS, HISTORY, LATE = 30 * 60, 5, "1 hour"
 RESULT = "user_id bigint, event_id bigint, session_no int, turn_no int, history string, expired boolean"
 STATE = "last_ts double, session_no int, turn_no int, history string"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A user's events in order. More than TTL_SECONDS of silence, or a reset, begins a new session;
-    the state is four scalars, and dropped when it times out."""
+    the state is four scalars, and dropped when the watermark passes its end."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -31,13 +31,15 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         turn, kept, last = turn + 1, [*kept, e.event_type][-HISTORY:], at
         rows.append((key[0], e.event_id, session, turn, ",".join(kept), expired))
     state.update((last, session, turn, ",".join(kept)))
-    state.setTimeoutDuration(TTL_SECONDS * 1000)
+    state.setTimeoutTimestamp(max(int((last + TTL_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(rows, columns=["user_id", "event_id", "session_no", "turn_no", "history", "expired"])
 
 
 def session_states(events: DataFrame) -> DataFrame:
-    """events (a stream: user_id, event_id, ts, event_type) to each event's place in its session."""
-    return events.groupBy("user_id").applyInPandasWithState(_advance, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """events (a stream: user_id, event_id, ts, event_type) to each event's place in its session.
+    Events more than LATE behind the latest of earlier batches are left out."""
+    grouped = events.withWatermark("ts", LATE).groupBy("user_id")
+    return grouped.applyInPandasWithState(_advance, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
