@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from .common import stored, table
 
 LENGTH, END = 4096, 2
 #: Bytes of text that are turned into words at once, and words remembered by a task.
-SLICE, REMEMBERED = 1 << 20, 500_000
+SLICE, REMEMBERED = 1 << 20, 700_000
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -33,7 +34,8 @@ class WordTokens:
     """Ids of texts, word by word.
 
     Sound where the tokenizer never looks across ASCII white space and drops it, as one does whose
-    pre-tokenizer keeps letters, digits or signs only; tests hold it against whole texts.
+    pre-tokenizer keeps runs of letters, digits or signs only, and marks the ends of runs; tests hold
+    it against whole texts.
     """
 
     class _Index(dict):
@@ -47,6 +49,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters or signs
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -54,18 +59,36 @@ class WordTokens:
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.index.new = []
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _plain(self, words: list[str], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words known to be one run of letters, or that and a sign: they are encoded
+        as lines of text, and cut where runs end. If there are other runs than thought, word by word."""
+        lines = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+        ends = np.flatnonzero(self.ends[ids])
+        if not len(words) or len(ends) != runs.sum():
+            return self._encoded(words)
+        return ids, np.diff(np.r_[0, ends[np.cumsum(runs) - 1] + 1])
+
     def _learn(self, first: int) -> None:
-        new, self.index.new = self.index.new, []
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        ids = np.array([i for x in found for i in x], np.uint32)
+        """Ids of the words met for the first time, from place `first` on."""
+        new, self.index.new = [w.decode() for w in self.index.new], []
+        runs = np.array([1 if w.isalpha() else 2 if w[-1] in ",.;:!?" and w[:-1].isalpha() else 0 for w in new])
+        plain, other = np.flatnonzero(runs > 0), np.flatnonzero(runs == 0)
+        parts = self._plain([new[i] for i in plain], runs[plain]), self._encoded([new[i] for i in other])
+        at = np.r_[plain, other]
+        ids, size = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         while len(self.start) < first + len(new):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
         while len(self.flat) < self.used + len(ids):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[first : first + len(new)] = self.used + np.cumsum(size) - size
-        self.size[first : first + len(new)] = size
+        self.start[first + at] = self.used + np.cumsum(size) - size
+        self.size[first + at] = size
         self.used += len(ids)
 
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,17 +136,30 @@ class WordTokens:
         return np.split(ids, ends[:-1])
 
 
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> WordTokens:
+    """One of a process, so that tasks that run one after another share the words they know."""
+    return WordTokens(path)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """doc_id, part, before, n, ids: each document's ids, the task that read it, and the ids that
     the task had made before. ids: little-endian unsigned 32-bit. Written once."""
 
+    columns = ["doc", "part", "before", "n", "ids"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, part, before = WordTokens(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, before = _tokens(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.append(x, np.uint32(end)).astype("<u4") for x in tokens.encode(batch.pop("text"))]
-            n = np.array([len(x) for x in ids], np.int64)
-            yield batch.assign(part=part, before=before + np.cumsum(n) - n, n=n, ids=[x.tobytes() for x in ids])
-            before += int(n.sum())
+            docs_of, rows, held = iter(batch["doc"]), [], 0
+            for ids in tokens.encode(batch["text"]):
+                n = len(ids) + 1
+                rows.append((next(docs_of), part, before, n, np.append(ids, np.uint32(end)).astype("<u4").tobytes()))
+                before, held = before + n, held + n
+                if held >= SLICE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     # a null doc_id would turn its batch's numbers into doubles, so ids travel as text
     out = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(run, "doc string, part int, before bigint, n bigint, ids binary")

@@ -12,10 +12,11 @@ multiplied, slab of columns by slab, with overlap counts accumulated and tested
    are made again.
 3. Blocks. Shingles that many classes have in their prefixes are now put last in the order. Pairs
    that share fewer than k, also with what frequent shingles may add, cannot link. What remains
-   are small candidate groups; classes that share a frequent shingle are tied by a star, not by pairs.
-4. Product. A group of at most BLOCK classes is one block. A larger one is cut by hash twice over,
-   blocks are multiplied, and their links merged; classes that then are outside the group's
-   largest component are multiplied with all of the group, block by block. So no link is lost,
+   are small candidate groups. Classes that consist of frequent shingles to four fifths, without
+   which these alone make no link, are tied by a star for each such shingle, not by pairs.
+4. Product. A group of at most BLOCK classes is one block. A larger one is cut by size and by
+   hash, blocks are multiplied, and their links merged; classes that then are outside the group's
+   largest component are multiplied with all of the group, block by block, where sizes allow links. So no link is lost,
    and no group emits its pairs: a block returns a spanning forest of its links.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -157,24 +158,25 @@ def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
 
 
 def _entries(hot: np.ndarray):
-    """The first shingles of each set in the common order, rare ones first."""
+    """The first shingles of each set in the common order, rare ones first. late: those that the
+    map puts last; lates: their number in the whole set; whole: all rare ones are among the first."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.unpackbits(hot).astype(bool)
         for batch in batches:
-            heads = []
+            heads, flags, lates, whole = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [], []
             for blob in batch["shingles"]:
                 s = np.frombuffer(blob, np.uint64)
                 late = bits[s >> np.uint64(64 - HOT_BITS)]
-                heads.append(np.r_[s[~late], s[late]][: _prefix(len(s), max(1, len(s) // 20))])
-            size = [len(x) for x in heads]
-            yield pd.DataFrame(
-                {
-                    "hash": _signed(np.concatenate([np.zeros(0, np.uint64), *heads])),
-                    "key": np.repeat(batch["key"].to_numpy(), size),
-                    "n": np.repeat(batch["n"].to_numpy(), size),
-                }
-            )
+                size, rare = _prefix(len(s), max(1, len(s) // 20)), int((~late).sum())
+                heads.append(np.r_[s[~late], s[late]][:size])
+                flags.append(np.arange(len(heads[-1])) >= rare)
+                lates.append(len(s) - rare)
+                whole.append(rare <= size)
+            size = [len(x) for x in heads[1:]]
+            each = {"key": batch["key"].to_numpy(), "n": batch["n"].to_numpy(), "lates": np.array(lates, np.int32), "whole": np.array(whole, bool)}
+            frame = pd.DataFrame({k: np.repeat(v, size) for k, v in each.items()})
+            yield frame.assign(hash=_signed(np.concatenate(heads)), late=np.concatenate(flags))
 
     return entries
 
@@ -217,54 +219,68 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": key[moved], "b": key[label[moved]]})
 
 
-def _slot(key: str, salt: int, slots: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), key), slots).cast("int")
-
-
 def _multiply(blocks: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
     return blocks.join(sets.select("key", "shingles"), "key").groupBy(*by).applyInPandas(_forest, "a bigint, b bigint")
 
 
 def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     """(node, root) for every class of sets (key, n, shingles) that links with another."""
-    entries = stored(sets.mapInPandas(_entries(hot), "hash bigint, key bigint, n int"), "entries")
+    entries = stored(sets.mapInPandas(_entries(hot), "key bigint, n int, lates int, whole boolean, hash bigint, late boolean"), "entries")
     counts = entries.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
     shared = stored(entries.join(counts, "hash"), "shared")
-    often = shared.where(F.col("c") > FREQUENT)
-    least = often.groupBy("hash").agg(F.min("key").alias("b"))
-    star = often.join(least, "hash").select(F.col("key").alias("a"), "b").distinct()
-
-    often_in = often.groupBy("key").agg(F.count("*").alias("often"))
-    rare = shared.where(F.col("c") <= FREQUENT).drop("c").join(often_in, "key", "left")
-    x, y = (rare.select("hash", *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n", "often")]) for i in "ab")
+    often = shared.where(F.col("late") | (F.col("c") > FREQUENT))
+    # of a class: first shingles that are frequent, and all shingles that no small bucket counts
+    in_often = often.groupBy("key").agg(F.count("*").alias("often"), F.count_if(~F.col("late")).alias("early"))
+    known = stored(entries.groupBy("key").agg(F.first("n").alias("n"), F.first("lates").alias("lates"), F.first("whole").alias("whole")), "known")
+    known = known.join(in_often, "key", "left").select(
+        "key", "n", "whole", F.coalesce("often", F.lit(0)).alias("often"), (F.col("lates") + F.coalesce("early", F.lit(0))).alias("uncounted")
+    )
+    known = stored(known, "known")
+
+    # classes that may link by frequent shingles alone: with enough of them among the first, and,
+    # where all rare ones are known to differ, in the whole set
+    least_k = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * 4 / 5) / 20))
+    alone = known.where((F.col("often") >= least_k) & (~F.col("whole") | (5 * F.col("uncounted") >= 4 * F.col("n"))))
+    tied = often.join(alone.select("key"), "key", "left_semi").select("hash", "key")
+    least = tied.groupBy("hash").agg(F.min("key").alias("b"))
+    star = tied.join(least, "hash").select(F.col("key").alias("a"), "b").distinct()
+
+    rare = shared.where(~F.col("late") & (F.col("c") <= FREQUENT)).select("hash", "key", "n")
+    x, y = (rare.select("hash", *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n")]) for i in "ab")
     near = (F.col("key_a") < F.col("key_b")) & (5 * F.col("n_a") >= 4 * F.col("n_b")) & (5 * F.col("n_b") >= 4 * F.col("n_a"))
-    least_n = F.least("n_a", "n_b")
-    extra = F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0)))
-    pairs = x.join(y, "hash").where(near).groupBy("key_a", "key_b").agg(F.count("*").alias("both"), F.max(F.greatest(F.lit(1), F.floor(least_n / 20)) - extra).alias("need"))
-    pairs = pairs.where("both >= need").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    pairs = x.join(y, "hash").where(near).groupBy("key_a", "key_b").agg(F.count("*").alias("both"))
+    for i in "ab":
+        pairs = pairs.join(known.select(*[F.col(c).alias(f"{c}_{i}") for c in known.columns]), f"key_{i}")
+    enough = F.col("both") + F.least("often_a", "often_b") >= F.greatest(F.lit(1), F.floor(F.least("n_a", "n_b") / 20))
+    possible = 9 * (F.col("both") + F.least("uncounted_a", "uncounted_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
+    pairs = pairs.where(enough & (~F.col("whole_a") | ~F.col("whole_b") | possible)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
     groups = components(star.union(pairs), "a", "b")
     size = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = stored(groups.select(F.col("node").alias("key"), "root").join(size, "root"), "groups")
-    slots = F.ceil(F.col("size") / BLOCK)
-    salts = F.when(F.col("size") <= BLOCK, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    cut = groups.withColumn("salt", F.explode(salts)).withColumn("slot", F.pmod(F.xxhash64("salt", "key"), slots).cast("int"))
-    first = stored(_multiply(cut, sets, "root", "salt", "slot"), "links")
+    groups = groups.select(F.col("node").alias("key"), "root").join(size, "root").join(known.select("key", "n"), "key")
+    by_size = Window.partitionBy("root").orderBy("n", "key")
+    small = groups.where(F.col("size") <= BLOCK).withColumn("slot", F.lit(0))
+    large = groups.where(F.col("size") > BLOCK).withColumn("slot", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
+    groups = stored(small.unionByName(large), "groups")
+    again = groups.where(F.col("size") > BLOCK).withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    cut = groups.withColumn("salt", F.lit(0)).unionByName(again.withColumn("salt", F.lit(1)))
+    first = stored(_multiply(cut.select("root", "salt", "slot", "key"), sets, "root", "salt", "slot"), "links")
     linked = components(first, "a", "b")
 
-    large = groups.where(F.col("size") > BLOCK)
-    large = large.join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
+    large = groups.where(F.col("size") > BLOCK).join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
     large = stored(large.withColumn("part", F.coalesce("part", "key")), "large")
-    parts = large.groupBy("root", "part").agg(F.count("*").alias("n"))
-    main = parts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    rest = main.where("`all` > most").select("root", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("rests"))
+    parts = large.groupBy("root", "part").agg(F.count("*").alias("in_part"))
+    main = parts.groupBy("root").agg(F.max_by("part", F.struct("in_part", "part")).alias("main"))
+    rest = large.join(main, "root").where("part <> main").select("root", "key", "n")
     if rest.isEmpty():
         return linked
-    large = large.join(rest, "root").withColumn("outside", F.col("part") != F.col("main"))
-    own, all_slots = _slot("key", 2, F.col("rests")), _slot("key", 3, F.ceil(F.col("size") / BLOCK))
-    counted = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
-    rows = large.select("root", "key", F.explode(counted(F.col("rests"))).alias("i"), all_slots.alias("j")).union(
-        large.where("outside").select("root", "key", own.alias("i"), F.explode(counted(F.ceil(F.col("size") / BLOCK))).alias("j"))
+    rest = stored(rest.withColumn("i", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")), "rest")
+    # blocks of the rest against blocks of all, both by size, where sizes allow a link
+    spans = lambda rows, slot, of: rows.groupBy("root", F.col(slot).alias(of)).agg(F.min("n").alias(f"{of}_from"), F.max("n").alias(f"{of}_to"))
+    fits = (5 * F.col("j_to") >= 4 * F.col("i_from")) & (5 * F.col("i_to") >= 4 * F.col("j_from"))
+    meet = stored(spans(rest, "i", "i").join(spans(large, "slot", "j"), "root").where(fits).select("root", "i", "j"), "meet")
+    rows = rest.join(meet, ["root", "i"]).select("root", "i", "j", "key").union(
+        large.select("root", F.col("slot").alias("j"), "key").join(meet, ["root", "j"]).select("root", "i", "j", "key")
     )
     more = _multiply(rows.distinct(), sets, "root", "i", "j")
     return components(first.union(stored(more, "links")), "a", "b")
