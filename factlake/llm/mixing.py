@@ -28,6 +28,8 @@ from .common import SPACE, stored, table
 #: Of the largest possible entropy; epochs of any source; blocks of all sources; of the hashes.
 ENTROPY, REPEATS, BLOCKS, SEED = 0.95, 4.0, 4096, 17
 _ROUNDS = 60
+#: Weights times budgets are often whole numbers but for the last digits of a double.
+ROUNDING = 1e-12
 #: A table of sources is broadcast up to so many rows, else joined by shuffling.
 SMALL = 100_000
 
@@ -88,14 +90,15 @@ def plan(counted: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS,
     sources = [(s, int(n)) for s, n in counted.groupBy("_s").agg(F.sum("n")).collect()]
     full = sorted((s, n) for s, n in sources if n)
     total = sum(n for _, n in full)
-    rows = [(s, 0.0, 0, 1, 0, 1) for s, n in sources if not n]
+    rows = [(s, 0.0, 0, 0, 0, 1) for s, n in sources if not n]  # the remainder of none takes them once
     if full:
         a = exponent([n for _, n in full], entropy, repeats, None if whole else budget * total)
         powers = [(n / total) ** a for _, n in full]
         weights = [x / sum(powers) for x in powers]
         tokens = max(n / w for (_, n), w in zip(full, weights, strict=True)) if whole else budget * total
         for (s, n), w in zip(full, weights, strict=True):
-            own = max(n, math.floor(w * tokens + 1e-6)) if whole else math.floor(w * tokens)
+            own = math.floor(w * tokens * (1 + ROUNDING) + 1e-6)
+            own = max(n, own) if whole else own
             rows.append((s, w, own, own // n, own % n, max(1, math.ceil(BLOCKS * n / total))))
     by_source = spark.createDataFrame(rows, "_s string, weight double, budget bigint, epochs bigint, rest bigint, _blocks bigint")
     if len(rows) <= SMALL:
@@ -181,7 +184,7 @@ WITH RECURSIVE d AS (
 ), w AS (
   SELECT s, n::BIGINT AS n, pow(p, a) / (SELECT sum(pow(p, a)) FROM p, f) AS w, greatest(1, ceil({BLOCKS} * p))::BIGINT AS blocks FROM p, f
   UNION ALL SELECT s, 0, 0, 1 FROM d GROUP BY s HAVING sum(n) = 0
-), v AS (SELECT s, n, w, floor(w * (SELECT sum(n) FROM t))::BIGINT AS budget, blocks FROM w
+), v AS (SELECT s, n, w, floor(w * (SELECT sum(n) FROM t) * (1 + {ROUNDING}) + 1e-6)::BIGINT AS budget, blocks FROM w
 ), k AS (SELECT d.*, w, budget, v.n AS total, h % blocks AS b FROM d JOIN v USING (s)
 ), g AS (SELECT s, b, sum(n)::BIGINT AS n, any_value(budget % greatest(total, 1)) AS rest FROM k GROUP BY ALL
 ), o AS (
@@ -191,6 +194,6 @@ WITH RECURSIVE d AS (
   SELECT k.*, rank, more, o.n AS held, sum(k.n) OVER (PARTITION BY k.s, k.b ORDER BY h) AS run FROM k JOIN o ON k.s = o.s AND k.b = o.b
 )
 SELECT doc_id, source, n::BIGINT AS n_tokens, round(w, 9) AS weight, budget AS source_budget, b AS block, rank::BIGINT AS block_rank,
-  (CASE WHEN total > 0 THEN budget // total ELSE 1 END + CASE WHEN more >= held THEN 1 WHEN more >= 0 AND run <= more THEN 1 ELSE 0 END)::BIGINT AS copies
+  (CASE WHEN total > 0 THEN budget // total ELSE 0 END + CASE WHEN more >= held THEN 1 WHEN more >= 0 AND run <= more THEN 1 ELSE 0 END)::BIGINT AS copies
 FROM r
 """
