@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes and rows of a batch that goes to Python, at most; a row with more is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: Rows of up to five numbers that are broadcast; beyond that Spark shuffles both sides.
+SMALL_ROWS = 500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python task holds at once, by bytes, so that long texts come few at a time."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = re.match(r"-?\d+", spark.conf.get(key))
+        if held is None or not 0 < int(held[0]) <= most:
+            spark.conf.set(key, most)
+
+
+def small(written: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of a few numbers a row: to be broadcast if its rows, counted, are few."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

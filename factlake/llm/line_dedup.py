@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
+#: Keys that a task holds before it writes them out.
+HELD = 100_000
 #: What kept_text adds.
 COUNTS = ("_n_lines", "_n_dropped", "_n_long_left")
 #: Stands for a null doc_id: below all others.
@@ -117,9 +119,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     docs: doc_id, text. `mark` is xxhash64 of the text, so that rows that share a doc_id are told
     apart; doc is the doc_id with null as LOWEST.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).cast("bigint").alias("doc"), F.xxhash64("text").alias("mark"), "text")
     lines = stored(rows.mapInPandas(_hashed(min_chars), "doc bigint, mark bigint, keys binary, at binary"), "lines")
-    folded = lines.where("length(keys) > 0").select("doc", "keys").mapInPandas(_folded(200_000), "key binary, docs bigint, top bigint")
+    folded = lines.where("length(keys) > 0").select("doc", "keys").mapInPandas(_folded(HELD), "key binary, docs bigint, top bigint")
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = folded.repartitionByRange(shares, "key").sortWithinPartitions("key", F.desc("top"))
     repeated = stored(dealt.mapInPandas(_runs(min_docs), "key binary, top bigint"), "repeated")
