@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small, small_batches, stored, table
 from .graph import components
 
 WIDTH = 5
@@ -220,7 +220,7 @@ def _forest(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _multiply(blocks: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
-    return blocks.join(sets.select("key", "shingles"), "key").groupBy(*by).applyInPandas(_forest, "a bigint, b bigint")
+    return sets.select("key", "shingles").join(small(blocks), "key").groupBy(*by).applyInPandas(_forest, "a bigint, b bigint")
 
 
 def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -259,12 +259,13 @@ def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     size = groups.groupBy("root").agg(F.count("*").alias("size"))
     groups = groups.select(F.col("node").alias("key"), "root").join(size, "root").join(known.select("key", "n"), "key")
     by_size = Window.partitionBy("root").orderBy("n", "key")
-    small = groups.where(F.col("size") <= BLOCK).withColumn("slot", F.lit(0))
+    few = groups.where(F.col("size") <= BLOCK).withColumn("slot", F.lit(0))
     large = groups.where(F.col("size") > BLOCK).withColumn("slot", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    groups = stored(small.unionByName(large), "groups")
+    groups = stored(few.unionByName(large), "groups")
     again = groups.where(F.col("size") > BLOCK).withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
     cut = groups.withColumn("salt", F.lit(0)).unionByName(again.withColumn("salt", F.lit(1)))
-    first = stored(_multiply(cut.select("root", "salt", "slot", "key"), sets, "root", "salt", "slot"), "links")
+    cut = stored(cut.select("root", "salt", "slot", "key"), "cut")
+    first = stored(_multiply(cut, sets, "root", "salt", "slot"), "links")
     linked = components(first, "a", "b")
 
     large = groups.where(F.col("size") > BLOCK).join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
@@ -282,7 +283,7 @@ def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     rows = rest.join(meet, ["root", "i"]).select("root", "i", "j", "key").union(
         large.select("root", F.col("slot").alias("j"), "key").join(meet, ["root", "j"]).select("root", "i", "j", "key")
     )
-    more = _multiply(rows.distinct(), sets, "root", "i", "j")
+    more = _multiply(stored(rows.distinct(), "rows"), sets, "root", "i", "j")
     return components(first.union(stored(more, "links")), "a", "b")
 
 
@@ -290,6 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same set) for each row of
     docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).cast("bigint").alias("doc"), "text")
     read = stored(
         rows.select("doc", "text").mapInPandas(_classes, "doc bigint, n int, key bigint, prefix binary"),
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"key": [_class(s) for s in found], "n": [len(s) for s in found], "shingles": [s.tobytes() for s in found]})
 
     again = rows.select(slot.alias("slot"), "text").mapInPandas(sets_of, "key bigint, n int, shingles binary")
-    sets = stored(again.join(chosen.select("key"), "key", "left_semi"), "sets")
+    sets = stored(again.join(small(chosen.select("key")), "key", "left_semi"), "sets")
     linked = link_classes(sets, _bit_map(met.where("hot").select(F.col("value").alias("slot")), HOT_BITS))
 
     named = classes.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
