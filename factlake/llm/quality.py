@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, table
+from .common import SPACE, small, stored, table
 
 #: Share of a stratum's clean documents that all rules together may reject, and the level.
 RISK, ALPHA = 0.02, 0.05
@@ -153,7 +153,8 @@ def base_failed() -> Column:
 def _with_cuts(counts: DataFrame, labelled: DataFrame, labels: DataFrame, risk: float, alpha: float) -> DataFrame:
     """counts (_stratum, COUNTS, others) with base_failed and kept, by cutoffs from labelled."""
     marked = labels.select("doc_id", "quality").join(labelled, "doc_id")
-    cuts = certified(marked, "_stratum", risk, alpha).withColumnRenamed("_stratum", "_of")
+    # a row per stratum: texts stay where they are, also when one stratum holds most of them
+    cuts = small(stored(certified(marked, "_stratum", risk, alpha).withColumnRenamed("_stratum", "_of"), "cuts"))
     hit = F.lit(False)
     for rule, (a, b) in RULES.items():
         hit = hit | F.coalesce(1000 * F.col(a) > F.col(f"cut_{rule}") * F.col(b), F.lit(False))
@@ -171,11 +172,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """The rows of docs (doc_id, lang, text, any others) that judge() keeps. Texts are measured
-    twice, for cutoffs and for verdicts, which is less than to shuffle them."""
-    counts = stored(measured(docs.select("doc_id", F.col("lang").alias("_stratum"), "text")), "quality")
-    rows = measured(docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("_stratum"), "text"))
-    return _with_cuts(rows, counts, labels, risk, alpha).where("kept").select("_row.*")
+    """The rows of docs (doc_id, lang, text, any others) that judge() keeps. Rows are written once
+    with their counts; cutoffs read the counts alone, and no text is shuffled."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col("lang").alias("_stratum"), "text")
+    rows = stored(measured(rows), "quality")
+    return _with_cuts(rows, rows.drop("_row"), labels, risk, alpha).where("kept").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
