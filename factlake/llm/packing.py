@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 LENGTH, END = 4096, 2
-#: Bytes of text that are turned into words at once, and words remembered by a task.
-SLICE, REMEMBERED = 1 << 20, 700_000
+#: Bytes of text that are turned into words at once, words remembered by a task, and of these the
+#: ones kept when there are more and when the task ends: the first met, so the common ones.
+SLICE, REMEMBERED, KEPT = 1 << 20, 400_000, 100_000
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -52,13 +54,20 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters or signs
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
         self.index, self.flat, self.used = self._Index(), np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.index.new = []
 
+    def forget(self) -> None:
+        """All words but the first KEPT."""
+        kept = dict(islice(self.index.items(), KEPT))
+        n = len(kept)
+        self.index = self._Index(kept)
+        self.index.new = []
+        self.used = int((self.start[:n] + self.size[:n]).max()) if n else 0
+        self.flat = self.flat[: max(self.used, 1 << 16)].copy()
+        self.start, self.size = (x[: max(n, 1 << 16)].copy() for x in (self.start, self.size))
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, one after another, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -94,7 +103,7 @@ class WordTokens:
     def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, and how many each has."""
         if len(self.index) > REMEMBERED:
-            self.clear()
+            self.forget()
         known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.index.new:
@@ -138,7 +147,7 @@ class WordTokens:
 
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> WordTokens:
-    """One of a process, so that tasks that run one after another share the words they know."""
+    """One of a process, so that it is read once; a task leaves it the common words."""
     return WordTokens(path)
 
 
@@ -160,6 +169,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
+        tokens.forget()
 
     # a null doc_id would turn its batch's numbers into doubles, so ids travel as text
     out = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(run, "doc string, part int, before bigint, n bigint, ids binary")
