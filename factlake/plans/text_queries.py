@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, text
@@ -210,14 +210,21 @@ def term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth, answer = F.substring("text", 1, 2000), F.substring("text", 1001, 4000)
+    """Whether a document's main number stands below its first line."""
+    whole, below = F.col("text"), F.regexp_replace("text", r"^[^\n]*\n?", "")
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", text.main_number(truth).alias("number"), text.number_match(truth, answer).alias("ok"))
+    return d.select("doc_id", text.main_number(whole).alias("number"), text.number_match(whole, below).alias("ok"))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns with the next turn and the one two after it."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("reply"), F.lead("text", 3).over(w).alias("later"))
+    return rows.where("role = 'user'")
 
 
 def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", text.keyword_coverage(F.substring("text", 1, 200), F.substring("text", 101, 400)).alias("coverage"))
+    return _questions(spark, sf_dir).select("conv_id", "turn", text.keyword_coverage(F.col("text"), F.col("reply")).alias("coverage"))
 
 
 def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,9 +234,11 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
-    system = F.explode(F.array(F.struct(F.lit("full").alias("system"), F.substring("text", 1, 3000).alias("answer")), F.struct(F.lit("tail").alias("system"), F.when(F.col("quality") == 1, F.substring("text", 401, 600)).alias("answer"))))
-    return d.select("doc_id", F.col("lang").alias("category"), F.substring("text", 1, 300).alias("truth"), system.alias("s")).select("s.system", F.col("doc_id").alias("id"), "category", "truth", "s.answer")
+    """Two systems: one answers with the next turn, the other with a later one, if there is any."""
+    q = _questions(spark, sf_dir)
+    system = F.explode(F.array(*[F.struct(F.lit(x).alias("system"), F.col(x).alias("answer")) for x in ("reply", "later")]))
+    rows = q.select(F.col("conv_id").alias("id"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("category"), F.col("text").alias("truth"), system.alias("s"))
+    return rows.select("s.system", "id", "category", "truth", "s.answer")
 
 
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,8 +340,10 @@ def _main_sql(t: str) -> str:
 _ENTITY = "CASE " + " ".join(f"WHEN contains(text, '{a}') THEN '{b}'" for a, b in sorted(ENTITIES, key=lambda x: -len(x[0]))) + " END"
 _STATUS = "CASE WHEN trim(coalesce({a}, '')) = '' THEN 'empty' WHEN regexp_matches({a}, '" + "|".join(text.ERRORS) + "') THEN 'error' WHEN regexp_matches({a}, '" + "|".join(text.NOT_FOUND) + "') THEN 'not_found' ELSE 'answered' END"
 _STRIP = "trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
-_ANSWERS = f"""WITH d AS (SELECT doc_id, lang, text, quality FROM documents JOIN labels USING (doc_id)), a AS (SELECT 'full' AS system, lang AS category, left(text, 300) AS truth, left(text, 3000) AS answer FROM d
-  UNION ALL SELECT 'tail', lang, left(text, 300), CASE WHEN quality = 1 THEN substring(text, 401, 600) END FROM d),
+_QUESTIONS = """q AS (SELECT * FROM (SELECT conv_id, turn, role, text, lead(text) OVER w AS reply, lead(text, 3) OVER w AS later
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user')"""
+_ANSWERS = f"""WITH {_QUESTIONS}, a AS (SELECT 'reply' AS system, 'turn ' || turn AS category, text AS truth, reply AS answer FROM q
+  UNION ALL SELECT 'later', 'turn ' || turn, text, later FROM q),
   s AS (SELECT system, category, {_STATUS.format(a="answer")} AS status, CASE WHEN {_main_sql("truth")} IS NOT NULL THEN list_contains({_numbers_sql("answer")}, {_main_sql("truth")})::INTEGER END AS number,
     {_coverage_sql("truth", "answer")} AS coverage FROM a)"""
 
@@ -406,8 +417,9 @@ ORACLES = {
     "term_search": """WITH h AS (SELECT p_partkey, word, CASE WHEN lower(p_name) = lower(word) THEN 0 WHEN contains(lower(p_name), lower(word)) THEN 1 WHEN contains(lower(p_type), lower(word)) THEN 2 WHEN contains(lower(p_brand), lower(word)) THEN 3 END AS priority
         FROM part, (VALUES ('ring'), ('red widget'), ('STANDARD'), ('Brand#12'), ('e')) w(word)), r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY priority, p_partkey)::INTEGER AS rank FROM h WHERE priority IS NOT NULL)
       SELECT word, p_partkey, priority, rank FROM r WHERE rank <= 20""",
-    "number_match": f"""SELECT doc_id, {_main_sql("left(text, 2000)")} AS number, CASE WHEN {_main_sql("left(text, 2000)")} IS NOT NULL THEN list_contains({_numbers_sql("substring(text, 1001, 4000)")}, {_main_sql("left(text, 2000)")}) END AS ok FROM documents""",
-    "keyword_coverage": f"SELECT doc_id, {_coverage_sql('left(text, 200)', 'substring(text, 101, 400)')} AS coverage FROM documents",
+    "number_match": f"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^[^\\n]*\\n?', '') AS below FROM documents)
+      SELECT doc_id, {_main_sql("text")} AS number, CASE WHEN {_main_sql("text")} IS NOT NULL THEN list_contains({_numbers_sql("below")}, {_main_sql("text")}) END AS ok FROM d""",
+    "keyword_coverage": f"WITH {_QUESTIONS} SELECT conv_id, turn, {_coverage_sql('text', 'reply')} AS coverage FROM q",
     "answer_status": f"""WITH a AS (SELECT n_chars, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '오류: timeout' WHEN 2 THEN '값을 찾을 수 없습니다' ELSE text END AS a FROM documents), s AS (SELECT {_STATUS.format(a="a")} AS status, n_chars FROM a)
       SELECT status, count(*) AS n, round(sum(n_chars)::DOUBLE / count(*), 3) AS mean_chars FROM s GROUP BY status""",
     "eval_rollup": _ANSWERS + """ SELECT system, CASE WHEN grouping(category) = 1 THEN 'total' ELSE category END AS category, count(*) FILTER (status = 'answered') AS ok, count(*) AS n,
