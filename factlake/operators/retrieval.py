@@ -20,7 +20,7 @@ def terms(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def top(rows: DataFrame, k: int, by: str, score: str, key: str, rank: str) -> DataFrame:
+def top(rows: DataFrame, k: int, by: str | list[str], score: str, key: str, rank: str) -> DataFrame:
     """The k best of each query, ranked from 1; ties by key. The ranking of a query spreads over
     tasks first where Spark can limit a window early (row_number up to k)."""
     w = Window.partitionBy(by).orderBy(F.desc(score), key)

@@ -86,12 +86,14 @@ def _fused(weights, c):
 def filter_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits under source and language, else under the source, else under nothing."""
     q = _queries(spark, sf_dir).select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("q_source"), F.col("lang").alias("q_lang"))
-    hits = _lexical(spark, sf_dir, k=50).join(q, "qid").join(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id")
+    hits = retrieval.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    hits = hits.join(q, "qid").join(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id")
     same = F.col("source") == F.col("q_source")
     hits = hits.withColumn("level", F.when(same & (F.col("lang") == F.col("q_lang")), 0).when(same, 1).otherwise(2))
-    kept = retrieval.top(retrieval.relax(hits).drop("rank"), 5, "qid", "score", "doc_id", "rank")
-    n = kept.groupBy("qid").agg(F.count("*").alias("n"))
-    return kept.join(n, "qid").select("qid", "doc_id", "rank", "applied", retrieval.confidence(F.col("applied") > 0, F.lit(True), F.col("n")).alias("confidence"))
+    # every hit has its level; the best five of each level hold the best five of the least one
+    kept = retrieval.relax(retrieval.top(hits, 5, ["qid", "level"], "score", "doc_id", "rank"))
+    n = F.count("*").over(Window.partitionBy("qid"))
+    return kept.select("qid", "doc_id", "rank", "applied", retrieval.confidence(F.col("applied") > 0, F.lit(True), n).alias("confidence"))
 
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
