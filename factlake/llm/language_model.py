@@ -8,8 +8,11 @@ counts in a join.
 Model. A GRU whose softmax has two factors: the class, then the word within it. The VOCABULARY
 most frequent words have classes of CLASS words. All others are in one of BUCKETS by their last
 bytes; within a bucket, words have their share of the unigram base, so the model gives every
-text a probability. It is trained by truncated backpropagation on documents chosen by hash,
-about TRAIN_TOKENS of their tokens (the bound; a table with fewer gives all), in one task.
+text a probability. It is trained by truncated backpropagation on all training documents: in
+each of ROUNDS rounds of an epoch, every task trains from the same weights on its own documents
+of the round, and weights and moments are averaged by the tokens they come from, in a tree of
+tasks, so that the driver gets FAN of them at most. A task has SHARE tokens or more, and holds
+BLOCK of them at once; a text that a block cuts begins again without state.
 
 Scoring. Documents run in step, longest first, so that a step is one product for all that are
 still open. After WINDOW steps the states met are scored together, and the state is carried on to
@@ -42,7 +45,9 @@ from .common import stored, table
 FOLDS, HELD_OUT = 7, 2
 LIMIT, KNOWN = 400_000, 200_000
 VOCABULARY, CLASS, BUCKETS, HIDDEN = 2048, 64, 32, 16
-TRAIN_TOKENS, EPOCHS, LANES, WINDOW, RATE, SEED = 500_000, 2, 64, 32, 0.004, 5
+EPOCHS, LANES, WINDOW, RATE, SEED = 2, 64, 32, 0.004, 5
+#: Rounds of an epoch; tokens that a task trains on at least and holds at once; models that a task averages.
+ROUNDS, SHARE, BLOCK, FAN = 4, 2_000_000, 500_000, 16
 #: Documents that run in step, and bytes of text that are split into words at once.
 STEP_ROWS, SLICE = 512, 1 << 20
 #: No word holds white space, so this can stand for the end of a text.
@@ -192,8 +197,11 @@ class Model:
         p *= on[:, None]
         grads["class_w"], grads["class_b"] = h.T @ p, p.sum(axis=0)
         dh = p @ self.class_w.T
-        for c in np.unique(kind[(place >= 0) & (on > 0)]):
-            rows = np.flatnonzero((kind == c) & (on > 0))
+        own = np.where((place >= 0) & (on > 0), kind, len(self.word_b))
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(len(self.word_b) + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            rows = order[ends[c] : ends[c + 1]]
             w = h[rows] @ self.word_w[c] + self.word_b[c]
             w = np.exp(w - w.max(axis=1, keepdims=True))
             w /= w.sum(axis=1, keepdims=True)
@@ -203,49 +211,70 @@ class Model:
             grads["word_w"][c], grads["word_b"][c] = h[rows].T @ w, w.sum(axis=0)
             dh[rows] += w @ self.word_w[c].T
         dh, later = dh.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32)
-        dtable = np.zeros_like(table)
+        moved = [None] * steps
         for t in range(steps - 1, -1, -1):
             entered, z, r, c, start = kept[t]
             d = np.where(start[:, None], 0, dh[t] + later)
             dc = d * (1 - z) * (1 - c * c)
             back = dc @ self.new.T
-            dz, dr = d * (entered - c) * z * (1 - z), back * entered * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            grads["gates"] += entered.T @ dzr
-            grads["new"] += (r * entered).T @ dc
-            later = d * z + back * r + dzr @ self.gates.T
+            moved[t] = np.concatenate([d * (entered - c) * z * (1 - z), back * entered * r * (1 - r), dc], axis=1)
+            later = d * z + back * r + moved[t][:, : 2 * n] @ self.gates.T
             later[start] = 0
-            np.add.at(dtable, np.maximum(before[t], 0), np.concatenate([dzr, dc], axis=1))
+        moved, entered = np.concatenate(moved), np.concatenate([x[0] for x in kept])
+        grads["gates"] = entered.T @ moved[:, : 2 * n]
+        grads["new"] = (np.concatenate([x[2] for x in kept]) * entered).T @ moved[:, 2 * n :]
+        fed = np.maximum(before.ravel(), 0)
+        order = np.argsort(fed, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(fed[order]) > 0])
+        dtable = np.zeros_like(table)
+        dtable[fed[order[first]]] = np.add.reduceat(moved[order], first)
         grads["embed"], grads["into"], grads["bias"] = dtable @ self.into.T, self.embed.T @ dtable, dtable.sum(axis=0)
         return grads, state, loss
 
-    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES) -> list[float]:
-        """Adam over windows of all texts, which lie end to end in the lanes. Returns losses a token."""
-        moving = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.names}
-        r, losses, n = np.random.default_rng(SEED), [], 0
-        for _ in range(epochs):
-            order = r.permutation(len(texts))
-            tokens = np.concatenate([texts[i] for i in order])
-            before = np.concatenate([np.r_[-1, texts[i][:-1]] for i in order])
-            long = -(-len(tokens) // lanes)
-            pad = long * lanes - len(tokens)
-            shaped = [np.r_[x, np.full(pad, v)].reshape(lanes, long).T for x, v in ((tokens, 0), (before, -1), (np.ones(len(tokens), bool), False))]
-            state, total = np.zeros((lanes, self.new.shape[0]), np.float32), 0.0
-            for t in range(0, long, WINDOW):
-                grads, state, loss = self.gradients(*(x[t : t + WINDOW] for x in shaped[:2]), state, shaped[2][t : t + WINDOW])
-                total += loss
-                n += 1
-                live = max(1, int(shaped[2][t : t + WINDOW].sum()))
-                norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / live
-                for k, g in grads.items():
-                    g = g / live * min(1.0, 1.0 / (norm + 1e-9))
-                    m, v = moving[k]
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    rate = RATE * min(1.0, n / 50) * math.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-                    setattr(self, k, (getattr(self, k) - rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
-            losses.append(total / len(tokens))
-        return losses
+    def flat(self, moving: dict[str, tuple[np.ndarray, np.ndarray]], n: float) -> bytes:
+        """Weights, Adam's moments and steps so far as one vector, which can be averaged."""
+        return np.concatenate([x.ravel() for k in self.names for x in (getattr(self, k), *moving[k])] + [[n]]).astype("<f4").tobytes()
+
+    def unflat(self, raw: bytes) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
+        """Takes the weights from flat(); returns the moments and steps."""
+        x, at, moving = np.frombuffer(raw, "<f4"), 0, {}
+        for k in self.names:
+            shape = getattr(self, k).shape
+            size = math.prod(shape)
+            parts = [x[at + i * size : at + (i + 1) * size].reshape(shape).copy() for i in range(3)]
+            setattr(self, k, parts[0])
+            moving[k] = parts[1], parts[2]
+            at += 3 * size
+        return moving, float(x[at])
+
+    def still(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Adam's moments before the first step."""
+        return {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.names}
+
+    def train(self, texts: list[np.ndarray], moving: dict[str, tuple[np.ndarray, np.ndarray]], n: float = 0, lanes: int = LANES) -> tuple[float, float]:
+        """Adam over windows of all texts, once; they lie end to end in the lanes. Moves `moving`;
+        returns the steps so far and the loss a token."""
+        order = np.random.default_rng([SEED, int(n)]).permutation(len(texts))
+        tokens = np.concatenate([texts[i] for i in order])
+        before = np.concatenate([np.r_[-1, texts[i][:-1]] for i in order])
+        long = -(-len(tokens) // lanes)
+        pad = long * lanes - len(tokens)
+        shaped = [np.r_[x, np.full(pad, v)].reshape(lanes, long).T for x, v in ((tokens, 0), (before, -1), (np.ones(len(tokens), bool), False))]
+        state, total = np.zeros((lanes, self.new.shape[0]), np.float32), 0.0
+        for t in range(0, long, WINDOW):
+            grads, state, loss = self.gradients(*(x[t : t + WINDOW] for x in shaped[:2]), state, shaped[2][t : t + WINDOW])
+            total += loss
+            n += 1
+            live = max(1, int(shaped[2][t : t + WINDOW].sum()))
+            norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / live
+            for k, g in grads.items():
+                g = g / live * min(1.0, 1.0 / (norm + 1e-9))
+                m, v = moving[k]
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                rate = RATE * min(1.0, n / 50) * math.sqrt(1 - 0.999**n) / (1 - 0.9**n)
+                setattr(self, k, (getattr(self, k) - rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
+        return n, total / len(tokens)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """ln P of whole texts, each given by its tokens."""
@@ -322,6 +351,61 @@ def _tokens(batch: pd.DataFrame, lexicon: Lexicon) -> tuple[list[np.ndarray], np
     return tokens, np.concatenate(base), np.concatenate(known), rest
 
 
+def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[list[np.ndarray]]:
+    """The texts of all rows in blocks of `most` tokens; what does not fit goes to the next ones."""
+    block, left = [], most
+    for batch in batches:
+        for raw in batch["tokens"]:
+            text = np.frombuffer(raw, "<u2").astype(np.int32)
+            while len(text) >= left:
+                yield [*block, text[:left]]
+                text, block, left = text[left:], [], most
+            if len(text):
+                block.append(text)
+                left -= len(text)
+    if block:
+        yield block
+
+
+def _average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of all: the mean of the vectors by their tokens."""
+    total, tokens = 0.0, 0
+    for batch in batches:
+        for n, raw in zip(batch["n"].tolist(), batch["flat"], strict=True):
+            total, tokens = total + n * np.frombuffer(raw, "<f4").astype(np.float64), tokens + n
+    if tokens:
+        yield pd.DataFrame({"n": [tokens], "flat": [(total / tokens).astype("<f4").tobytes()]})
+
+
+def trained(model: Model, training: DataFrame, n: int) -> tuple[Model, int]:
+    """The model after EPOCHS over all rows of training (row, tokens) of n tokens in all, and the
+    tokens it was trained on."""
+    start, raw, used = model.save(), model.flat(model.still(), 0), 0
+    shares = training.coalesce(max(1, n // SHARE))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, tokens = Model.load(start), 0
+        moving, steps = own.unflat(raw)
+        for block in _blocks(batches, BLOCK):
+            steps, _ = own.train(block, moving, steps)
+            tokens += sum(map(len, block))
+        if tokens:
+            yield pd.DataFrame({"n": [tokens], "flat": [own.flat(moving, steps)]})
+
+    for i in range(EPOCHS * ROUNDS):
+        rows = shares.where(F.pmod("row", F.lit(ROUNDS)) == i % ROUNDS).select("tokens").mapInPandas(learn, "n bigint, flat binary")
+        tasks = rows.rdd.getNumPartitions()
+        while tasks > FAN:
+            tasks = -(-tasks // FAN)
+            rows = rows.repartition(tasks).mapInPandas(_average, "n bigint, flat binary")
+        learnt = [(r.n, bytes(r.flat)) for r in rows.collect()]  # at most FAN rows
+        for mean in _average([pd.DataFrame(learnt, columns=["n", "flat"])]):
+            raw, used = mean["flat"][0], used + int(mean["n"][0])
+    model = Model.load(start)
+    model.unflat(raw)
+    return model, used
+
+
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
@@ -345,32 +429,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
         mass[r.bucket] -= r.c + 1
     model = Model.initial(own, mass)
 
-    every = max(1, math.ceil(n / TRAIN_TOKENS))
-
-    def learn(sample: pd.DataFrame) -> pd.DataFrame:
-        own_model = Model.load(start)
-        own_model.train(_tokens(sample, lexicon)[0])
-        return pd.DataFrame({"model": [own_model.save()]})
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not len(batch):
+                continue
+            tokens, base, known, rest = _tokens(batch, lexicon)
+            out = pd.DataFrame({"doc": batch["doc"], "held_out": batch["held_out"], "row": row + np.arange(len(batch))})
+            yield out.assign(tokens=[x.astype("<u2").tobytes() for x in tokens], known=known, base=base, rest=rest)
+            row += len(batch)
 
-    start = model.save()
-    chosen = training.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(every)) == 0)
-    learnt = chosen.select(F.lit(1).alias("one"), "text").groupBy("one").applyInPandas(learn, "model binary").collect()
-    raw = bytes(learnt[0].model) if learnt else start
+    looked_up = rows.select(F.col("doc_id").cast("string").alias("doc"), "text", "held_out").mapInPandas(
+        look_up, "doc string, held_out boolean, row bigint, tokens binary, known bigint, base double, rest binary"
+    )
+    looked_up = stored(looked_up, "tokens")
+    raw = trained(model, looked_up.where("not held_out").select("row", "tokens"), n)[0].save()
     shares = np.log10(mass / (n + v + 1))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own_model, row = Model.load(raw), TaskContext.get().partitionId() << 40
+        own_model = Model.load(raw)
         for batch in batches:
             if not len(batch):
                 continue
-            tokens, base, known, rest = _tokens(batch, lexicon)
+            tokens = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.pop("tokens")]
             # a bucket's word: the bucket's probability times the word's share of it, which is its base score over the bucket's
             inside = np.array([base_of_buckets(t) for t in tokens])
             likely = own_model.score(tokens) / math.log(10)
-            out = pd.DataFrame({"doc": batch["doc"], "held_out": batch["held_out"], "row": row + np.arange(len(batch))})
-            out["n_tokens"] = [len(t) for t in tokens]
-            yield out.assign(known=known, base=base, score=likely + inside, rest=rest)
-            row += len(batch)
+            yield batch.assign(n_tokens=[len(t) for t in tokens], score=likely + inside)
 
     first = lexicon.own
     word_base = lexicon.base[:first]
@@ -381,21 +466,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
         seen = token >= first
         return -float(shares[token[seen] - first].sum()) - float(word_base[token[~seen]].sum())
 
-    scored = rows.select(F.col("doc_id").cast("string").alias("doc"), "text", "held_out").mapInPandas(
-        score, "doc string, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, score double, rest binary"
+    scored = looked_up.select("doc", "held_out", "row", "known", "base", "tokens").mapInPandas(
+        score, "doc string, held_out boolean, row bigint, known bigint, base double, n_tokens bigint, score double"
     )
-    scored = stored(scored, "scored")
 
     def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = np.frombuffer(b"".join(batch["rest"]), np.int64)
             yield pd.DataFrame({"row": np.repeat(batch["row"].to_numpy(), batch["rest"].str.len().to_numpy() // 8), "hash": hashes})
 
-    rare = scored.where("length(rest) > 0").select("row", "rest").mapInPandas(words_of, "row bigint, hash bigint")
+    rare = looked_up.where("length(rest) > 0").select("row", "rest").mapInPandas(words_of, "row bigint, hash bigint")
     met = rare.join(counts.select("hash", "c"), "hash", "left")
     base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
     more = met.groupBy("row").agg(F.sum(base).alias("more"), F.count("c").alias("more_known"))
-    out = scored.drop("rest").join(more, "row", "left")
+    out = scored.join(more, "row", "left")
     whole = F.col("base") + F.coalesce("more", F.lit(0.0))
     return out.select(
         F.col("doc").cast(docs.schema["doc_id"].dataType).alias("doc_id"),

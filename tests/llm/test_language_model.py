@@ -91,3 +91,35 @@ def test_odd_rows(spark):
     assert L.score_documents(docs.limit(0)).count() == 0
     only_held_out = spark.createDataFrame([(i, "x y") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id bigint, text string")
     assert {(r.train_tokens, r.base_score, r.n_known) for r in L.score_documents(only_held_out).collect()} == {(0, 0.0, 0)}
+
+
+def test_all_training_documents_are_trained_on(spark, monkeypatch):
+    """Whatever the bounds of tasks, blocks and averages, every token is used once an epoch; one
+    doc_id for all rows and a long text change nothing."""
+    for name, value in (("SHARE", 1000), ("BLOCK", 300), ("FAN", 2), ("EPOCHS", 1)):
+        monkeypatch.setattr(L, name, value)
+    r = np.random.default_rng(1)
+    texts = [r.integers(0, 25, size).astype("<u2") for size in (*r.integers(1, 60, 200), 2500)]
+    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "row bigint, tokens binary").repartition(7)
+    n = sum(map(len, texts))
+    model, _ = noisy(dtype=np.float32)
+    before = model.score(texts).sum()
+    after, used = L.trained(model, rows, n)
+    assert used == n
+    assert after.score(texts).sum() > before
+
+    blocks = list(L._blocks([L.pd.DataFrame({"tokens": [t.tobytes() for t in texts]})], 300))
+    assert all(sum(map(len, b)) == 300 for b in blocks[:-1])
+    assert np.array_equal(np.concatenate([x for b in blocks for x in b]), np.concatenate(texts))
+
+
+def test_tokens_used_follow_the_table(spark, monkeypatch):
+    """A table that is larger than what a task holds is trained on as a whole."""
+    for name, value in (("BLOCK", 500), ("SHARE", 1000), ("EPOCHS", 1)):
+        monkeypatch.setattr(L, name, value)
+    seen = []
+    whole = L.trained
+    monkeypatch.setattr(L, "trained", lambda *a: seen.append(whole(*a)) or seen[-1])
+    docs = spark.createDataFrame([(i % 3, f"word{i % 7} and more " * 20) for i in range(300)], "doc_id bigint, text string")
+    n = {r.train_tokens for r in L.score_documents(docs).collect()}
+    assert n == {seen[0][1]} and seen[0][1] > 10_000
