@@ -176,9 +176,9 @@ def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut and n_chars anew. A document of which all long lines are kept by others
-    is a copy of them and goes; so what is left of a text is never short scraps alone."""
-    out = kept_text(docs, keep_bitmaps(docs)).where("_n_dropped = 0 or _n_long_left > 0")
+    """docs with text cut and n_chars anew. Only a document of which nothing but white space is left
+    goes; all others keep their remaining lines, however short."""
+    out = kept_text(docs, keep_bitmaps(docs)).where(F.expr("_n_dropped = 0") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -60,6 +60,15 @@ def test_line_dedup(spark):
     assert line_dedup.without_copied_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_outlast_a_shared_line(spark):
+    """Only a document of which nothing is left goes; verse and lists keep their lines."""
+    shared, verse = "one licence line that all of them share", "\n".join(f"short line {i}" for i in range(40))
+    rows = [(1, f"{verse}\n{shared}"), (2, f"{shared}\n \t\n{shared}"), (3, shared), (4, f"{shared}\nend"), (5, f" {shared}")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id bigint, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.without_copied_lines(docs).collect()}
+    assert got == {1: (verse, len(verse)), 4: ("end", 3), 5: (f" {shared}", len(shared) + 1)}
+
+
 def plain_quality(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
     seen, covered = {}, set()
