@@ -12,6 +12,9 @@ The labelled pages are made by rule: layouts of many kinds, whose parts are know
 
 Defined results: a null, empty or textless page gives the empty text. Broken markup is read as far
 as it goes: an unclosed comment or script runs to the end, an unclosed element to its parent's end.
+A control or medium is left out where its own end tag closes it and nothing in it is more than a
+control holds or a fallback says; else its tag is passed over, and its text is judged with the text
+around it. So is the text of math, object and noscript.
 Rows are judged one by one, so repeated and tied rows get equal texts. An empty table gives no rows.
 """
 
@@ -39,9 +42,13 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody "
     "td tfoot th thead tr ul".split()
 )
-#: Their content is no text of the page.
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math select object canvas audio video button head".split())
+#: Raw text by the standard: no markup in it, and no text of the page. A head is left out up to its end or the body.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp head".split())
+#: Controls and media, and the blocks which may stand in them.
+PARTS = dict.fromkeys(("button", "select"), "option optgroup") | dict.fromkeys("template svg canvas audio video".split(), "p div ul ol li br")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What must not stand in a part: it begins again, or a block which is not for it.
+NOT_IN = {tag: re.compile(f"<(?:{'|'.join(sorted({tag, *BLOCKS} - set(own.split())))})(?=[\\s/>])", re.I) for tag, own in PARTS.items()}
 #: Start tag to the open elements it closes, up to the nearest of the given parents.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -80,7 +87,7 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first: block elements, and runs of text ("#") as leaves. `at` is
     where in the page a node starts; length, linked and stops count what is below it."""
     nodes, open_blocks, run, anchors, linked = [Node(-1, "html")], [0], [], 0, 0
-    begun, inline = -1, ()
+    begun, inline, ends = -1, (), {}
 
     def flush() -> None:
         nonlocal run, linked, inline, begun
@@ -126,11 +133,18 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
-                stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                if stop is None and tag == "head":
-                    stop = re.compile("(?=<body[\\s>])", re.I).search(page, at)
-                at = stop.end() if stop else end
+                till = f"</{tag}(?=[\\s/>])[^>]*>" + "|(?=<body[\\s>])" * (tag == "head")
+                stop = re.compile(till, re.I).search(page, at)
+                at = stop.end() if stop else at if tag == "head" else end
             continue
+        if tag in PARTS and not attributes.rstrip().endswith("/"):
+            if tag not in ends or ends[tag][0] < at:
+                stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+                ends[tag] = stop.span() if stop else (end, 0)
+            first, after = ends[tag]
+            if after and not NOT_IN[tag].search(page, at, first):
+                at = after
+                continue
         if tag == "a":
             anchors = 1
         elif tag == "br":
@@ -139,6 +153,8 @@ def parse(page: str) -> list[Node]:
             flush()
         elif tag in BLOCKS:
             flush()
+            if tag not in ("option", "optgroup"):
+                close("option", ("select",))
             if tag in CLOSES:
                 shut, within = CLOSES[tag]
                 for name in shut:

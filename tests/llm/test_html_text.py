@@ -89,3 +89,29 @@ def test_rows(spark):
     got = H.extract_text(pages).collect()
     assert [(r.page_id, r.text) for r in got] == [(1, "One two three four, five six seven."), (1, ""), (None, "")]
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+BODY = "<p>First paragraph of the article, with enough words to be one.</p><p>The second paragraph, which is longer, ends the whole article.</p>"
+LINES = "First paragraph of the article, with enough words to be one.\nThe second paragraph, which is longer, ends the whole article."
+
+
+@pytest.mark.parametrize("open_tag", ["<button>", "<select><option>a<option>b", "<object data=x>", "<video src=x>", "<noscript>", "<canvas>", "<svg>", "<math>", "<template>", "<audio>"])
+@pytest.mark.parametrize("around", ["{}<article>{}</article>", "<nav><a href=/>Home</a>{}</nav><article>{}</article>", "<article>{}{}</article>"])
+def test_unclosed_parts_do_not_take_the_article(open_tag, around, model):
+    got = text("<html><body>" + around.format(open_tag, BODY) + "</body></html>", model)
+    assert LINES in got
+
+
+def test_head_without_end(model):
+    assert text(f"<head><title>t</title><article>{BODY}</article>", model) == LINES
+
+
+def test_text_of_math_and_fallbacks_stays_in_its_paragraph(model):
+    page = "<article><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <object>an object</object> and <noscript>plain words</noscript>, as we know.</p><p>Another paragraph follows it, and it ends here.</p></article>"
+    assert text(page, model) == "The sum x+1 is an object and plain words, as we know.\nAnother paragraph follows it, and it ends here."
+
+
+def test_closed_parts_go(model):
+    assert text(f"<article>{BODY}{'<button>Share</button>' * 8}</article>", model) == LINES
+    page = f"<article>{BODY}<button>Send it</button><select><option>One<option>Two</select><video>No video here</video><svg><text>logo</text></svg></article>"
+    assert text(page, model) == LINES
