@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        x = stored(_star(_star(x, True), False), "edges")
+        before, x = x, stored(_star(_star(x, True), False), "edges")
+        release(before)
     return x.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         x.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

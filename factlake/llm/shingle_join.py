@@ -14,10 +14,11 @@ multiplied, slab of columns by slab, with overlap counts accumulated and tested
    that share fewer than k, also with what frequent shingles may add, cannot link. What remains
    are small candidate groups. Classes that consist of frequent shingles to four fifths, without
    which these alone make no link, are tied by a star for each such shingle, not by pairs.
-4. Product. A group of at most BLOCK classes is one block. A larger one is cut by size and by
-   hash, blocks are multiplied, and their links merged; classes that then are outside the group's
-   largest component are multiplied with all of the group, block by block, where sizes allow links. So no link is lost,
-   and no group emits its pairs: a block returns a spanning forest of its links.
+4. Product. A group of at most BLOCK classes is one block (a class with a long set counts as
+   several, so a block is bounded by its shingles). A larger one is cut by size and by hash, blocks
+   are multiplied, and their links merged; classes that then are outside the group's largest
+   component are multiplied with all of the group, block by block, where sizes allow links. So no
+   link is lost, and no group emits its pairs: a block returns a spanning forest of its links.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
 nothing. A text under five words is one shingle. Rows that share a doc_id are judged row by row,
@@ -33,17 +34,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, small_batches, stored, table
+from .common import job, packed, small, stored, table
 from .graph import components
 
 WIDTH = 5
 #: Classes in a block of the product, columns in a slab, and when a shingle counts as frequent.
 BLOCK, SLAB, FREQUENT = 256, 8192, 24
-#: Bits of the maps of frequent shingles and of documents to read again, whatever their numbers.
-HOT_BITS, DOC_BITS = 22, 24
+#: Shingles of a class that count as one class in a block, and shares that a frequent one is cut into.
+UNIT, SALTS = 16_384, 64
+#: Bits of the maps of frequent shingles and of documents to read again: SPARSE for each of them,
+#: within these bounds. Where a map fills up, more is looked at than need be, and no result changes.
+LEAST_BITS, MOST_BITS, SPARSE = 20, 28, 32
 _LOWEST = -(2**63)
 
 
@@ -118,20 +122,18 @@ def _dealt(bins: int):
             h, owner, count = h[first], owner[first], np.minimum(count, 255).astype(np.uint8)
             to = (h & np.uint64(0xFFFFFFFF)) % np.uint64(bins)
             order = np.lexsort((owner, to))  # by owner within a bin, which compresses
-            ends = np.searchsorted(to[order], np.arange(bins + 1))
-            for b in range(bins):
-                at = order[ends[b] : ends[b + 1]]
-                if len(at):
-                    rows.append((b, (h[at] >> np.uint64(32)).astype(np.uint32).tobytes(), count[at].tobytes(), owner[at].tobytes()))
+            met, starts = np.unique(to[order], return_index=True)
+            for b, at in zip(met.tolist(), np.split(order, starts[1:]), strict=True):
+                rows.append((b, (h[at] >> np.uint64(32)).astype(np.uint32).tobytes(), count[at].tobytes(), owner[at].tobytes()))
             yield pd.DataFrame(rows, columns=["bin", "h", "c", "owner"])
 
     return deal
 
 
 def _met(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a bin: how many of its hashes each class shares with others, and where in the map of
-    frequent shingles those fall that more than FREQUENT share. Halves of hashes are compared:
-    a chance match only lets a class be looked at more closely."""
+    """Of a bin: how many of its hashes each class shares with others, and the hashes that more than
+    FREQUENT share. Halves of hashes are compared: a chance match only lets a class be looked at
+    more closely."""
     if rows["bin"].iloc[0] < 0:
         key, times = np.frombuffer(b"".join(rows["owner"]), np.int64), np.frombuffer(b"".join(rows["c"]), np.int32)
         return pd.DataFrame({"hot": False, "value": key, "shared": times})
@@ -143,31 +145,38 @@ def _met(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     total = np.add.reduceat(count.astype(np.int64), first)
     key, times = np.unique(owner[(np.repeat(total, np.diff(np.r_[first, len(h)])) > 1) & (count == 1)], return_counts=True)
-    hot = np.unique(h[first[total > FREQUENT]] >> np.uint32(32 - HOT_BITS)).astype(np.int64)
+    hot = h[first[total > FREQUENT]].astype(np.int64)
     return pd.DataFrame({"hot": np.r_[np.zeros(len(key), bool), np.ones(len(hot), bool)], "value": np.r_[key, hot], "shared": np.r_[times, np.zeros(len(hot), int)].astype(np.int32)})
 
 
+def _bits(count: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (SPARSE * count).bit_length()))
+
+
 def _bit_map(slots: DataFrame, bits: int) -> np.ndarray:
-    """A map of 2 ** bits bits, set at the column `slot`; its size is fixed, whatever the rows."""
+    """A map of 2 ** bits bits, packed, set at the column `slot`."""
     at = F.col("slot") + 1
     parts = slots.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     for b, part in parts.collect():  # at most 2 ** (bits - 15) rows
-        out[(b - 1) * 32768 : b * 32768] = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")
-    return np.packbits(out)
+        out[(b - 1) * 4096 : b * 4096] = np.frombuffer(part, np.uint8)
+    return out
+
 
+def _is_set(bit_map: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bit_map[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
-def _entries(hot: np.ndarray):
+
+def _entries(hot: np.ndarray, bits: int):
     """The first shingles of each set in the common order, rare ones first. late: those that the
     map puts last; lates: their number in the whole set; whole: all rare ones are among the first."""
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(hot).astype(bool)
         for batch in batches:
             heads, flags, lates, whole = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [], []
             for blob in batch["shingles"]:
                 s = np.frombuffer(blob, np.uint64)
-                late = bits[s >> np.uint64(64 - HOT_BITS)]
+                late = _is_set(hot, (s >> np.uint64(64 - bits)).astype(np.int64))
                 size, rare = _prefix(len(s), max(1, len(s) // 20)), int((~late).sum())
                 heads.append(np.r_[s[~late], s[late]][:size])
                 flags.append(np.arange(len(heads[-1])) >= rare)
@@ -194,13 +203,13 @@ def block_links(sets: list[np.ndarray]) -> np.ndarray:
     column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    overlap = np.zeros((m, m), np.float32)
+    overlap = np.zeros((m, m), np.int64)
     for start in range(0, int(shared.sum()), SLAB):
         a, b = np.searchsorted(column, (start, start + SLAB))
         slab = np.zeros((m, min(SLAB, int(shared.sum()) - start)), np.float32)
         slab[row[a:b], column[a:b] - start] = 1
-        overlap += slab @ slab.T
-    return 180 * overlap.astype(np.int64) >= 80 * (size[:, None] + size[None, :])
+        overlap += (slab @ slab.T).astype(np.int64)  # at most SLAB, which a float32 holds exactly
+    return 180 * overlap >= 80 * (size[:, None] + size[None, :])
 
 
 def _forest(rows: pd.DataFrame) -> pd.DataFrame:
@@ -223,11 +232,26 @@ def _multiply(blocks: DataFrame, sets: DataFrame, *by: str) -> DataFrame:
     return sets.select("key", "shingles").join(small(blocks), "key").groupBy(*by).applyInPandas(_forest, "a bigint, b bigint")
 
 
-def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
+def _cut_by_size(groups: DataFrame, slot: str) -> DataFrame:
+    """groups (root, key, n, w) with a slot by size within the group, BLOCK weights to a slot.
+
+    Places come from the counts of a group's sizes; of equally large classes the hash tells the
+    place. So what a window orders is a group's distinct sizes, not its classes."""
+    sizes = groups.groupBy("root", "n").agg(F.sum("w").alias("held"))
+    before = F.sum("held").over(Window.partitionBy("root").orderBy("n")) - F.col("held")
+    sizes = sizes.select("root", "n", "held", before.alias("before"))
+    place = F.col("before") + F.pmod(F.xxhash64("key"), F.col("held"))
+    return groups.join(sizes, ["root", "n"]).withColumn(slot, F.floor(place / BLOCK).cast("int")).drop("held", "before")
+
+
+def link_classes(sets: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
     """(node, root) for every class of sets (key, n, shingles) that links with another."""
-    entries = stored(sets.mapInPandas(_entries(hot), "key bigint, n int, lates int, whole boolean, hash bigint, late boolean"), "entries")
-    counts = entries.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
-    shared = stored(entries.join(counts, "hash"), "shared")
+    entries = stored(sets.mapInPandas(_entries(hot, bits), "key bigint, n int, lates int, whole boolean, hash bigint, late boolean"), "entries")
+    counts = stored(entries.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    # the few hashes that very many classes have are met in a broadcast, the others in a shuffle
+    many = small(stored(counts.where(F.col("c") > SALTS * FREQUENT), "many"))
+    few = entries.join(many.select("hash"), "hash", "left_anti").join(counts.where(F.col("c") <= SALTS * FREQUENT), "hash")
+    shared = stored(few.unionByName(entries.join(many, "hash")), "shared")
     often = shared.where(F.col("late") | (F.col("c") > FREQUENT))
     # of a class: first shingles that are frequent, and all shingles that no small bucket counts
     in_often = often.groupBy("key").agg(F.count("*").alias("often"), F.count_if(~F.col("late")).alias("early"))
@@ -241,9 +265,11 @@ def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     # where all rare ones are known to differ, in the whole set
     least_k = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * 4 / 5) / 20))
     alone = known.where((F.col("often") >= least_k) & (~F.col("whole") | (5 * F.col("uncounted") >= 4 * F.col("n"))))
-    tied = often.join(alone.select("key"), "key", "left_semi").select("hash", "key")
-    least = tied.groupBy("hash").agg(F.min("key").alias("b"))
-    star = tied.join(least, "hash").select(F.col("key").alias("a"), "b").distinct()
+    tied = stored(often.join(alone.select("key"), "key", "left_semi").select("hash", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt")).distinct(), "tied")
+    # a star in two steps: a hash's classes are tied within each of SALTS shares, and the shares' least with one another
+    share = stored(tied.groupBy("hash", "salt").agg(F.min("key").alias("b")), "share")
+    whole = share.groupBy("hash").agg(F.min("b").alias("least"))
+    star = tied.join(share, ["hash", "salt"]).select(F.col("key").alias("a"), "b").union(share.join(whole, "hash").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
 
     rare = shared.where(~F.col("late") & (F.col("c") <= FREQUENT)).select("hash", "key", "n")
     x, y = (rare.select("hash", *[F.col(c).alias(f"{c}_{i}") for c in ("key", "n")]) for i in "ab")
@@ -255,27 +281,27 @@ def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     possible = 9 * (F.col("both") + F.least("uncounted_a", "uncounted_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
     pairs = pairs.where(enough & (~F.col("whole_a") | ~F.col("whole_b") | possible)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
-    groups = components(star.union(pairs), "a", "b")
-    size = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = groups.select(F.col("node").alias("key"), "root").join(size, "root").join(known.select("key", "n"), "key")
-    by_size = Window.partitionBy("root").orderBy("n", "key")
-    few = groups.where(F.col("size") <= BLOCK).withColumn("slot", F.lit(0))
-    large = groups.where(F.col("size") > BLOCK).withColumn("slot", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    groups = stored(few.unionByName(large), "groups")
-    again = groups.where(F.col("size") > BLOCK).withColumn("slot", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    cut = groups.withColumn("salt", F.lit(0)).unionByName(again.withColumn("salt", F.lit(1)))
-    cut = stored(cut.select("root", "salt", "slot", "key"), "cut")
-    first = stored(_multiply(cut, sets, "root", "salt", "slot"), "links")
+    weighed = known.select("key", "n", F.ceil(F.col("n") / UNIT).alias("w"))
+    groups = components(star.union(pairs), "a", "b").select(F.col("node").alias("key"), "root").join(weighed, "key")
+    groups = stored(groups, "groups")
+    size = groups.groupBy("root").agg(F.sum("w").alias("size"))
+    groups = stored(groups.join(size, "root"), "sized")
+    large = stored(_cut_by_size(groups.where(F.col("size") > BLOCK), "slot"), "cut-by-size")
+    parts = groups.where(F.col("size") <= BLOCK).select("root", F.lit(0).alias("salt"), F.lit(0).alias("slot"), "key")
+    parts = parts.unionByName(large.select("root", F.lit(0).alias("salt"), "slot", "key"))
+    by_hash = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    parts = parts.unionByName(large.select("root", F.lit(1).alias("salt"), by_hash.alias("slot"), "key"))
+    first = stored(_multiply(stored(parts, "cut"), sets, "root", "salt", "slot"), "links")
     linked = components(first, "a", "b")
 
-    large = groups.where(F.col("size") > BLOCK).join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
+    large = large.join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
     large = stored(large.withColumn("part", F.coalesce("part", "key")), "large")
-    parts = large.groupBy("root", "part").agg(F.count("*").alias("in_part"))
-    main = parts.groupBy("root").agg(F.max_by("part", F.struct("in_part", "part")).alias("main"))
-    rest = large.join(main, "root").where("part <> main").select("root", "key", "n")
+    held = large.groupBy("root", "part").agg(F.count("*").alias("in_part"))
+    main = held.groupBy("root").agg(F.max_by("part", F.struct("in_part", "part")).alias("main"))
+    rest = large.join(main, "root").where("part <> main").select("root", "key", "n", "w")
     if rest.isEmpty():
         return linked
-    rest = stored(rest.withColumn("i", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int")), "rest")
+    rest = stored(_cut_by_size(rest, "i"), "rest")
     # blocks of the rest against blocks of all, both by size, where sizes allow a link
     spans = lambda rows, slot, of: rows.groupBy("root", F.col(slot).alias(of)).agg(F.min("n").alias(f"{of}_from"), F.max("n").alias(f"{of}_to"))
     fits = (5 * F.col("j_to") >= 4 * F.col("i_from")) & (5 * F.col("i_to") >= 4 * F.col("j_from"))
@@ -287,55 +313,92 @@ def link_classes(sets: DataFrame, hot: np.ndarray) -> DataFrame:
     return components(first.union(stored(more, "links")), "a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_copies (rows with the same set) for each row of
-    docs (doc_id, text)."""
+def _doc() -> Column:
+    return F.coalesce("doc_id", F.lit(_LOWEST)).cast("bigint").alias("doc")
+
+
+@job
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """doc (null as the least number), mark (xxhash64 of the text), n, key (of the set), n_copies,
+    least and best for each row of docs (doc_id, text): the least doc_id of its component, and the
+    (doc, mark) of the row that stands for it, both null without shingles."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).cast("bigint").alias("doc"), "text")
-    read = stored(
-        rows.select("doc", "text").mapInPandas(_classes, "doc bigint, n int, key bigint, prefix binary"),
-        "classes",
-    )
-    classes = read.where("n > 0").groupBy("key").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") != _LOWEST, F.col("doc"))).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n"))
+    rows = docs.select(_doc(), F.xxhash64("text").alias("mark"), "text")
+    read = stored(rows.mapInPandas(_classes, "doc bigint, mark bigint, n int, key bigint, prefix binary"), "classes")
+    named = F.col("doc") != _LOWEST
+    classes = stored(
+        read.where("n > 0").groupBy("key").agg(
+            F.min(F.struct("doc", "mark")).alias("of"), F.min(F.when(named, F.struct("doc", "mark"))).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n")
+        ),
+        "counted",
+    )
     prefixes = read.where("n > 0").groupBy("key").agg(F.first("prefix").alias("prefix"))
     total = read.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
     bins = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, total / 500_000))
     blobs = prefixes.mapInPandas(_dealt(bins), "bin int, h binary, c binary, owner binary")
     met = stored(blobs.groupBy("bin").applyInPandas(_met, "hot boolean, value bigint, shared int"), "met")
     shared = met.where("not hot").groupBy(F.col("value").alias("key")).agg(F.sum("shared").alias("shared"))
-    chosen = stored(classes.join(shared, "key").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * 4 / 5) / 20))).select("key", "doc"), "chosen")
-    slot = F.shiftrightunsigned(F.xxhash64("doc"), 64 - DOC_BITS)
-    wanted = _bit_map(chosen.select(slot.alias("slot")), DOC_BITS)
+    chosen = stored(classes.join(shared, "key").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * 4 / 5) / 20))).select("key", "of.doc", "of.mark"), "chosen")
+    bits = _bits(chosen.count())
+    slot = F.shiftrightunsigned(F.xxhash64("doc", "mark"), 64 - bits).alias("slot")
+    wanted = spark.sparkContext.broadcast(_bit_map(chosen.select(slot), bits))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bits = WordHashes(), np.unpackbits(wanted).astype(bool)
+        hashes = WordHashes()
         for batch in batches:
-            found = [shingles(t, hashes) for t in batch["text"][bits[batch["slot"].to_numpy()]]]
+            found = [shingles(t, hashes) for t in batch["text"][_is_set(wanted.value, batch["slot"].to_numpy())]]
             yield pd.DataFrame({"key": [_class(s) for s in found], "n": [len(s) for s in found], "shingles": [s.tobytes() for s in found]})
 
-    again = rows.select(slot.alias("slot"), "text").mapInPandas(sets_of, "key bigint, n int, shingles binary")
+    again = rows.select(slot, "text").mapInPandas(sets_of, "key bigint, n int, shingles binary")
     sets = stored(again.join(small(chosen.select("key")), "key", "left_semi"), "sets")
-    linked = link_classes(sets, _bit_map(met.where("hot").select(F.col("value").alias("slot")), HOT_BITS))
+    # rows that are equal in id and text are read again together; a class is to stand for them once
+    twice = stored(sets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "twice")
+    if not twice.isEmpty():
+        once = sets.join(small(twice), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+        sets = stored(sets.join(small(twice), "key", "left_anti").unionByName(once), "sets")
+    hot = met.where("hot").select("value").distinct()
+    bits = _bits(hot.count())
+    linked = link_classes(sets, _bit_map(hot.select(F.shiftrightunsigned(F.shiftleft("value", 32), 64 - bits).alias("slot")), bits), bits)
 
     named = classes.join(linked.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("key", "component_id", "n_copies")
-    out = read.select("doc", "n", "key").join(named, "key", "left")
+    names = named.groupBy("root").agg(F.min("least").alias("best"))
+    named = stored(named.join(names, "root").select("key", "best", "n_copies"), "named")
+    # copies are many where their class is frequent: those few classes are met in a broadcast
+    copied = small(stored(named.where(F.col("n_copies") > SALTS * FREQUENT), "copied"))
+    rows = read.select("doc", "mark", "n", "key")
+    rare = rows.join(copied.select("key"), "key", "left_anti").join(named.where(F.col("n_copies") <= SALTS * FREQUENT), "key", "left")
+    return rare.unionByName(rows.join(copied, "key")).withColumn("least", F.col("best.doc"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_copies (rows with the same set) for each row of
+    docs (doc_id, text)."""
     doc_id = F.when(F.col("doc") != _LOWEST, F.col("doc"))
     empty = F.col("n") == 0
-    return out.select(
+    return linked_rows(docs).select(
         doc_id.alias("doc_id"),
         F.col("n").cast("bigint").alias("n_shingles"),
-        F.when(empty, doc_id).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, doc_id).otherwise(F.col("least")).alias("component_id"),
         F.when(empty, 1).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without rows whose component has a smaller doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component: of its least doc_id the text with the least xxhash64,
+    and of rows equal in both the one with the least xxhash64 of its other columns. Rows without
+    a doc_id stay, as do those without words."""
+    rows = linked_rows(docs)
+    seen = rows.where((F.col("n") > 0) & (F.col("doc") != _LOWEST))
+    gone = stored(seen.where(F.struct("doc", "mark") != F.col("best")).select("doc", "mark").distinct(), "gone")
+    whole = docs.select(packed(docs), _doc(), F.xxhash64("text").alias("mark"))
+    kept = whole.join(small(gone), ["doc", "mark"], "left_anti")
+    again = stored(seen.join(small(gone), ["doc", "mark"], "left_anti").groupBy("doc", "mark").agg(F.count("*").alias("c")).where("c > 1").select("doc", "mark"), "again")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.xxhash64(*[F.col("_row").getField(c) for c in hashed])
+    once = kept.join(small(again), ["doc", "mark"], "left_semi").groupBy("doc", "mark").agg(F.min_by("_row", order).alias("_row"))
+    return kept.join(small(again), ["doc", "mark"], "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from factlake.llm import common
 from factlake.llm import shingle_join as S
 
 
@@ -74,6 +75,30 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or 0, r.hash) for r in S.one_of_each(docs).collect()) == [(0, 7), (1, 7), (3, 7), (9, 7)]
 
 
+def test_rows_that_share_an_id_are_judged_one_by_one(spark):
+    """A text of its own stays whatever copies share its id; of equal rows one stays."""
+    a, z = "a b c d e f", "v w x y z unlike all others"
+    rows = [(3, a, "p"), (5, a, "q"), (5, z, "r"), (8, None, "s"), (8, None, "s"), (9, "k l m n o p", "t"), (9, "k l m n o p", "u"), (9, "k l m n o p", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` string").selectExpr("*", "1 as _row", "2 as doc", "3 as mark", "4 as best")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(3, a), (5, z), (8, ""), (8, ""), (9, "k l m n o p")]
+    same = S.one_of_each(spark.createDataFrame([(3, a)] * 3, "doc_id bigint, text string"))
+    assert [tuple(r) for r in same.collect()] == [(3, a)]
+    assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_settings_and_tables_stay_as_they_were(spark, tmp_path, monkeypatch):
+    """An operator gives the session its settings back, and leaves its result alone in the folder."""
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Bytes", "Records")]
+    before = [spark.conf.get(k) for k in keys]
+    monkeypatch.setattr(common, "scratch", lambda _: f"file://{tmp_path}")
+    out = S.near_duplicates(spark.createDataFrame(made(3, 4, 4, 4), "doc_id bigint, text string"))
+    assert out.count() > 0
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) == 1
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_block_product_in_slabs(monkeypatch):
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 200, n).astype(np.uint64)) for n in (150, 160, 170, 5, 180)]
