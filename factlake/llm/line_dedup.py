@@ -1,11 +1,12 @@
 """Line dedup: repeated long lines go from all documents but one, as keep bitmaps.
 
-The method. Every document's long lines are hashed, and the hashes are written once, without
-text. Tasks fold their documents' keys first, so a line in a third of all documents reaches the
-next stage as a row per task and not per document. The folded hashes are dealt by range and
-sorted by hash and document, largest first; one pass over a sorted partition streams the runs,
-whose first document is the one that keeps the line. Keys held by enough documents then meet
-the stored hashes, and each document's decision is a compressed bitmap over its lines.
+The method. A row per long line (hash, document, row, line) is written once, without text. Rows are
+dealt by ranges of (hash, document, row, line), so that a line of a third of all documents is spread
+over as many tasks as its rows need, and sorted by hash, then document, largest first, and position.
+One pass over a sorted partition streams the runs of a hash: its first document keeps the line, the
+others lose it where enough documents hold it. Hashes whose run may go on in another task, the first
+and the last of a partition and those with very many rows, are left open by the stream, and settled
+by an aggregate over these few. A document's decision is a compressed bitmap over its lines.
 
 Defined results
 - A null or empty text is one empty line. A line under 20 code points after stripping is kept.
@@ -25,79 +26,87 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches, stored, table
+from .common import columns, job, small, stored, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SPACES = " \t\n\x0b\x0c\r"
 LOWER = {c: c + 32 for c in range(65, 91)}
-#: Keys that a task holds before it writes them out.
-HELD = 100_000
+#: Rows of a hash that a task holds at most, rows to a partition, and bytes of bitmaps to be broadcast.
+HELD, SHARE, SMALL_BYTES = 100_000, 1_000_000, 32 << 20
 #: What kept_text adds.
 COUNTS = ("_n_lines", "_n_dropped", "_n_long_left")
 #: Stands for a null doc_id: below all others.
 LOWEST = -(2**63)
 
 
-def _hashed(min_chars: int):
-    """Keys of each text's long lines (16 bytes each) and the lines they stand on."""
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found, at = [], []
-            for text in batch.pop("text"):
-                lines = [x.strip(SPACES) for x in (text or "").split("\n")]
-                long = [i for i, x in enumerate(lines) if len(x) >= min_chars]
-                found.append(b"".join(xxhash.xxh3_128_digest(lines[i].translate(LOWER).encode()) for i in long))
-                at.append(np.array([len(lines), *long], "<i4").tobytes())
-            yield batch.assign(keys=found, at=at)
-
-    return keys
+LINE = "a bigint, b bigint, doc bigint, row bigint, line int, mark bigint, n_lines int"
 
 
-def _folded(limit: int):
-    """Distinct keys of a task's documents, with the number and the largest of these. Written out
-    whenever `limit` keys are held, so a task's memory does not grow with its input."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, list[int]] = {}
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"key": list(held), "docs": [x[0] for x in held.values()], "top": [x[1] for x in held.values()]})
-            held.clear()
-            return frame.astype({"docs": "int64", "top": "int64"})
+def _hashed(min_chars: int):
+    """A row for each long line: the halves of its hash, its document, row and place."""
 
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for doc, keys in zip(batch["doc"].tolist(), batch["keys"], strict=True):
-                for key in {keys[i : i + 16] for i in range(0, len(keys), 16)}:
-                    x = held.setdefault(key, [0, doc])
-                    x[0] += 1
-                    x[1] = max(x[1], doc)
-                if len(held) >= limit:
-                    yield out()
-        yield out()
+            digests, places, counts, long = [], [], [], []
+            for text in batch["text"]:
+                own = [x.strip(SPACES) for x in (text or "").split("\n")]
+                at = [i for i, x in enumerate(own) if len(x) >= min_chars]
+                digests += [xxhash.xxh3_128_digest(own[i].translate(LOWER).encode()) for i in at]
+                places += at
+                counts.append(len(own))
+                long.append(len(at))
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            of = np.repeat(np.arange(len(batch)), long)
+            yield pd.DataFrame(
+                {
+                    "a": halves[:, 0],
+                    "b": halves[:, 1],
+                    "doc": batch["doc"].to_numpy()[of],
+                    "row": row + of,
+                    "line": np.array(places, np.int32),
+                    "mark": batch["mark"].to_numpy()[of],
+                    "n_lines": np.array(counts, np.int32)[of],
+                }
+            )
+            row += len(batch)
 
-    return fold
+    return lines
 
 
-def _runs(min_docs: int):
-    """Streams rows sorted by (key, top descending): the keys of enough documents, each with the
-    document it occurs in first. Only the run at hand is kept from batch to batch."""
+def _runs(min_docs: int, limit: int):
+    """Streams rows sorted by (a, b, doc descending, row, line): those that lose their line, and the
+    open ones. Only the run at hand is kept from batch to batch, up to `limit` rows of it."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run: list | None = None
+        held, opened = None, None  # rows of the run at hand; the hash whose rows are all left open
         for batch in batches:
-            ended = []
-            for key, docs, top in batch.itertuples(index=False, name=None):
-                if run and run[0] == key:
-                    run[1] += docs
-                else:
-                    ended.append(run)
-                    run = [key, docs, top]
-            yield pd.DataFrame([(r[0], r[2]) for r in ended if r and r[1] >= min_docs], columns=["key", "top"])
-        yield pd.DataFrame([(r[0], r[2]) for r in [run] if r and r[1] >= min_docs], columns=["key", "top"])
+            if not len(batch):
+                continue
+            if opened is None:
+                opened = (batch["a"].iat[0], batch["b"].iat[0])
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            a, b, doc, row = (rows[c].to_numpy() for c in ("a", "b", "doc", "row"))
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+            starts = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            another = new | np.r_[True, row[1:] != row[:-1]]
+            docs = np.add.reduceat(another.astype(np.int64), starts)
+            left = (a == opened[0]) & (b == opened[1])
+            last = run == len(starts) - 1
+            keep = last & ~left
+            if keep.sum() > limit:
+                opened, left, keep = (a[-1], b[-1]), left | last, keep & False
+            gone = ~left & ~keep & (docs[run] >= min_docs) & (doc != doc[starts][run])
+            held = rows[keep] if keep.any() else None
+            yield rows[gone | left].assign(left=left[gone | left])
+        if held is not None:
+            yield held.assign(left=True)
 
     return scan
 
@@ -113,51 +122,42 @@ def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(keep=maps)
 
 
+def _doc() -> Column:
+    return F.coalesce("doc_id", F.lit(LOWEST)).cast("bigint").alias("doc")
+
+
+@job
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, mark, n_lines, keep) for each text that loses lines; other texts keep all.
 
     docs: doc_id, text. `mark` is xxhash64 of the text, so that rows that share a doc_id are told
     apart; doc is the doc_id with null as LOWEST.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).cast("bigint").alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    lines = stored(rows.mapInPandas(_hashed(min_chars), "doc bigint, mark bigint, keys binary, at binary"), "lines")
-    folded = lines.where("length(keys) > 0").select("doc", "keys").mapInPandas(_folded(HELD), "key binary, docs bigint, top bigint")
-    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = folded.repartitionByRange(shares, "key").sortWithinPartitions("key", F.desc("top"))
-    repeated = stored(dealt.mapInPandas(_runs(min_docs), "key binary, top bigint"), "repeated")
-
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n = batch["keys"].str.len().to_numpy() // 16
-            at = [np.frombuffer(x, "<i4") for x in batch["at"]]
-            keys = b"".join(batch["keys"])
-            yield pd.DataFrame(
-                {
-                    "doc": np.repeat(batch["doc"].to_numpy(), n),
-                    "mark": np.repeat(batch["mark"].to_numpy(), n),
-                    "n_lines": np.repeat(np.array([x[0] for x in at], np.int32), n),
-                    "line": np.concatenate([x[1:] for x in at]),
-                    "key": [keys[i : i + 16] for i in range(0, len(keys), 16)],
-                }
-            )
-
-    placed = lines.where("length(keys) > 0").mapInPandas(exploded, "doc bigint, mark bigint, n_lines int, line int, key binary")
-    gone = placed.join(repeated, "key").where("doc <> top").select("doc", "mark", "n_lines", "line")
+    rows = docs.select(_doc(), F.xxhash64("text").alias("mark"), "text")
+    lines = stored(rows.mapInPandas(_hashed(min_chars), LINE), "lines")
+    shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // SHARE)
+    order = ["a", "b", F.desc("doc"), "row", "line"]
+    dealt = lines.repartitionByRange(shares, *order).sortWithinPartitions(*order)
+    seen = stored(dealt.mapInPandas(_runs(min_docs, HELD), LINE + ", left boolean"), "runs")
+    # the open hashes: two to a partition, and those of more than HELD rows
+    left = seen.where("left")
+    totals = left.select("a", "b", "doc", "row").distinct().groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("doc").alias("top"))
+    totals = stored(totals.where(F.col("docs") >= min_docs).drop("docs"), "totals")
+    gone = seen.where("not left").unionByName(left.join(small(totals), ["a", "b"]).where("doc <> top").drop("top"))
     each = gone.groupBy("doc", "mark", "n_lines").agg(F.collect_set("line").alias("gone"))
     return each.mapInPandas(_bitmaps, "doc bigint, mark bigint, n_lines int, keep binary")
 
 
-def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with its columns, text cut to the lines kept, and _n_lines, _n_dropped, _n_long_left:
-    lines before, lines dropped, and lines of MIN_CHARS or more that stay."""
-    schema = docs.schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + "".join(f", {c} bigint" for c in COUNTS)
+def _cut(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs' columns as c0, c1 ... with text cut to the lines kept, then COUNTS."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)] + [StructField(c, LongType()) for c in COUNTS])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for text, keep in zip(batch["text"].to_pylist(), batch["_keep"].to_pylist(), strict=True):
+            for text, keep in zip(batch[names[at]].to_pylist(), batch["keep"].to_pylist(), strict=True):
                 lines = (text or "").split("\n")
                 stay = lines
                 if keep is not None:
@@ -167,21 +167,30 @@ def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
                 texts.append(text)
                 counts.append((len(lines), len(lines) - len(stay), sum(len(x.strip(SPACES)) >= MIN_CHARS for x in stay)))
             n = np.array(counts, np.int64).reshape(-1, 3)
-            own = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in schema.names]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(n[:, i]) for i in range(3))], [*schema.names, *COUNTS])
+            own = [pa.array(texts, pa.string()) if c == names[at] else batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(n[:, i]) for i in range(3))], [*names, *COUNTS])
+
+    rows = docs.select(*[c.alias(n) for c, n in zip(columns(docs), names, strict=True)], _doc(), F.xxhash64("text").alias("mark"))
+    maps = bitmaps.select("doc", "mark", "keep")
+    held = maps.agg(F.sum(F.length("keep") + 16)).first()[0] or 0
+    maps = small(maps) if held <= SMALL_BYTES else maps  # where they are few bytes, no text is shuffled
+    return rows.join(maps, ["doc", "mark"], "left").drop("doc", "mark").mapInArrow(cut, schema)
+
 
-    key = (F.coalesce("doc_id", F.lit(LOWEST)).cast("bigint") == F.col("_doc")) & (F.xxhash64("text") == F.col("_mark"))
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
-    return docs.join(maps, key, "left").drop("_doc", "_mark").mapInArrow(cut, out)
+def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with its columns, text cut to the lines kept, and _n_lines, _n_dropped, _n_long_left:
+    lines before, lines dropped, and lines of MIN_CHARS or more that stay."""
+    return _cut(docs, bitmaps).toDF(*docs.columns, *COUNTS)
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
     """docs with text cut and n_chars anew. Only a document of which nothing but white space is left
     goes; all others keep their remaining lines, however short."""
-    out = kept_text(docs, keep_bitmaps(docs)).where(F.expr("_n_dropped = 0") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    out = _cut(docs, keep_bitmaps(docs)).where((F.col("_n_dropped") == 0) | F.col(at["text"]).rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.drop(*COUNTS).toDF(*docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

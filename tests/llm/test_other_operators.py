@@ -49,11 +49,18 @@ def plain_lines(rows):
     return sorted(out)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("held, share", [(100_000, 1_000_000), (7, 500)])
+def test_line_dedup(spark, monkeypatch, held, share):
+    """The second case cuts runs over many partitions, and holds only a few rows of each."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    monkeypatch.setattr(line_dedup, "SHARE", share)
     r = random.Random(1)
     pool = ["A line of more than twenty characters", "  a LINE of more than twenty characters\t", "short", "", "another long line, the second of these", "ünïcödé line of just over 20", "é" * 20, "é" * 19, "\x0bvertical tab and more text here\x0c"]
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for i in range(60)] + [(None, pool[0]), (None, pool[4]), (3, None), (3, ""), (70, "\n".join(pool * 2000)), (70, pool[0])]
     docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id bigint, text string, line string").repartition(5)
+    odd = docs.selectExpr("*", "1 as _n_dropped", "2 as _doc", "3 as _mark", "4 as keep", "5 as `a.b`", "6 as c0", "7 as mark")
+    cut = line_dedup.without_copied_lines(odd)
+    assert cut.columns == odd.columns and {(x._n_dropped, x.c0, x.mark) for x in cut.collect()} == {(1, 6, 7)}
     got = line_dedup.kept_text(docs, line_dedup.keep_bitmaps(docs)).collect()
     assert sorted((-1 if x.doc_id is None else x.doc_id, x._n_lines, x._n_dropped, hashlib.sha256((x.text or "").encode()).hexdigest()) for x in got) == plain_lines(rows)
     assert {x.line for x in got} == {"clash"}
