@@ -2,21 +2,29 @@
 
 Native: DataFrame functions only.
 
-Every rule is a ratio of counts of a text that is large for junk. A rule may reject a document
-of a stratum (its language) above a cutoff only if the labelled clean documents prove it safe:
-with n clean documents of the stratum, k of them above the cutoff, the exact binomial tail
-P(X <= k | n, limit) must be at most alpha / m, m being the number of all (stratum, rule, cutoff)
-tests (Bonferroni). Equivalently the exact upper confidence bound of the false rejection rate is
-at most `limit`. The smallest certified cutoff is used; where none is certified, the rule is off.
-The rules share the allowed rate, so a stratum loses at most RISK of its clean documents,
-with confidence 1 - alpha over all strata at once. (That is stated on the documents of the
-labels' own distribution.) Cutoffs are a fixed grid, so that no label chooses the tests.
+Every rule is a ratio of counts of a text that is large for junk, and rejects above its cutoff. A
+set of cutoffs may be used in a stratum only if the labelled clean documents prove it safe: with n
+clean documents of the stratum that pass the base, k of them rejected by any rule, the binomial tail
+P(X <= k | n, RISK) must be at most alpha / m. Equivalently the exact upper confidence bound of the
+false rejection rate is at most RISK.
+
+Tests come in fixed sequences. A path is a set of rules whose cutoffs tighten together, from the
+loosest of a fixed grid; it ends where a test fails, so a path is one hypothesis at level alpha / m
+however long it is. Paths are all rules together, those on characters, those on repetition, and each
+alone, so that a rule that clean documents break does not hold up the others; m is strata times
+paths (Bonferroni). Of the certified
+ends of its paths a stratum takes the one that rejects most labelled junk: all are certified at once.
+
+A stratum is a language with LEAST clean labels or more. Others are too small for a proof of their
+own, and are one stratum together; the bound then holds for them together, not for each. With k = 0
+a lone stratum needs 245 clean labels, four need 314 each: below that, rules are off.
 
 Defined results
 - A null or empty text has no words, fails the base rule and is not kept. Null ids, languages
   and labels are allowed: a null language is a stratum, a null label is no label.
 - Rows that repeat are judged alike; a doc_id labelled twice counts as often as it is labelled.
 - An empty documents table gives no rows; without labels only the base rule rejects.
+- keep_good() passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +34,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, small, stored, table
+from .common import SPACE, job, packed, small, stored, table
 
-#: Share of a stratum's clean documents that all rules together may reject, and the level.
-RISK, ALPHA = 0.02, 0.05
+#: Share of a stratum's clean documents that all rules together may reject, the level, and the clean
+#: labels that make a language a stratum of its own.
+RISK, ALPHA, LEAST = 0.02, 0.05, 320
 #: Cutoffs tried for every rule, in thousandths.
 CUTOFFS = (10, 20, 30, 50, 80, 120, 160, 200, 250, 300, 400, 500, 650, 800, 1000)
 #: Rules: 1000 * numerator > cutoff * denominator rejects.
@@ -39,6 +48,8 @@ RULES = {
     "dup_lines": ("n_dup_lines", "n_lines"),
     "shouts": ("n_shouts", "n_words"),
 }
+#: Rules that tighten together.
+PATHS = (tuple(RULES), ("symbols", "shouts"), ("repeats", "dup_lines"), *((r,) for r in RULES))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts")
 
 
@@ -124,26 +135,36 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * F.lit(p), F.lit(1.0)).otherwise(top * F.aggregate(steps, zero, step, lambda acc: acc["s"]))
 
 
-def certified(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
-    """One row per stratum: its least certified cutoff for each rule, null where there is none.
+def _level(rule: str) -> Column:
+    """How many of the cutoffs the rule's ratio is above; they ascend, so these are the first ones."""
+    a, b = RULES[rule]
+    return F.size(F.filter(F.array(*[F.lit(c) for c in CUTOFFS]), lambda c: 1000 * F.col(a) > c * F.col(b)))
 
-    labelled: stratum, COUNTS and `quality` (1: clean). Counting is one aggregate with a partial
-    step, whose groups are strata times the fixed grid, so no group gathers rows.
+
+def certified(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA, least: int = LEAST) -> DataFrame:
+    """One row per stratum with its certified cutoffs: _of (its language), pooled (whether it is that
+    of all small languages), and cut_<rule>, null for a rule that is off.
+
+    labelled: stratum, COUNTS and `quality` (1: clean, 0: junk). Counting is one aggregate with a
+    partial step, whose groups are languages times paths times the fixed grid: no group gathers rows.
     """
-    clean = labelled.where("quality = 1")
-    grid = [(rule, a, b, c) for rule, (a, b) in RULES.items() for c in CUTOFFS]
-    sums = clean.groupBy(stratum).agg(
-        F.count("*").alias("n"),
-        *[F.count_if(1000 * F.col(a) > c * F.col(b)).alias(f"k{i}") for i, (_, a, b, c) in enumerate(grid)],
-    )
-    tests = [F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, _, _, c) in enumerate(grid)]
-    strata = clean.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), stratum), F.lit("n"))).alias("strata"))
-    n_tests = strata.first()[0] * len(tests)
-    long = sums.select(stratum, "n", F.explode(F.array(*tests)).alias("g"))
-    tail = binomial_tail(F.col("n"), F.col("g.k"), risk / len(RULES))
-    safe = long.where(tail * n_tests <= alpha)
-    cuts = [F.min(F.when(F.col("g.rule") == rule, F.col("g.cutoff"))).alias(f"cut_{rule}") for rule in RULES]
-    return safe.groupBy(stratum).agg(*cuts)
+    rows = labelled.where("quality in (0, 1)").select(stratum, "quality", *[_level(r).alias(f"_{r}") for r in RULES])
+    paths = [F.struct(F.lit(p).alias("path"), F.greatest(F.lit(0), *[F.col(f"_{r}") for r in path]).alias("level")) for p, path in enumerate(PATHS)]
+    held = rows.select(F.col(stratum).alias("s"), "quality", F.explode(F.array(*paths)).alias("x")).groupBy("s", "quality", "x.path", "x.level").agg(F.count("*").alias("c"))
+    held = stored(held, "levels")
+    sizes = held.where("path = 0").groupBy(F.col("s").alias("t")).agg((F.sum(F.when(F.col("quality") == 1, F.col("c")).otherwise(0)) < least).alias("pooled"))
+    held = held.join(small(stored(sizes, "sizes")), F.col("s").eqNullSafe(F.col("t"))).withColumn("_of", F.when(~F.col("pooled"), F.col("s")))  # a row per language
+    count = lambda q, i: F.sum(F.when((F.col("quality") == q) & (F.col("level") > i), F.col("c")).otherwise(0))
+    tests = [F.struct(F.lit(c).alias("cutoff"), count(1, i).alias("k"), count(0, i).alias("junk")) for i, c in enumerate(CUTOFFS)]
+    sums = stored(held.groupBy("_of", "pooled", "path").agg(count(1, -1).alias("n"), F.array(*tests).alias("g")), "strata")
+    m = sums.count()  # strata times paths
+    long = sums.select("_of", "pooled", "path", "n", F.explode("g").alias("g"))
+    safe = binomial_tail(F.col("n"), F.col("g.k"), risk) * m <= alpha
+    # a tighter set rejects what a looser one does and more, so the tightest that passes ends its path
+    ends = long.groupBy("_of", "pooled", "path").agg(F.min(F.when(safe, F.struct("g.cutoff", "g.junk"))).alias("end"))
+    best = ends.groupBy("_of", "pooled").agg(F.max_by(F.struct("path", "end.cutoff"), F.struct(F.coalesce("end.junk", F.lit(-1)), -F.col("path"))).alias("b"))
+    cut = lambda rule: F.when(F.col("b.path").isin([p for p, rules in enumerate(PATHS) if rule in rules]), F.col("b.cutoff"))
+    return best.select("_of", "pooled", *[cut(rule).alias(f"cut_{rule}") for rule in RULES])
 
 
 def base_failed() -> Column:
@@ -152,16 +173,21 @@ def base_failed() -> Column:
 
 def _with_cuts(counts: DataFrame, labelled: DataFrame, labels: DataFrame, risk: float, alpha: float) -> DataFrame:
     """counts (_stratum, COUNTS, others) with base_failed and kept, by cutoffs from labelled."""
-    marked = labels.select("doc_id", "quality").join(labelled, "doc_id")
+    marked = labels.select("doc_id", "quality").join(labelled.where(~base_failed()), "doc_id")
+    cuts = stored(certified(marked, "_stratum", risk, alpha), "cuts")
+    rest = cuts.where("pooled").first()  # one row, for languages without one of their own
     # a row per stratum: texts stay where they are, also when one stratum holds most of them
-    cuts = small(stored(certified(marked, "_stratum", risk, alpha).withColumnRenamed("_stratum", "_of"), "cuts"))
+    own = small(cuts.where("not pooled").drop("pooled").withColumn("_own", F.lit(True)))
     hit = F.lit(False)
     for rule, (a, b) in RULES.items():
-        hit = hit | F.coalesce(1000 * F.col(a) > F.col(f"cut_{rule}") * F.col(b), F.lit(False))
-    judged = counts.join(cuts, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
+        pooled = F.lit(rest[f"cut_{rule}"] if rest else None).cast("int")
+        cut = F.when(F.col("_own"), F.col(f"cut_{rule}")).otherwise(pooled)
+        hit = hit | F.coalesce(1000 * F.col(a) > cut * F.col(b), F.lit(False))
+    judged = counts.join(own, F.col("_stratum").eqNullSafe(F.col("_of")), "left")
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~hit)
 
 
+@job
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """doc_id, the counts, base_failed and kept for every row of docs (doc_id, lang, text).
 
@@ -174,7 +200,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, alpha: float = ALPHA) -> DataFrame:
     """The rows of docs (doc_id, lang, text, any others) that judge() keeps. Rows are written once
     with their counts; cutoffs read the counts alone, and no text is shuffled."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.col("lang").alias("_stratum"), "text")
+    rows = docs.select(packed(docs), "doc_id", F.col("lang").alias("_stratum"), "text")
     rows = stored(measured(rows), "quality")
     return _with_cuts(rows, rows.drop("_row"), labels, risk, alpha).where("kept").select("_row.*")
 
@@ -186,8 +212,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_RULES_SQL = ", ".join(f"('{rule}', {c})" for rule in RULES for c in CUTOFFS)
-_COUNT_SQL = " ".join(f"WHEN '{rule}' THEN 1000 * {a} > cutoff * {b}" for rule, (a, b) in RULES.items())
+_PATHS_SQL = ", ".join(f"({i}, [{', '.join(repr(r) for r in rules)}])" for i, rules in enumerate(PATHS))
+_CUTOFFS_SQL = ", ".join(f"({c})" for c in CUTOFFS)
+_HIT_SQL = "(" + " OR ".join(f"(list_contains(rules, '{rule}') AND 1000 * {a} > cutoff * {b})" for rule, (a, b) in RULES.items()) + ")"
 OP5_SQL = rf"""
 WITH split AS (
   SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text,
@@ -206,19 +233,25 @@ WITH split AS (
     len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ln) AS n_lines,
     length(text) - length(replace(text, '!', '')) AS n_shouts
   FROM split LEFT JOIN repeats USING (id)
-), clean AS (SELECT counts.* FROM labels JOIN counts USING (doc_id) WHERE quality = 1
+), marked AS (SELECT counts.*, quality FROM labels JOIN counts USING (doc_id) WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+), sizes AS (SELECT lang, count(*) FILTER (quality = 1) < {LEAST} AS pooled FROM marked GROUP BY lang
+), grid AS (SELECT path, rules, cutoff FROM (VALUES {_PATHS_SQL}) p(path, rules), (VALUES {_CUTOFFS_SQL}) c(cutoff)
 ), tests AS (
-  SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (CASE rule {_COUNT_SQL} END) AS k
-  FROM clean, (VALUES {_RULES_SQL}) r(rule, cutoff) GROUP BY ALL
+  SELECT CASE WHEN NOT pooled THEN m.lang END AS lang, pooled, path, cutoff, count(*) FILTER (quality = 1) AS n,
+    count(*) FILTER (quality = 1 AND {_HIT_SQL}) AS k,
+    count(*) FILTER (quality = 0 AND {_HIT_SQL}) AS junk
+  FROM marked m JOIN sizes z ON m.lang IS NOT DISTINCT FROM z.lang, grid GROUP BY ALL
 ), tails AS (
-  SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
-    + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))) AS tail
-  FROM tests WHERE k < n * {RISK / len(RULES)}
-), cuts AS (
-  SELECT lang, rule, min(cutoff) AS cutoff FROM tails WHERE tail * (SELECT count(*) FROM tests) <= {ALPHA} GROUP BY ALL
+  SELECT *, CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+    + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) END AS tail FROM tests
+), safe AS (
+  SELECT lang, pooled, path, min(cutoff) AS cutoff, arg_min(junk, cutoff) AS junk FROM tails
+  WHERE tail * {len(PATHS)} * (SELECT count(*) FROM (SELECT DISTINCT lang, pooled FROM tests)) <= {ALPHA} GROUP BY ALL
+), cuts AS (SELECT * FROM safe JOIN (SELECT DISTINCT path, rules FROM grid) USING (path) QUALIFY row_number() OVER (PARTITION BY lang, pooled ORDER BY junk DESC, path) = 1
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed,
-    EXISTS (SELECT 1 FROM cuts WHERE cuts.lang IS NOT DISTINCT FROM counts.lang AND CASE rule {_COUNT_SQL} END) AS hit
+    EXISTS (SELECT 1 FROM cuts WHERE (CASE WHEN EXISTS (SELECT 1 FROM sizes z WHERE z.lang IS NOT DISTINCT FROM counts.lang AND NOT z.pooled)
+        THEN cuts.lang IS NOT DISTINCT FROM counts.lang AND NOT cuts.pooled ELSE cuts.pooled END) AND {_HIT_SQL}) AS hit
   FROM counts
 )
 SELECT doc_id, n_words::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

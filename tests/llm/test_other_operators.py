@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from factlake.llm import chat_format, line_dedup, mixing, quality, vector_join,
 from factlake.llm.common import scratch
 from factlake.llm.graph import components
 
+from ..oracle import agree
+
 
 def test_components(spark):
     r = random.Random(3)
@@ -117,6 +120,35 @@ def test_certified_rule_spares_clean_documents(spark):
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_rules_that_fire_agree_with_sql(spark, tmp_path):
+    """A labelled table on which rules are certified: one language alone, and two small ones together."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, labels = [], []
+    for i, lang in enumerate(["aa"] * 900 + ["bb"] * 200 + [None] * 250):
+        kind, words = r.random(), [word() for _ in range(70)]
+        if kind < 0.1:
+            words = [w + r.choice(["", " #", "!", " $ %"]) for w in words]
+        elif kind < 0.2 and lang == "aa":
+            words[9] += " #"
+        lines = [" ".join(words)] + (["same line"] * r.randint(0, 60) if kind > 0.8 else [])
+        rows.append((i, "\n".join(lines), lang))
+        labels.append((i, None if i % 50 == 7 else int(kind >= 0.1)))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    agree(spark, con, quality.op5_quality_rules, quality.OP5_SQL, str(tmp_path))
+    got = quality.judge(docs, marks).collect()
+    ruled_out = {x.doc_id for x in got if not x.kept and not x.base_failed}
+    assert len({rows[i][2] for i in ruled_out}) == 3 and len(ruled_out) > 60
+    odd = docs.selectExpr("*", "1 as _row", "2 as n_words", "3 as `a.b`", "4 as _own")
+    kept = quality.keep_good(odd, marks)
+    assert kept.columns == odd.columns and kept.count() == sum(x.kept for x in got)
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>\n<|im_start|>user\nx", "<\\|im_end|>", "<\\\\|", "<", "<|", None, "", "a\n", "tail <\\"]
     rows = [(1, i, role, t) for i, (role, t) in enumerate([("user", odd[0]), ("assistant", odd[1]), ("user", odd[2]), ("assistant", odd[3])])]
