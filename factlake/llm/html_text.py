@@ -23,14 +23,17 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import table
+from .common import columns, table
 
 OUT, IN, OFF = range(3)
 #: Labelled pages for training, and the seed of their making.
@@ -60,10 +63,9 @@ CLOSES = {
     "option": (("option",), ("optgroup",)),
 }
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile("[>\"']")
+_LONG_NUMBER = re.compile(r"&#(?=\d{9})0*(\d*)")
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -83,47 +85,101 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found | ({"hidden"} if _HIDDEN.search(attributes) else set())))
 
 
+class Tags:
+    """The tags of a page, one after another, in time that follows its length.
+
+    A tag ends at the first > outside quotes, or, where quotes do not close, at the first > of all.
+    Where quotes opened at a place are known to lead nowhere, no later tag tries them again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.failed = page, page.rfind(">"), set()
+        self.last_of = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose attributes begin here has its >, which the page has."""
+        tried, start = [], at
+        while m := _MARK.search(self.page, at):
+            at = m.start()
+            if m[0] == ">":
+                return at
+            if at in self.failed or self.last_of[m[0]] <= at:
+                tried.append(at)
+                break
+            tried.append(at)
+            at = self.page.find(m[0], at + 1) + 1
+        self.failed.update(tried)
+        return self.page.find(">", start)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first tag, comment or declaration from `at` on: where it starts and what follows it,
+        "/" if it closes, its name ("" if it is no element) and its attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "", "", ""
+            if page.startswith(("<!", "<?"), start):
+                end = page.find(">", start)
+                return start, end + 1 if end >= 0 else len(page), "", "", ""
+            if start >= self.last:
+                return None
+            m = _TAG.match(page, start + 1)
+            if m and m.end() <= self.last:
+                end = self._end(m.end())
+                return start, end + 1, m[1], m[2].lower(), page[m.end() : end]
+            at = start + 1
+        return None
+
+
+def _decoded(text: str) -> str:
+    # a number of any length is read: beyond eight digits it is no character in any case
+    return html.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1][:8] or "0"), text))
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first: block elements, and runs of text ("#") as leaves. `at` is
     where in the page a node starts; length, linked and stops count what is below it."""
     nodes, open_blocks, run, anchors, linked = [Node(-1, "html")], [0], [], 0, 0
-    begun, inline, ends = -1, (), {}
+    begun, inline, ends, no_end = -1, set(), {}, set()
+    held, seen = Counter(), {"html"}  # open elements by tag; tags that the page had
 
     def flush() -> None:
         nonlocal run, linked, inline, begun
-        text = _SPACES.sub(" ", html.unescape("".join(run))).strip()
+        text = _SPACES.sub(" ", _decoded("".join(run))).strip()
         if text:
-            leaf = Node(open_blocks[-1], "#", begun, inline)
+            leaf = Node(open_blocks[-1], "#", begun, tuple(sorted(inline)))
             leaf.text, leaf.length, leaf.linked = text, len(text), min(linked, len(text))
             leaf.stops = sum(text.count(c) for c in ".,;:!?。、")
             nodes.append(leaf)
-        run, linked, inline, begun = [], 0, (), -1
+        run, linked, inline, begun = [], 0, set(), -1
 
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
+        if not held[tag]:
+            return
         for i in range(len(open_blocks) - 1, 0, -1):
             name = nodes[open_blocks[i]].tag
             if name == tag:
+                held.subtract(nodes[j].tag for j in open_blocks[i:])
                 del open_blocks[i:]
                 return
             if name in within:
                 return
 
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), Tags(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else end]
+        found = tags.next(at)
+        piece = page[at : found[0] if found else end]
         if piece:
             run.append(piece)
             if begun < 0 and piece.strip():
                 begun = at
             linked += len(piece.strip()) if anchors else 0
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, at, closing, tag, attributes = found
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
             if tag == "a":
                 anchors = 0
@@ -132,10 +188,15 @@ def parse(page: str) -> list[Node]:
                 close(tag)
             continue
         if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if (not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea")) and tag not in no_end:
                 till = f"</{tag}(?=[\\s/>])[^>]*>" + "|(?=<body[\\s>])" * (tag == "head")
                 stop = re.compile(till, re.I).search(page, at)
-                at = stop.end() if stop else at if tag == "head" else end
+                if stop:
+                    at = stop.end()
+                elif tag == "head":
+                    no_end.add(tag)
+                else:
+                    at = end
             continue
         if tag in PARTS and not attributes.rstrip().endswith("/"):
             if tag not in ends or ends[tag][0] < at:
@@ -161,11 +222,13 @@ def parse(page: str) -> list[Node]:
                     close(name, within)
             elif tag not in ("html", "body"):
                 close("p", ("td", "th", "button", "object"))
-            if tag not in ("html", "body") or not any(n.tag == tag for n in nodes):
-                nodes.append(Node(open_blocks[-1], tag, m.start(), _names(attributes)))
+            if tag not in ("html", "body") or tag not in seen:
+                seen.add(tag)
+                held[tag] += 1
+                nodes.append(Node(open_blocks[-1], tag, start, _names(attributes)))
                 open_blocks.append(len(nodes) - 1)
         elif tag not in VOID and attributes:
-            inline = tuple(sorted({*inline, *_names(attributes)}))
+            inline.update(_names(attributes))
     flush()
     for n in reversed(nodes[1:]):
         up = nodes[n.parent]
@@ -393,19 +456,21 @@ def trained() -> Model:
 
 
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """pages (html and others) with `text` in place of html; nothing is shuffled."""
+    """pages (html and others, whatever their names) with `text` after the others in place of html;
+    nothing is shuffled."""
     model = model or trained()
     rest = [f for f in pages.schema if f.name != "html"]
+    names = [f"c{i}" for i in range(len(rest))]
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(x, model) for x in batch["html"].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in rest), texts], [*(f.name for f in rest), "text"])
+            texts = pa.array([main_text(x.as_py(), model) for x in batch["html"]], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), texts], [*names, "text"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string"])
-    return pages.mapInArrow(run, schema)
+    schema = StructType([*(StructField(n, f.dataType) for n, f in zip(names, rest, strict=True)), StructField("text", StringType())])
+    of = [c for c, f in zip(columns(pages), pages.schema, strict=True) if f.name != "html"]
+    rows = pages.select(*[c.alias(n) for c, n in zip(of, names, strict=True)], "html")
+    return rows.mapInArrow(run, schema).toDF(*[f.name for f in rest], "text")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

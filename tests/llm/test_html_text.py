@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -83,6 +84,37 @@ def test_long_and_deep_pages(model):
     assert isinstance(text("<div>" * 3000 + "deep", model), str)
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ['<a title="x ', "<a ", '<a ">"', "</b x=\"", "<a 'x\" ", "<head>", "<body>", "<button>a ", "<svg><p> ", "<", "<b class=q>", "&#1", "<a \">\" '>'", "<!x ", "<p title='"],
+)
+def test_time_follows_the_length(unit, model):
+    """Hostile pages of 200 kB and one > at their end."""
+    for page in (unit * (200_000 // len(unit)), unit * (200_000 // len(unit)) + ">", "<div>" * 20_000 + "</p>" * 20_000 + "<body>" * 20_000):
+        start = time.process_time()
+        assert isinstance(text(page, model), str)
+        assert time.process_time() - start < 6
+
+
+def test_numbers_of_any_length(model):
+    assert H._decoded("&#65;&#" + "0" * 9000 + "66;&#" + "9" * 9000 + ";c&#67") == "AB\ufffdcC"
+
+
+def test_tags_end_where_quotes_say():
+    tags = H.Tags("<a title='x>y' b=\"q'>\">t<p class=\"open>u</p ><3 <!-- > --><br/>")
+    found, at = [], 0
+    while x := tags.next(at):
+        found.append(x[2:])
+        at = x[1]
+    assert found == [("", "a", " title='x>y' b=\"q'>\""), ("", "p", " class=\"open"), ("/", "p", " "), ("", "", ""), ("", "br", "/")]
+
+
+def test_clashing_names(spark):
+    pages = spark.createDataFrame([(1, f"<article>{BODY}</article>")], "page_id bigint, html string").selectExpr("*", "7 as text", "8 as c0", "9 as `a.b`")
+    got = H.extract_text(pages)
+    assert got.columns == ["page_id", "text", "c0", "a.b", "text"] and [tuple(r) for r in got.collect()] == [(1, 7, 8, 9, LINES)]
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>One two three four, five six seven.</p></article>"), (1, "u", None), (None, None, "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
