@@ -60,7 +60,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -69,7 +70,7 @@ def release(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for t in tables:
         if path := t.__dict__.get("_stored_at"):
-            _delete(t.sparkSession, path)
+            discard(t.sparkSession, path)
 
 
 def job(fn):
@@ -92,7 +93,7 @@ def job(fn):
         path = out.__dict__["_stored_at"]
         for other in made:
             if other != path:
-                _delete(rows.sparkSession, other)
+                discard(rows.sparkSession, other)
         if _written:
             _written[-1].append(path)
         return out

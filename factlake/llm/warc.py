@@ -1,17 +1,20 @@
 """WARC archives: a deterministic sharded writer, and a reader of what it wrote.
 
-Writing. Ids are cut into shards by quantiles of a hash-chosen set of ids, so equal tables give
-equal shards whatever the cluster. Which records are revisits is decided on digests alone; the
-decision travels as a row of its own that sorts before the record, so payloads are shuffled once.
-A task writes its shards in order, starts a new file when the compressed size is reached, and
-makes headers and digests anew. Files are written under a temporary name with the attempt in it,
-renamed when complete, and listed in a manifest, itself a table that Spark commits: files that
-it does not list do not count, and a repeated task writes the same bytes over the same name.
+Writing. Records are sorted by page_id and payload digest, and cut into shards of about equal bytes:
+of the pairs that a hash chooses, about PER_SHARD a shard, every PER_SHARD-th begins one, so equal
+tables give equal shards whatever the cluster, and a page_id with very many payloads is cut as well.
+Which records are revisits is decided on digests alone; the decision travels as a row of its own that
+sorts before its records, so payloads are shuffled once. A task writes its shards in order, starts a
+new file when the compressed size is reached, and makes headers and digests anew. Files are written
+under a temporary name with the attempt in it, renamed when complete, and listed in a manifest,
+itself a table that Spark commits: files that it does not list do not count, and a repeated task
+writes the same bytes over the same name.
 
 Reading takes the manifest's files, one at a time, record by record.
 
 Defined results: a null html is the empty payload, a null url the empty target. Rows that share
-a page_id are records each; among equal payloads of one page_id the first written is the response.
+a page_id are records each; among equal payloads of one page_id the first written is the response,
+and rows equal in both are written by one task, all but one of them as revisits if they are long.
 A null page_id is written as an empty id and is below all others. An empty table gives an empty
 manifest and no records. Columns other than the three are not read.
 """
@@ -23,19 +26,21 @@ import gzip
 import hashlib
 import io
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import discard, job, scratch, small, stored, table
 
-#: Compressed bytes of a file, least payload that is not written twice, and rows of a shard.
-FILE_BYTES, REVISIT_BYTES, SHARD_ROWS = 64 << 20, 1000, 4096
+#: Compressed bytes of a file, and least payload that is not written twice.
+FILE_BYTES, REVISIT_BYTES = 64 << 20, 1000
+#: Payload bytes of a shard: a share of the table within these bounds; pairs that tell where one ends.
+SHARDS, LEAST_BYTES, MOST_BYTES, PER_SHARD = 64, 4 << 20, 256 << 20, 32
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -110,22 +115,19 @@ def _writer(folder: str, limit: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = _store(folder)
         files = _Files(store, path, limit)
-        decided: dict[bytes, int] = {}  # of the id at hand: digests of its repeated payloads
-        of, said = None, set()
+        of, top, first = None, None, True  # the pair at hand, its decision, whether none was written
         for batch in batches:
-            for shard, page, kind, url, payload, top in batch.itertuples(index=False, name=None):
-                page = int(page)
-                if page != of:
-                    of, decided, said = page, {}, set()
+            for shard, page, digest, kind, url, payload, kept in batch.itertuples(index=False, name=None):
+                page, digest = int(page), bytes(digest)
+                if (page, digest) != of:
+                    of, top, first = (page, digest), None, True
                 if kind == 0:
-                    decided[bytes(payload)] = int(top)
+                    top = int(kept)
                     continue
                 name = "" if page == _LOWEST else str(page)
-                digest = hashlib.sha1(payload).digest()
-                top = decided.get(digest)
-                first = top == page and digest not in said
-                said.add(digest)
-                original = None if top is None or first else "" if top == _LOWEST else str(top)
+                response = top is None or (top == page and first)
+                first = False
+                original = None if response else "" if top == _LOWEST else str(top)
                 files.add(int(shard), record(name, url, bytes(payload), original))
             yield files.listed()
         files.close()
@@ -134,6 +136,20 @@ def _writer(folder: str, limit: int):
     return write
 
 
+def _starts(rows: DataFrame, every: int) -> list[tuple[int, int]]:
+    """Where shards begin but the first: of the pairs (page, d) that a hash chooses, one in `every`,
+    each PER_SHARD-th in their order. The driver gets these alone, one for each shard."""
+    chosen = rows.select("page", "d").where(F.pmod(F.xxhash64("page", "d"), F.lit(every)) == 0)
+    ordered = chosen.repartitionByRange("page", "d").sortWithinPartitions("page", "d")
+    ordered = stored(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "chosen")
+    held = ordered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row per task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("at") - F.col("first") + F.col("before")
+    cuts = ordered.join(small(stored(held.withColumn("before", before), "held")), "part").where((place % PER_SHARD == 0) & (place > 0))
+    return sorted({(r.page, r.d) for r in cuts.select("page", "d").collect()})
+
+
+@job
 def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) to a new folder in the shared store; returns the manifest:
     file, shard, records, bytes, sha256."""
@@ -142,31 +158,31 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
     spark = pages.sparkSession
     page = F.coalesce("page_id", F.lit(_LOWEST)).cast("bigint")
     rows = pages.select(page.alias("page"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-
-    digests = rows.where(F.length("payload") >= revisit_bytes).select("page", F.unhex(F.sha1("payload")).alias("digest"))
-    digests = stored(digests, "digests")
-    tops = digests.groupBy("digest").agg(F.max("page").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    decisions = digests.join(tops, "digest").distinct()
-
-    count = rows.count()
-    every = max(1, SHARD_ROWS // 32)  # about 32 ids a shard tell where shards begin
-    ids = sorted(r[0] for r in rows.select("page").where(F.pmod(F.xxhash64("page"), F.lit(every)) == 0).collect())
-    shards = max(1, -(-count // SHARD_ROWS))
-    starts = np.array(sorted({ids[i * len(ids) // shards] for i in range(1, shards)}) if ids else [], np.int64)
-    both = rows.select("page", F.lit(1).alias("kind"), "url", "payload", F.lit(0).cast("bigint").alias("top")).union(
-        decisions.select("page", F.lit(0).alias("kind"), F.lit("").alias("url"), F.col("digest").alias("payload"), "top")
+    digest, size = F.unhex(F.sha1("payload")).alias("digest"), F.length("payload").alias("size")
+
+    digests = stored(rows.select("page", digest, size).withColumn("d", F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint")), "digests")
+    long = digests.where(F.col("size") >= revisit_bytes).select("page", "digest")
+    tops = long.groupBy("digest").agg(F.max("page").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
+    decisions = stored(long.distinct().join(tops, "digest"), "decisions")
+
+    count, total = digests.agg(F.count("*"), F.sum("size")).first()
+    shard_bytes = min(MOST_BYTES, max(LEAST_BYTES, (total or 0) // SHARDS))
+    shard_rows = max(1, count * shard_bytes // max(1, total or 0))
+    starts = spark.sparkContext.broadcast(_starts(digests, max(1, shard_rows // PER_SHARD)))
+    both = rows.select("page", digest, F.lit(1).alias("kind"), "url", "payload", F.lit(0).cast("bigint").alias("top")).union(
+        decisions.select("page", "digest", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit(b"").alias("payload"), "top")
     )
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch.insert(0, "shard", np.searchsorted(starts, batch["page"].to_numpy(), side="right"))
+            pairs = zip(batch["page"].tolist(), (int.from_bytes(x[:7], "big") for x in batch["digest"]), strict=True)
+            batch.insert(0, "shard", [bisect_right(starts.value, x) for x in pairs])
             yield batch
 
-    schema = "shard int, page bigint, kind int, url string, payload binary, top bigint"
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(starts) + 1)
-    sharded = both.mapInPandas(shard, schema).repartition(min(tasks, len(starts) + 1), "shard")
-    ordered = sharded.sortWithinPartitions("shard", "page", "kind", "url", "payload")
-    return stored(ordered.mapInPandas(_writer(folder, file_bytes), "file string, shard int, records int, bytes bigint, sha256 string"), "manifest")
+    schema = "shard int, page bigint, digest binary, kind int, url string, payload binary, top bigint"
+    sharded = both.mapInPandas(shard, schema).repartition(len(starts.value) + 1, "shard")
+    ordered = sharded.sortWithinPartitions("shard", "page", "digest", "kind", "url", "payload")
+    return ordered.mapInPandas(_writer(folder, file_bytes), "file string, shard int, records int, bytes bigint, sha256 string")
 
 
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -214,7 +230,9 @@ _COLUMNS = ["page", "url", "payload", "payload_bytes", "payload_digest", "record
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the manifest's files; digests and lengths are verified. A revisit has no payload."""
-    files = manifest.select("file").repartition(max(1, manifest.count()), "file")
+    count, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // FILE_BYTES)
+    files = manifest.select("file").repartition(max(1, min(count, tasks)))
     schema = "page string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers string"
     rows = files.mapInPandas(_reader(folder), schema)
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("bigint"))
@@ -224,7 +242,10 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
-    return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = stored(read, "records")
+    discard(spark, folder)
+    return out
 
 
 OP8_SQL = f"""

@@ -198,7 +198,7 @@ def test_vectors(spark):
     assert vector_join.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     long = "<p>" + "x" * 1000
     rows = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(200)] + [(300 + i, None, long) for i in range(5)] + [(400, "u\nv", None), (None, "n", "null id"), (401, "e", "short"), (402, "e", "short"), (303, "again", long), (500, "ü", "é" * 200_000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, payload string").repartition(5)
@@ -212,6 +212,12 @@ def test_warc_round_trip(spark):
     assert sorted((x.page_id or -1, x.payload_bytes, x.payload_digest) for x in got) == sorted((k or -1 if k is None else k or -1, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for k, _, h in rows)
     assert sorted(((x.page_id, x.refers_to) for x in got if x.record_type == "revisit")) == [(300, 304), (301, 304), (302, 304), (303, 304), (303, 304)]
     texts = {x.page_id: x.payload.decode() for x in got if x.payload is not None}
+    for name, value in (("LEAST_BYTES", 2000), ("PER_SHARD", 4)):
+        monkeypatch.setattr(warc, name, value)
+    hot = pages.union(spark.createDataFrame([(9, "h", f"hot {i} " + "y" * 100, "") for i in range(600)], pages.schema))
+    shards = warc.write_archives(hot, folder + "-hot", file_bytes=4000).groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert len(shards) > 10 and max(x.n for x in shards) < 150  # a page_id of many payloads is cut
+    assert warc.read_archives(warc.write_archives(hot, folder + "-hot2"), folder + "-hot2").count() == hot.count()
     assert texts[500] == "é" * 200_000 and texts[400] == "" and texts[304] == long
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder + "-none"), folder + "-none").count() == 0
 
