@@ -1,9 +1,10 @@
 """Near duplicates among embeddings, by tiled comparison in PCA order.
 
 Vectors are scaled to length one and turned into their principal axes. Equal vectors are one
-class, so copies cost one comparison. Classes are cut into blocks along the first axis; blocks
-further apart on it than linked vectors can be are never paired. In a pair of blocks, tiles are
-compared on the leading axes first: what the others can add to a product is at most the product
+class, so copies cost one comparison. Classes are cut into blocks of neighbours, by quantiles of the
+first axis, of the second within these, and of the third. A block has a box: its bounds on the BOX
+leading axes and on the length of what the others hold. Blocks whose boxes are further apart than
+linked vectors can be are never paired. In a pair of blocks, tiles are compared on the leading axes first: what the others can add to a product is at most the product
 of the two suffix lengths, and pairs that cannot reach the threshold stop there. The others'
 cosines are worked out in double precision. A pair of blocks returns each class's number of links
 and a spanning forest of them, not the links.
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import job, stored, table
 from .graph import components
 
 THRESHOLD = 0.9
-#: Classes in a block and in a tile; the leading share of axes; slack for rounding in float32.
-BLOCK, TILE, LEADING, SLACK = 8192, 1024, 0.375, 1e-5
+#: Classes in a tile; the leading share of axes; slack for rounding in float32; axes of a box.
+TILE, LEADING, SLACK, BOX = 1024, 0.375, 1e-5, 8
+#: Blocks to cut a table into, as long as they hold so many classes at least and at most.
+BLOCKS, LEAST, BLOCK = 16, 1024, 65_536
 _LOWEST = -(2**63)
 
 
@@ -138,47 +141,92 @@ def _block_pair(threshold: float):
     return run
 
 
+def _below(cuts: Column, axis: str) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= F.col(axis)))
+
+
+def _cells(rows: DataFrame, count: int) -> tuple[list[dict[int, np.ndarray]], list[int]]:
+    """Cuts of rows (x0, x1, x2) into about `count` cells: for each axis and cell so far, where it
+    is cut; and the number of parts a cell is cut into on each axis."""
+    axes = [c for c in ("x0", "x1", "x2") if c in rows.columns]
+    splits, left = [], count
+    for i in range(len(axes)):
+        splits.append(math.ceil(left ** (1 / min(2, len(axes) - i))))
+        left = math.ceil(left / splits[-1])
+    cuts, cell = [], F.lit(0)
+    for axis, n in zip(axes, splits, strict=True):
+        if n == 1:
+            cuts.append({})
+            continue
+        inner = [i / n for i in range(1, n)]
+        found = rows.groupBy(cell.alias("cell")).agg(F.percentile_approx(axis, inner, 1000 * n).alias("cuts")).collect()  # a row per cell
+        cuts.append({r.cell: np.array(r.cuts) for r in found})
+        at = F.create_map(*[x for r in found for x in (F.lit(r.cell), F.array(*[F.lit(c) for c in r.cuts]))])
+        cell = cell * n + _below(at[cell], axis)
+    return cuts, splits
+
+
+def _cell_of(batch: pd.DataFrame, cuts: list[dict[int, np.ndarray]], splits: list[int]) -> np.ndarray:
+    cell = np.zeros(len(batch), np.int64)
+    for i, (cut, n) in enumerate(zip(cuts, splits, strict=True)):
+        if cut:
+            within = np.zeros(len(batch), np.int64)
+            for c in np.unique(cell):
+                at = cell == c
+                within[at] = np.searchsorted(cut[int(c)], batch[f"x{i}"].to_numpy()[at], side="right")
+            cell = cell * n + within
+    return cell
+
+
 def _blocks(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(a, b, n): links n of class a where b is null, else a link of the forest."""
-    axes = principal_axes(classes, dim)
+    axes, boxed = principal_axes(classes, dim), min(BOX, dim)
+    sides = [f"x{i}" for i in range(boxed)] + ["rest"]
 
     def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             m = (_matrix(batch["unit"]) @ axes) if len(batch) else np.zeros((0, dim))
-            yield batch.assign(unit=[x.tobytes() for x in m], axis=m[:, 0])
+            out = batch.assign(unit=[x.tobytes() for x in m], **{f"x{i}": m[:, i] for i in range(boxed)})
+            yield out.assign(rest=np.sqrt((m[:, boxed:] ** 2).sum(axis=1)))
 
-    turned = stored(classes.select("key", "copies", "unit").mapInPandas(rotate, "key bigint, copies bigint, unit binary, axis double"), "turned")
+    spark, doubles = classes.sparkSession, "".join(f", {c} double" for c in sides)
+    turned = stored(classes.select("key", "copies", "unit").mapInPandas(rotate, "key bigint, copies bigint, unit binary" + doubles), "turned")
     total = turned.count()
-    cuts = math.ceil(total / BLOCK)
-    bounds = np.array(sorted(set(turned.approxQuantile("axis", [i / cuts for i in range(1, cuts)], 0.25 / cuts))) if cuts > 1 else [])
-    spans = np.r_[-1.0, bounds, 1.0]
-    # where many classes have the same place on the axis, a span is cut by hash as well
-    in_span = F.lit(0) if cuts == 1 else F.size(F.filter(F.lit(bounds.tolist()), lambda x: x <= F.col("axis")))
-    held = {r[0]: r[1] for r in turned.groupBy(in_span.alias("s")).agg(F.count("*")).collect()}  # a row per span
-    parts = np.array([max(1, math.ceil(held.get(s, 0) / (1.5 * BLOCK))) for s in range(len(spans) - 1)])
-    first = np.r_[0, np.cumsum(parts)]
-    of = np.repeat(np.arange(len(parts)), parts)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    # blocks j >= i that can hold partners of block i
-    last = np.array([first[np.searchsorted(spans[:-1], spans[s + 1] + reach, side="right")] for s in of])
+    block = min(BLOCK, max(LEAST, math.ceil(total / BLOCKS)))
+    cuts, splits = _cells(turned.select(*sides), math.ceil(total / block))
+
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(cell=_cell_of(batch, cuts, splits))
+
+    turned = stored(turned.mapInPandas(celled, "key bigint, copies bigint, unit binary" + doubles + ", cell bigint"), "celled")
+    bounds = [f(c).alias(f"{n}_{c}") for c in sides for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = sorted(turned.groupBy("cell").agg(F.count("*").alias("n"), *bounds).collect(), key=lambda r: r.cell)  # a row per cell
+    # where many classes have the same place, a cell is cut by hash as well
+    parts = np.array([max(1, math.ceil(r.n / (1.5 * block))) for r in boxes])
+    first = dict(zip([r.cell for r in boxes], zip((np.cumsum(parts) - parts).tolist(), parts.tolist(), strict=True), strict=True))
+    low, high = (np.repeat(np.array([[r[f"{n}_{c}"] for c in sides] for r in boxes]).reshape(len(boxes), -1), parts, axis=0) for n in ("lo", "hi"))
+    plan = spark.sparkContext.broadcast((first, low, high))
+    reach = 2 - 2 * threshold + 1e-9
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, low, high = plan.value
         for batch in batches:
-            span = np.searchsorted(bounds, batch["axis"].to_numpy(), side="right")
-            key = batch["key"].to_numpy()
-            block = first[span] + (key.view(np.uint64) >> np.uint64(1)).astype(np.int64) % parts[span]
-            rows = batch.drop(columns="axis")
-            for b in np.unique(block):
-                own = rows[block == b]
-                for j in range(b, last[b]):
-                    yield own.assign(i=b, j=j, side=0)
-                for i in np.flatnonzero(last[:b] > b):
-                    yield own.assign(i=i, j=b, side=1)
-
-    paired = turned.mapInPandas(place, "key bigint, copies bigint, unit binary, i int, j int, side int")
+            hashed = (batch["key"].to_numpy().view(np.uint64) >> np.uint64(1)).astype(np.int64)
+            start, count = (np.array([of[c][i] for c in batch["cell"].tolist()], np.int64) for i in (0, 1))
+            own = start + hashed % np.maximum(count, 1)
+            rows = batch[["key", "copies", "unit"]]
+            for b in np.unique(own):
+                gap = np.maximum(0, np.maximum(low - high[b], low[b] - high))
+                held = rows[own == b]
+                for other in np.flatnonzero((gap**2).sum(axis=1) <= reach).tolist():
+                    yield held.assign(i=min(b, other), j=max(b, other), side=int(other < b))
+
+    paired = turned.select("key", "copies", "unit", "cell").mapInPandas(place, "key bigint, copies bigint, unit binary, i int, j int, side int")
     return paired.groupBy("i", "j").applyInPandas(_block_pair(threshold), "a bigint, b bigint, n bigint")
 
 
+@job
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("string").alias("id"), "embedding")

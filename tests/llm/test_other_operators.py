@@ -165,7 +165,7 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chats(chats.limit(0)).count() == 0
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     r = np.random.default_rng(1)
     base = r.normal(0, 1, (12, 16))
     vectors = [(base[i % 12] + r.normal(0, 0.12 * (i % 5), 16)).tolist() for i in range(150)]
@@ -190,14 +190,27 @@ def test_vectors(spark):
         return min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
 
     for block, tile in ((8192, 1024), (20, 7)):
-        vector_join.BLOCK, vector_join.TILE = block, tile
+        for name, value in (("BLOCK", block), ("TILE", tile), ("LEAST", 1)):
+            monkeypatch.setattr(vector_join, name, value)
         got = vector_join.near_duplicate_vectors(frame).collect()
         want = sorted((-1 if k is None else k, len(links[i]), -1 if reach(i) is None else reach(i), k == reach(i)) for i, (k, _) in enumerate(rows))
         assert sorted((-1 if x.vec_id is None else x.vec_id, x.n_links, -1 if x.component_id is None else x.component_id, x.kept) for x in got) == want
-    vector_join.BLOCK, vector_join.TILE = 8192, 1024
     assert vector_join.near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+def test_blocks_of_other_clusters_are_not_paired(spark, monkeypatch):
+    """Of 1,600 vectors in 32 blocks or more, all pairs of blocks would take 51,200 rows."""
+    r = np.random.default_rng(2)
+    centres = np.linalg.qr(r.normal(0, 1, (16, 16)))[0]
+    v = centres[np.arange(1600) % 16] + r.normal(0, 0.01, (1600, 16))
+    whole = vector_join._block_pair
+    for name in ("LEAST", "BLOCK"):
+        monkeypatch.setattr(vector_join, name, 50)
+    monkeypatch.setattr(vector_join, "_block_pair", lambda t: lambda x: whole(t)(x).assign(n=len(x)).head(1))
+    units = spark.createDataFrame([(i, 1, bytearray((x / np.linalg.norm(x)).tobytes())) for i, x in enumerate(v)], "key bigint, copies bigint, unit binary")
+    assert vector_join._blocks(units, 16, 0.9).agg(F.sum("n")).first()[0] < 51_200 / 4
+
+
 def test_warc_round_trip(spark, monkeypatch):
     long = "<p>" + "x" * 1000
     rows = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(200)] + [(300 + i, None, long) for i in range(5)] + [(400, "u\nv", None), (None, "n", "null id"), (401, "e", "short"), (402, "e", "short"), (303, "again", long), (500, "ü", "é" * 200_000)]
