@@ -258,6 +258,22 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """The exponent searched by aggregates is that of the bisection; any names pass; a budget that cannot be met is an error."""
+    rows = [(i, f"s{i % 40}", "w " * (1 + (i % 40) ** 2)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").selectExpr("*", "1 as _row", "2 as _b", "3 as `a.b`", "4 as n")
+    want = sorted(r.doc_id for r in mixing.mix(docs).collect())
+    sizes = [10 * (1 + k * k) for k in range(40)]
+    for own in (None, float(sum(sizes))):
+        few = mixing._searched(spark.createDataFrame([(n,) for n in sizes], "n bigint"), 0.95, 4.0, float(sum(sizes)), own)
+        assert few == pytest.approx(mixing.exponent(sizes, 0.95, 4.0, own), abs=1e-12)
+    monkeypatch.setattr(mixing, "SMALL", 3)
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+    with pytest.raises(ValueError):
+        mixing.mix(docs, repeats=2.0, budget=3.0)
+
+
 def test_exponent():
     tokens = [1000, 10, 10, 10]
     a = mixing.exponent(tokens, 0.9, 1e9, 1030)
