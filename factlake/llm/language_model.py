@@ -1,18 +1,19 @@
 """Log-likelihood of documents under a gated recurrent language model, next to a unigram base.
 
-Counts. Tasks count the words of training documents and write (hash, count) whenever they hold
-LIMIT words; Spark adds these up, over all words of all training documents. The KNOWN most
+Counts. Tasks count the words of training documents and write (hash, count, word) whenever they
+hold LIMIT words; Spark adds these up, over all words of all training documents. The KNOWN most
 frequent ones, a fixed number, go to every task; a document's other words meet the table of
 counts in a join.
 
 Model. A GRU whose softmax has two factors: the class, then the word within it. The VOCABULARY
 most frequent words have classes of CLASS words. All others are in one of BUCKETS by their last
 bytes; within a bucket, words have their share of the unigram base, so the model gives every
-text a probability. It is trained by truncated backpropagation on all training documents: in
-each of ROUNDS rounds of an epoch, every task trains from the same weights on its own documents
-of the round, and weights and moments are averaged by the tokens they come from, in a tree of
-tasks, so that the driver gets FAN of them at most. A task has SHARE tokens or more, and holds
-BLOCK of them at once; a text that a block cuts begins again without state.
+text a probability. It is trained by truncated backpropagation on all training documents. These
+are put in the order of a hash of what they say, and dealt one by one to shares of about SHARE
+tokens and to ROUNDS rounds, so neither the table's partitions nor the order of its rows matter. In
+each round every share trains from the same weights on its documents of the round, BLOCK tokens at
+a time; weights and moments are averaged by the tokens they come from, in a tree of tasks, so that
+the driver gets FAN of them at most. A text that a block cuts begins again without state.
 
 Scoring. Documents run in step, longest first, so that a step is one product for all that are
 still open. After WINDOW steps the states met are scored together, and the state is carried on to
@@ -31,22 +32,22 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import job, small, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 LIMIT, KNOWN = 400_000, 200_000
 VOCABULARY, CLASS, BUCKETS, HIDDEN = 2048, 64, 32, 16
-EPOCHS, LANES, WINDOW, RATE, SEED = 2, 64, 32, 0.004, 5
-#: Rounds of an epoch; tokens that a task trains on at least and holds at once; models that a task averages.
+EPOCHS, LANES, WINDOW, RATE, SEED = 1, 128, 32, 0.006, 5
+#: Rounds of an epoch; tokens of a share, and those held at once; models that a task averages.
 ROUNDS, SHARE, BLOCK, FAN = 4, 2_000_000, 500_000, 16
 #: Documents that run in step, and bytes of text that are split into words at once.
 STEP_ROWS, SLICE = 512, 1 << 20
@@ -69,14 +70,14 @@ def bucket(word: bytes) -> int:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(hash, bucket, c, word) of this task's training texts; word only if it is frequent here."""
+    """(hash, bucket, c, word) of this task's training texts."""
     held: Counter = Counter()
 
     def out() -> pd.DataFrame:
         words = list(held)
         frame = pd.DataFrame({"hash": np.array(list(map(word_hash, words)), np.int64), "bucket": np.array(list(map(bucket, words)), np.int32)})
         frame["c"] = np.fromiter(held.values(), np.int64, len(words))
-        frame["word"] = [w if c > 2 else None for w, c in held.items()]
+        frame["word"] = words
         held.clear()
         return frame
 
@@ -367,40 +368,55 @@ def _blocks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[list[np.ndar
         yield block
 
 
-def _average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row of all: the mean of the vectors by their tokens."""
-    total, tokens = 0.0, 0
-    for batch in batches:
-        for n, raw in zip(batch["n"].tolist(), batch["flat"], strict=True):
-            total, tokens = total + n * np.frombuffer(raw, "<f4").astype(np.float64), tokens + n
-    if tokens:
-        yield pd.DataFrame({"n": [tokens], "flat": [(total / tokens).astype("<f4").tobytes()]})
+def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of several (share, n, flat): the mean of the vectors by their tokens."""
+    rows = rows.sort_values("share")
+    tokens = int(rows["n"].sum())
+    total = sum(n * np.frombuffer(raw, "<f4").astype(np.float64) for n, raw in zip(rows["n"].tolist(), rows["flat"], strict=True))
+    return pd.DataFrame({"share": [rows["share"].iat[0] // FAN], "n": [tokens], "flat": [(total / tokens).astype("<f4").tobytes()]})
+
+
+def in_order(training: DataFrame) -> DataFrame:
+    """tokens and place: the row's number from 0 in the order of the hash of (doc, tokens). Equal
+    rows are spread over tasks by `row`, and have any of their numbers."""
+    keys = [F.xxhash64("doc", "tokens").alias("h"), "row", "tokens"]
+    dealt = training.select(*keys).repartitionByRange("h", "row").sortWithinPartitions("h", "row")
+    dealt = stored(dealt.select("tokens").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "dealt")
+    held = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row per task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = small(stored(held.select("part", (before - F.col("first")).alias("shift")), "held"))
+    return dealt.join(held, "part").select("tokens", (F.col("at") + F.col("shift")).alias("place"))
 
 
 def trained(model: Model, training: DataFrame, n: int) -> tuple[Model, int]:
-    """The model after EPOCHS over all rows of training (row, tokens) of n tokens in all, and the
+    """The model after EPOCHS over all rows of training (doc, row, tokens) of n tokens in all, and the
     tokens it was trained on."""
+    shares = max(1, n // SHARE)
     start, raw, used = model.save(), model.flat(model.still(), 0), 0
-    shares = training.coalesce(max(1, n // SHARE))
+    dealt = in_order(training).select("tokens", "place", F.pmod("place", F.lit(shares)).alias("share"))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, tokens = Model.load(start), 0
-        moving, steps = own.unflat(raw)
-        for block in _blocks(batches, BLOCK):
-            steps, _ = own.train(block, moving, steps)
-            tokens += sum(map(len, block))
-        if tokens:
-            yield pd.DataFrame({"n": [tokens], "flat": [own.flat(moving, steps)]})
+        """Of each share, which come one after another, a model trained on its rows in their order."""
+        runs = ((int(k), rows) for batch in batches for k, rows in batch.groupby("share", sort=True))
+        for share, own in groupby(runs, key=lambda x: x[0]):
+            model, tokens = Model.load(start), 0
+            moving, steps = model.unflat(raw)
+            for block in _blocks((rows for _, rows in own), BLOCK):
+                steps, _ = model.train(block, moving, steps, LANES)
+                tokens += sum(map(len, block))
+            yield pd.DataFrame({"share": [share], "n": [tokens], "flat": [model.flat(moving, steps)]})
 
     for i in range(EPOCHS * ROUNDS):
-        rows = shares.where(F.pmod("row", F.lit(ROUNDS)) == i % ROUNDS).select("tokens").mapInPandas(learn, "n bigint, flat binary")
-        tasks = rows.rdd.getNumPartitions()
-        while tasks > FAN:
-            tasks = -(-tasks // FAN)
-            rows = rows.repartition(tasks).mapInPandas(_average, "n bigint, flat binary")
-        learnt = [(r.n, bytes(r.flat)) for r in rows.collect()]  # at most FAN rows
-        for mean in _average([pd.DataFrame(learnt, columns=["n", "flat"])]):
-            raw, used = mean["flat"][0], used + int(mean["n"][0])
+        of_round = dealt.where(F.pmod(F.floor(F.col("place") / shares), F.lit(ROUNDS)) == i % ROUNDS)
+        rows = of_round.repartitionByRange(shares, "share").sortWithinPartitions("share", "place").mapInPandas(learn, "share bigint, n bigint, flat binary")
+        left = shares
+        while left > FAN:
+            left = -(-left // FAN)
+            rows = rows.groupBy(F.floor(F.col("share") / FAN)).applyInPandas(_average, "share bigint, n bigint, flat binary")
+        learnt = rows.toPandas()  # at most FAN rows
+        if len(learnt):
+            mean = _average(learnt)
+            raw, used = bytes(mean["flat"].iat[0]), used + int(mean["n"].iat[0])
     model = Model.load(start)
     model.unflat(raw)
     return model, used
@@ -410,6 +426,7 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+@job
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs
     (doc_id, text)."""
@@ -418,8 +435,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     part = stored(training.select("text").mapInPandas(_counts, "hash bigint, bucket int, c bigint, word binary"), "word-counts")
     counts = stored(part.groupBy("hash").agg(F.sum("c").alias("c"), F.max("bucket").alias("bucket")), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    named = part.where("word is not null").select("hash", "word").distinct()
-    top = counts.join(named, "hash").orderBy(F.desc("c"), "word").limit(KNOWN).select("word", "c", "bucket").collect()  # at most KNOWN rows
+    best = small(stored(counts.orderBy(F.desc("c"), "hash").limit(KNOWN), "best"))
+    named = part.join(best, "hash").groupBy("hash").agg(F.min("word").alias("word"), F.first(best["c"]).alias("total"), F.first(best["bucket"]).alias("b"))
+    top = sorted(named.select("word", F.col("total").alias("c"), F.col("b").alias("bucket")).collect(), key=lambda r: (-r.c, bytes(r.word)))  # at most KNOWN rows
     lexicon = Lexicon([bytes(r.word) for r in top], np.array([r.c for r in top], np.int64), n, v, VOCABULARY)
     own = np.array([r.c for r in top[: lexicon.own]], np.float64)
     mass = np.ones(BUCKETS)  # of a bucket: counts and one of each of its words, and one for words never seen
@@ -443,7 +461,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         look_up, "doc string, held_out boolean, row bigint, tokens binary, known bigint, base double, rest binary"
     )
     looked_up = stored(looked_up, "tokens")
-    raw = trained(model, looked_up.where("not held_out").select("row", "tokens"), n)[0].save()
+    raw = trained(model, looked_up.where("not held_out").select("doc", "row", "tokens"), n)[0].save()
     shares = np.log10(mass / (n + v + 1))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

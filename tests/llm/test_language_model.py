@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factlake.llm import language_model as L
 
@@ -100,7 +101,7 @@ def test_all_training_documents_are_trained_on(spark, monkeypatch):
         monkeypatch.setattr(L, name, value)
     r = np.random.default_rng(1)
     texts = [r.integers(0, 25, size).astype("<u2") for size in (*r.integers(1, 60, 200), 2500)]
-    rows = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "row bigint, tokens binary").repartition(7)
+    rows = spark.createDataFrame([("1", i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc string, row bigint, tokens binary").repartition(7)
     n = sum(map(len, texts))
     model, _ = noisy(dtype=np.float32)
     before = model.score(texts).sum()
@@ -123,3 +124,20 @@ def test_tokens_used_follow_the_table(spark, monkeypatch):
     docs = spark.createDataFrame([(i % 3, f"word{i % 7} and more " * 20) for i in range(300)], "doc_id bigint, text string")
     n = {r.train_tokens for r in L.score_documents(docs).collect()}
     assert n == {seen[0][1]} and seen[0][1] > 10_000
+
+
+def test_partitions_and_order_change_nothing(spark, monkeypatch):
+    """The same rows in one partition, in sixteen, and in another order get the same scores."""
+    for name, value in (("LIMIT", 300), ("KNOWN", 400), ("VOCABULARY", 128), ("SHARE", 20_000), ("BLOCK", 4000), ("FAN", 2), ("LANES", 8)):
+        monkeypatch.setattr(L, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id < 40"))  # with rows that repeat
+    scores = []
+    for frame in (docs.coalesce(1), docs.repartition(16), docs.orderBy(F.desc("text")).coalesce(3)):
+        scores.append(sorted((r.doc_id, r.n_tokens, r.base_score, r.score) for r in L.score_documents(frame).collect()))
+    for other in scores[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in scores[0]]
+        for (_, n, base, score), (_, _, base2, score2) in zip(other, scores[0], strict=True):
+            assert base == pytest.approx(base2, rel=1e-9)
+            assert abs(score - score2) / n < 1e-4
+    assert scores[0][0][3] != scores[0][0][2]
