@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factlake.llm import line_dedup, mixing, packing, quality, shingle_join
-from factlake.llm.common import stored, table
+from factlake.llm.common import release, stored, table
 
 #: Epochs that the mixing stage may take of a source; every source is taken once at least.
 REPEATS = 2.0
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)  # of the stages' tables; documents are not ours
     return STAGES[-1][1](spark, docs, sf_dir)
