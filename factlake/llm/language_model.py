@@ -46,11 +46,11 @@ from .common import job, small, stored, table
 FOLDS, HELD_OUT = 7, 2
 LIMIT, KNOWN = 400_000, 200_000
 VOCABULARY, CLASS, BUCKETS, HIDDEN = 2048, 64, 32, 16
-EPOCHS, LANES, WINDOW, RATE, SEED = 1, 128, 32, 0.006, 5
+EPOCHS, LANES, WINDOW, RATE, SEED = 1, 64, 32, 0.004, 5
 #: Rounds of an epoch; tokens of a share, and those held at once; models that a task averages.
 ROUNDS, SHARE, BLOCK, FAN = 4, 2_000_000, 500_000, 16
 #: Documents that run in step, and bytes of text that are split into words at once.
-STEP_ROWS, SLICE = 512, 1 << 20
+STEP_ROWS, SLICE = 256, 1 << 20
 #: No word holds white space, so this can stand for the end of a text.
 END = b"\n"
 
@@ -179,18 +179,23 @@ class Model:
         table, n = self.table(), state.shape[1]
         grads = {k: np.zeros_like(getattr(self, k)) for k in self.names}
         kept, states = [], []
+        fed = table[np.maximum(before, 0)]
         for t in range(steps):
-            start = before[t] < 0
-            entered = np.where(start[:, None], 0, state).astype(np.float32)
-            after, z, r, c = self.step(entered, table[np.maximum(before[t], 0)])
-            state = np.where(start[:, None], 0, after).astype(np.float32)
-            kept.append((entered, z, r, c, start))
+            start = np.flatnonzero(before[t] < 0)
+            if len(start):
+                state = state.copy()
+                state[start] = 0
+            after, z, r, c = self.step(state, fed[t])
+            after[start] = 0
+            kept.append((state, z, r, c, start))
+            state = after
             states.append(state)
         h = np.concatenate(states)
         token, on = tokens.ravel(), live.ravel().astype(np.float32)
         kind, place = self.class_of(token)
         logits = h @ self.class_w + self.class_b
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        logits -= logits.max(axis=1, keepdims=True)
+        p = np.exp(logits, out=logits)
         p /= p.sum(axis=1, keepdims=True)
         at = np.arange(len(h))
         loss = float(-(np.log(p[at, kind]) * on).sum())
@@ -203,27 +208,38 @@ class Model:
         ends = np.searchsorted(own[order], np.arange(len(self.word_b) + 1))
         for c in np.flatnonzero(np.diff(ends)):
             rows = order[ends[c] : ends[c + 1]]
-            w = h[rows] @ self.word_w[c] + self.word_b[c]
-            w = np.exp(w - w.max(axis=1, keepdims=True))
+            own_h, some = h[rows], (at[: len(rows)], place[rows])
+            w = own_h @ self.word_w[c]
+            w += self.word_b[c]
+            w -= w.max(axis=1, keepdims=True)
+            np.exp(w, out=w)
             w /= w.sum(axis=1, keepdims=True)
-            some = np.arange(len(rows))
-            loss -= float(np.log(w[some, place[rows]]).sum())
-            w[some, place[rows]] -= 1
-            grads["word_w"][c], grads["word_b"][c] = h[rows].T @ w, w.sum(axis=0)
+            loss -= float(np.log(w[some]).sum())
+            w[some] -= 1
+            grads["word_w"][c], grads["word_b"][c] = own_h.T @ w, w.sum(axis=0)
             dh[rows] += w @ self.word_w[c].T
         dh, later = dh.reshape(steps, lanes, n), np.zeros((lanes, n), np.float32)
-        moved = [None] * steps
+        moved = np.empty((steps, lanes, 3 * n), h.dtype)
+        entered, z, r, c = (np.stack([x[i] for x in kept]) for i in range(4))
+        # what a gate's input moves, but for what comes from later steps: for all steps at once
+        of_c, of_z, of_r = (1 - z) * (1 - c * c), (entered - c) * z * (1 - z), entered * r * (1 - r)
+        gates, new = self.gates.T, self.new.T
         for t in range(steps - 1, -1, -1):
-            entered, z, r, c, start = kept[t]
-            d = np.where(start[:, None], 0, dh[t] + later)
-            dc = d * (1 - z) * (1 - c * c)
-            back = dc @ self.new.T
-            moved[t] = np.concatenate([d * (entered - c) * z * (1 - z), back * entered * r * (1 - r), dc], axis=1)
-            later = d * z + back * r + moved[t][:, : 2 * n] @ self.gates.T
+            d, start, own = dh[t], kept[t][4], moved[t]
+            d += later
+            d[start] = 0
+            np.multiply(d, of_c[t], out=own[:, 2 * n :])
+            back = own[:, 2 * n :] @ new
+            np.multiply(d, of_z[t], out=own[:, :n])
+            np.multiply(back, of_r[t], out=own[:, n : 2 * n])
+            later = own[:, : 2 * n] @ gates
+            back *= r[t]
+            later += back
+            later += d * z[t]
             later[start] = 0
-        moved, entered = np.concatenate(moved), np.concatenate([x[0] for x in kept])
+        moved, entered = moved.reshape(-1, 3 * n), entered.reshape(-1, n)
         grads["gates"] = entered.T @ moved[:, : 2 * n]
-        grads["new"] = (np.concatenate([x[2] for x in kept]) * entered).T @ moved[:, 2 * n :]
+        grads["new"] = (r.reshape(-1, n) * entered).T @ moved[:, 2 * n :]
         fed = np.maximum(before.ravel(), 0)
         order = np.argsort(fed, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(fed[order]) > 0])
@@ -267,14 +283,22 @@ class Model:
             total += loss
             n += 1
             live = max(1, int(shaped[2][t : t + WINDOW].sum()))
-            norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / live
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / live
+            rate = RATE * min(1.0, n / 50) * math.sqrt(1 - 0.999**n) / (1 - 0.9**n)
             for k, g in grads.items():
-                g = g / live * min(1.0, 1.0 / (norm + 1e-9))
+                g *= min(1.0, 1.0 / (norm + 1e-9)) / live
                 m, v = moving[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                rate = RATE * min(1.0, n / 50) * math.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-                setattr(self, k, (getattr(self, k) - rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
+                m *= 0.9
+                m += 0.1 * g
+                g *= g
+                g *= 0.001
+                v *= 0.999
+                v += g
+                moved = np.sqrt(v)
+                moved += 1e-8
+                np.divide(m, moved, out=moved)
+                moved *= rate
+                setattr(self, k, (getattr(self, k) - moved).astype(np.float32))
         return n, total / len(tokens)
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -288,9 +312,9 @@ class Model:
             flat, starts = np.concatenate([texts[i] for i in rows]), np.cumsum(size) - size
             h = np.zeros((len(rows), self.new.shape[0]), np.float32)
             left = np.searchsorted(-size, -np.arange(size[0]), side="left")  # texts longer than t
-            for t0 in range(0, size[0], 2 * WINDOW):
+            for t0 in range(0, size[0], WINDOW):
                 states, tokens, of = [], [], []
-                for t in range(t0, min(t0 + 2 * WINDOW, size[0])):
+                for t in range(t0, min(t0 + WINDOW, size[0])):
                     n = left[t]
                     if t:
                         h = self.step(h[:n], table[flat[starts[:n] + t - 1]])[0]
