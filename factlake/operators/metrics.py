@@ -66,10 +66,8 @@ def timeseries(facts: DataFrame, accounts: tuple[str, ...] = ("revenue", "operat
 
 def schema_info(facts: DataFrame) -> DataFrame:
     """Counts of all facts, by company, by statement and report type, and by kind of period."""
-    named = lambda kind, key, rows: rows.select(F.lit(kind).alias("kind"), key.alias("name"), F.col("count").alias("n"))
-    return (
-        named("all", F.lit(""), facts.groupBy().count())
-        .union(named("company", F.col("corp_name"), facts.groupBy("corp_name").count()))
-        .union(named("statement", F.concat_ws("/", "statement", "report_type"), facts.where("statement is not null").groupBy("statement", "report_type").count()))
-        .union(named("period", F.concat_ws("/", "period_cp", "period_scope", "period_type"), facts.groupBy("period_cp", "period_scope", "period_type").count()))
-    )
+    by = ["corp_name", "statement", "report_type", "period_cp", "period_scope", "period_type"]
+    rows = facts.groupingSets([[], by[:1], by[1:3], by[3:]], *by).agg(F.count("*").alias("n"), F.grouping("corp_name").alias("a"), F.grouping("statement").alias("b"), F.grouping("period_cp").alias("c"))
+    kind = F.when(F.col("a") == 0, "company").when(F.col("b") == 0, "statement").when(F.col("c") == 0, "period").otherwise("all")
+    name = F.when(kind == "company", F.col("corp_name")).when(kind == "statement", F.concat_ws("/", *by[1:3])).when(kind == "period", F.concat_ws("/", *by[3:])).otherwise("")
+    return rows.where((F.col("b") == 1) | F.col("statement").isNotNull()).select(kind.alias("kind"), name.alias("name"), "n")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import small, written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -27,29 +28,38 @@ def top(rows: DataFrame, k: int, by: str | list[str], score: str, key: str, rank
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, group: str | None = None) -> DataFrame:
+def postings(docs: DataFrame, group: str | None = None) -> DataFrame:
+    """The index: doc_id, g, term, tf, dl of each word of each document, written once. g: the group,
+    one value for all without; dl: the document's words."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    g = (F.col(group).cast("string") if group else F.lit("")).alias("g")
+    rows = docs.select("doc_id", g, words.alias("w")).select("doc_id", "g", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return written(rows.groupBy("doc_id", "g", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, group: str | None = None, index: DataFrame | None = None) -> DataFrame:
     """qid, doc_id, score of every document that shares a term with a query.
 
     docs: doc_id, text (and group); queries: qid, text (and group). With a group, a query sees only
     the documents of its own, and idf and mean length are those of that group: the filter comes
     first. Negative idf is replaced by a quarter of the mean idf over the group's vocabulary.
+    Texts are split once; of the postings only those of the queries' terms are shuffled to them.
     """
-    g = [group] if group else []
-    docs = docs.withColumn("_all", F.lit(1))
-    g = g or ["_all"]
-    tf = terms(docs.select("*"), "doc_id", F.col("text"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    own = docs.select("doc_id", *g)
-    sizes = own.join(length, "doc_id", "left").groupBy(*g).agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
-    posting = tf.join(own, "doc_id").join(length, "doc_id")
-    df = posting.groupBy(*g, "term").agg(F.count("*").alias("df")).join(sizes, g)
-    df = df.withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    index = postings(docs, group) if index is None else index
+    g = (F.col(group).cast("string") if group else F.lit("")).alias("g")
+    sizes = docs.groupBy(g).agg(F.count("*").alias("n_docs"))  # a row per group
+    words = index.groupBy("g").agg(F.sum("tf").alias("n_words"))
+    sizes = small(written(sizes.join(words, "g").select("g", "n_docs", (F.col("n_words") / F.col("n_docs")).alias("avgdl")), "sizes"))
+    df = index.groupBy("g", "term").agg(F.count("*").alias("df")).join(sizes, "g")
+    df = written(df.withColumn("idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)), "df")
     # the mean of logarithms is summed as whole billionths, so that it does not depend on their order
-    mean = df.groupBy(*g).agg((F.sum(F.round(F.col("idf") * 1e9).cast("bigint")).cast("double") / F.count("*") / 1e9).alias("mean_idf"))
-    df = df.join(mean, g).withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * FLOOR).otherwise(F.col("idf")))
-    q = queries.withColumn("_all", F.lit(1))
-    wanted = terms(q, "qid", F.col("text")).withColumnRenamed("tf", "qtf").join(q.select("qid", *g), "qid")
-    hits = wanted.join(df.select(*g, "term", "idf", "avgdl"), [*g, "term"]).join(posting, [*g, "term"])
+    mean = df.groupBy("g").agg((F.sum(F.round(F.col("idf") * 1e9).cast("bigint")).cast("double") / F.count("*") / 1e9).alias("mean_idf"))
+    mean = small(written(mean, "mean"))
+    wanted = terms(queries, "qid", F.col("text")).withColumnRenamed("tf", "qtf").join(queries.select("qid", g), "qid")
+    wanted = small(written(wanted, "wanted"))
+    idf = F.when(F.col("idf") < 0, F.col("mean_idf") * FLOOR).otherwise(F.col("idf"))
+    wanted = wanted.join(df, ["g", "term"]).join(mean, "g").select("qid", "qtf", "g", "term", idf.alias("idf"), "avgdl")
+    hits = index.join(small(written(wanted, "weighed")), ["g", "term"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "doc_id").agg((F.sum(F.round(part * 1e9).cast("bigint")) / F.lit(1e9)).alias("score"))
 
@@ -62,11 +72,16 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
     """qid, vec_id, score, rank: the k nearest vectors of the query's group, itself aside.
 
-    An equality join on the group; queries (qid, embedding, group) are a stated, small set.
+    Queries (qid, embedding, group) are a stated set, broadcast while it is small, so that a group
+    of very many vectors stays where it is; each vector's length is worked out once.
     """
-    q = queries.select("qid", F.col("embedding").alias("wanted"), group)
-    rows = vectors.join(q, group).where("qid <> vec_id")
-    rows = rows.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("wanted")), 6).alias("score"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    size = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    double = F.transform("embedding", lambda x: x.cast("double"))
+    q = queries.select("qid", double.alias("wanted"), group).withColumn("wanted_size", size("wanted"))
+    rows = vectors.select("vec_id", double.alias("v"), group).withColumn("size", size("v"))
+    rows = rows.join(small(written(q, "queries")), group).where("qid <> vec_id")
+    rows = rows.select("qid", "vec_id", F.round(F.try_divide(dot(F.col("v"), F.col("wanted")), F.col("size") * F.col("wanted_size")), 6).alias("score"))
     return top(rows, k, "qid", "score", "vec_id", "rank")
 
 
@@ -103,3 +118,19 @@ def overlap(query: Column, text: Column, characters: int = 1500) -> Column:
 
 def confidence(relaxed: Column, reranked: Column, n: Column) -> Column:
     return F.when(relaxed, "low").when(reranked & (n >= 3), "high").otherwise("medium")
+
+
+def retrieve(hits: DataFrame, texts: DataFrame, queries: DataFrame, candidates: int, k: int) -> DataFrame:
+    """qid, doc_id, rank, applied, confidence: the strictest filter that has hits, the best
+    `candidates` of it, and of these the k best by the reranker.
+
+    hits: qid, doc_id, score, level; texts: doc_id, text; queries: qid, text. The texts of the
+    candidates alone meet the queries.
+    """
+    kept = relax(top(hits, candidates, ["qid", "level"], "score", "doc_id", "before"))
+    found = small(written(kept.select("qid", "doc_id", "before", "applied"), "candidates"))
+    both = texts.join(found, "doc_id").join(small(written(queries.select("qid", F.col("text").alias("q")), "asked")), "qid")
+    both = both.select("qid", "doc_id", "before", "applied", overlap(F.col("q"), F.col("text")).alias("overlap"))
+    best = top(both, k, "qid", "overlap", "before", "rank")
+    n = F.count("*").over(Window.partitionBy("qid"))
+    return best.select("qid", "doc_id", "rank", "applied", confidence(F.col("applied") > 0, F.lit(True), n).alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dims, periods, values
 from ..functions.text import normalize_account
 from ..operators import lookup, metrics, ratios
-from ..sources.facts import facts, read
+from ..sources.facts import built, facts, read
 from .facts_sql import FACTS_SQL
 
 YEAR = 2000
@@ -42,11 +42,11 @@ def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_auto_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.lookup_batch(facts(spark, sf_dir), spark.createDataFrame(QUESTIONS, _FIELDS))
+    return lookup.lookup_batch(built(spark, sf_dir), spark.createDataFrame(QUESTIONS, _FIELDS))
 
 
 def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.first_match(facts(spark, sf_dir), dims.YEARLY).select("corp_name", "period_year", "account", "scope", "value", "base_value")
+    return lookup.first_match(built(spark, sf_dir), dims.YEARLY).select("corp_name", "period_year", "account", "scope", "value", "base_value")
 
 
 def fact_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def account_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def on_facts(operator, *args, **named):
-    return lambda spark, sf_dir: operator(facts(spark, sf_dir), *args, **named)
+    return lambda spark, sf_dir: operator(built(spark, sf_dir), *args, **named)
 
 
 def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +173,7 @@ QUERIES = {
     "yoy_unaligned": on_facts(metrics.yoy, aligned=False),
     "company_matrix": on_facts(metrics.company_matrix, YEAR),
     "timeseries": on_facts(metrics.timeseries),
-    "ratios": lambda spark, sf_dir: ratios.ratios(facts(spark, sf_dir)).drop("sector", "k"),
+    "ratios": lambda spark, sf_dir: ratios.ratios(built(spark, sf_dir)).drop("sector", "k"),
     "ratio_grades": on_facts(ratios.graded),
     "grade_summary": on_facts(ratios.grade_summary),
     "sector_winners": on_facts(ratios.sector_winners),

@@ -83,19 +83,28 @@ def _fused(weights, c):
     return query
 
 
-def filter_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits under source and language, else under the source, else under nothing."""
+def _levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every BM25 hit with the strictest filter that it passes: source and language, source, none."""
     q = _queries(spark, sf_dir).select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("q_source"), F.col("lang").alias("q_lang"))
     hits = retrieval.bm25(_docs(spark, sf_dir), _queries(spark, sf_dir)).withColumn("score", F.round("score", 5))
     hits = hits.join(q, "qid").join(_docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id")
     same = F.col("source") == F.col("q_source")
-    hits = hits.withColumn("level", F.when(same & (F.col("lang") == F.col("q_lang")), 0).when(same, 1).otherwise(2))
+    return hits.withColumn("level", F.when(same & (F.col("lang") == F.col("q_lang")), 0).when(same, 1).otherwise(2))
+
+
+def filter_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits under source and language, else under the source, else under nothing."""
     # every hit has its level; the best five of each level hold the best five of the least one
-    kept = retrieval.relax(retrieval.top(hits, 5, ["qid", "level"], "score", "doc_id", "rank"))
+    kept = retrieval.relax(retrieval.top(_levelled(spark, sf_dir), 5, ["qid", "level"], "score", "doc_id", "rank"))
     n = F.count("*").over(Window.partitionBy("qid"))
     return kept.select("qid", "doc_id", "rank", "applied", retrieval.confidence(F.col("applied") > 0, F.lit(True), n).alias("confidence"))
 
 
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters relaxed, the best ten reranked by overlap to three."""
+    return retrieval.retrieve(_levelled(spark, sf_dir), _docs(spark, sf_dir).select("doc_id", "text"), _queries(spark, sf_dir), K, 3)
+
+
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _lexical(spark, sf_dir).select("qid", "doc_id", F.col("rank").alias("before"))
     both = hits.join(_queries(spark, sf_dir).select("qid", F.col("text").alias("q")), "qid").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
@@ -262,6 +271,7 @@ QUERIES = {
     "hybrid_fusion": _fused((0.4, 0.6), 0),
     "fusion_rrf60": _fused((0.5, 0.5), 60),
     "filter_relaxation": filter_relaxation,
+    "retrieve": retrieve,
     "rerank_overlap": rerank_overlap,
     "route_intent": route_intent,
     "longest_alias": longest_alias,
@@ -390,9 +400,16 @@ ORACLES = {
     "hybrid_fusion": _fused_sql((0.4, 0.6), 0),
     "fusion_rrf60": _fused_sql((0.5, 0.5), 60),
     "filter_relaxation": _bm25_sql("all") + f""", h AS (SELECT r.qid, r.doc_id, r.score, CASE WHEN source = 'src' || (qid % 20) THEN CASE WHEN lang = ['en', 'fr', 'de', 'es'][(qid % 4 + 1)::INTEGER] THEN 0 ELSE 1 END ELSE 2 END AS level
-        FROM ranked r JOIN documents USING (doc_id) WHERE rank <= 50), m AS (SELECT *, min(level) OVER (PARTITION BY qid) AS applied FROM h),
+        FROM ranked r JOIN documents USING (doc_id)), m AS (SELECT *, min(level) OVER (PARTITION BY qid) AS applied FROM h),
       t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS rank FROM m WHERE level = applied), k AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM t WHERE rank <= 5)
       SELECT qid, doc_id, rank, applied, CASE WHEN applied > 0 THEN 'low' WHEN n >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM k""",
+    "retrieve": _bm25_sql("all") + f""", h AS (SELECT r.qid, r.doc_id, r.score, CASE WHEN source = 'src' || (qid % 20) THEN CASE WHEN lang = ['en', 'fr', 'de', 'es'][(qid % 4 + 1)::INTEGER] THEN 0 ELSE 1 END ELSE 2 END AS level
+        FROM ranked r JOIN documents USING (doc_id)), m AS (SELECT *, min(level) OVER (PARTITION BY qid) AS applied FROM h),
+      t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS before FROM m WHERE level = applied),
+      b AS (SELECT t.qid, t.doc_id, before, applied, {_tokens_sql("q.text")} AS w, {_tokens_sql("left(d.text, 1500)")} AS t FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents d USING (doc_id) WHERE before <= {K}),
+      s AS (SELECT qid, doc_id, before, applied, round(len(list_intersect(w, t))::DOUBLE / nullif(len(w), 0), 6) AS overlap FROM b),
+      o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, before)::INTEGER AS rank FROM s), k AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM o WHERE rank <= 3)
+      SELECT qid, doc_id, rank, applied, CASE WHEN applied > 0 THEN 'low' WHEN n >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM k""",
     "rerank_overlap": _bm25_sql("all") + f""", b AS (SELECT r.qid, r.doc_id, r.rank AS before, {_tokens_sql("q.text")} AS w, {_tokens_sql("left(d.text, 1500)")} AS t FROM ranked r JOIN benchmark q ON q.item_id = r.qid JOIN documents d USING (doc_id)
         WHERE r.rank <= {K}), s AS (SELECT qid, doc_id, before, round(len(list_intersect(w, t))::DOUBLE / nullif(len(w), 0), 6) AS overlap FROM b),
       o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, before)::INTEGER AS rank FROM s) SELECT * FROM o WHERE rank <= 3""",

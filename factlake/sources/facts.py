@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import STATEMENTS
+from .shared import written
 
 #: Printed labels of the accounts.
 LABELS = {
@@ -76,7 +77,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     w = Window.partitionBy("k", "y").orderBy("q")
     flows = ("gross", "discount", "tax", "quantity")
-    q = quarters(spark, sf_dir)
+    # a row per company and quarter, which all that follows reads: order lines are read once
+    q = written(quarters(spark, sf_dir), "quarters").coalesce(1)
     running = q.select("k", "y", "q", F.count("*").over(Window.partitionBy("k", "y")).alias("n"), *[F.sum(c).over(w).alias(c) for c in flows])
     single = q.select("k", "y", F.concat(F.col("q").cast("string"), F.lit("Q")).alias("scope"), F.lit("Q").alias("variant"), *flows)
     upto = running.where("q < 4").select("k", "y", F.element_at(F.array(F.lit("1Q"), F.lit("HY"), F.lit("3Q")), F.col("q")).alias("scope"), F.lit("A").alias("variant"), *flows)
@@ -132,3 +134,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(blank, "-").otherwise(printed).alias("value_raw"),
         F.element_at(F.array(F.lit("원"), F.lit("천원"), F.lit("백만원")), (F.col("k") % 3 + 1).cast("int")).alias("unit_hint"),
     )
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """facts() as a table. It has a few dozen rows per company and year, whatever the orders."""
+    return written(facts(spark, sf_dir), "facts")
