@@ -34,13 +34,21 @@ def tag_of_context(context: Column) -> Column:
     return F.when(F.coalesce(found, F.lit("")) == "", "UNKNOWN").otherwise(found)
 
 
+def report_kind(title: Column) -> Column:
+    """A001 annual, A002 half-year, A003 quarterly, by a word of the report's name; null for others."""
+    return F.when(title.contains("사업보고서"), "A001").when(title.contains("반기보고서"), "A002").when(title.contains("분기보고서"), "A003")
+
+
 def fiscal_period(title: Column, received: Column) -> Column:
-    """struct<year, scope> of a report named "... (2024.09)"; else of the date it was received,
-    where an annual report that comes in by April is the year before's."""
+    """struct<year, scope> of a report named "... (2024.09)"; else by its kind and the date it was
+    received: an annual report that comes in by April is the year before's, a quarterly one that
+    comes in by June is of the first quarter; "?" for other reports."""
     month = F.regexp_extract(title, r"\((\d{4})\.(\d{2})\)", 2)
     year = F.regexp_extract(title, r"\((\d{4})\.(\d{2})\)", 1)
-    late = F.year(received) - F.when(F.month(received) <= 4, 1).otherwise(0)
-    scope = F.when(month == "12", "FY").when(month == "09", "3Q").when(month == "06", "HY").when(month == "03", "1Q").when(month != "", month).otherwise("FY")
+    kind = report_kind(title)
+    late = F.year(received) - F.when((kind == "A001") & (F.month(received) <= 4), 1).otherwise(0)
+    by_kind = F.when(kind == "A001", "FY").when(kind == "A002", "HY").when(kind == "A003", F.when(F.month(received) <= 6, "1Q").otherwise("3Q")).otherwise("?")
+    scope = F.when(month == "12", "FY").when(month == "09", "3Q").when(month == "06", "HY").when(month == "03", "1Q").when(month != "", month).otherwise(by_kind)
     return F.struct(F.coalesce(F.nullif(year, F.lit("")).cast("int"), late).alias("year"), scope.alias("scope"))
 
 

@@ -100,3 +100,27 @@ def sector_rank(facts: DataFrame, names: tuple[str, ...] = ("operating_margin",
         text = F.concat(place.cast("string"), F.lit("/"), F.count(n).over(w).cast("string"))
         out.append(F.when(F.col(n).isNotNull(), text).alias(f"rank_{n}"))
     return wide.select("sector", "corp_name", "period_year", *out)
+
+
+# What grades are called, and what a company's two majority grades make of it.
+GRADE_LABELS = {"excellent": "very good", "good": "good", "fair": "average", "warning": "needs care", "danger": "critical", "unknown": "no data"}
+NO_DATA = "no data"
+
+
+def explained(facts: DataFrame) -> DataFrame:
+    """graded() with the grade's label and a sentence that names ratio, value and label."""
+    label = F.lit(NO_DATA)
+    for g, text in GRADE_LABELS.items():
+        label = F.when(F.col("grade") == g, text).otherwise(label)
+    value = F.when(F.col("value").isNull(), NO_DATA).otherwise(F.concat(F.format_number(F.col("value").cast("decimal(28,6)"), 2), F.when(F.col("ratio").isin([n for n in RATIOS if RATIOS[n][2]]), "%").otherwise("")))
+    return graded(facts).withColumn("label", label).withColumn("explanation", F.concat("ratio", F.lit(": "), value, F.lit(" ("), label, F.lit(")")))
+
+
+def summaries(facts: DataFrame) -> DataFrame:
+    """corp_name, period_year, summary: both majority grades in words and up to three comments."""
+    label = lambda c: F.coalesce(*[F.when(F.col(c) == g, text) for g, text in GRADE_LABELS.items()], F.lit(NO_DATA))
+    both = ["corp_name", "period_year"]
+    rows = grade_summary(facts).join(margin_signals(facts), both)
+    notes = F.array_join(F.slice(F.split("signals", "; "), 1, 3), "; ")
+    text = F.concat(F.lit("profitability "), label("profitability"), F.lit(", stability "), label("stability"), F.when(notes != "", F.concat(F.lit(": "), notes)).otherwise(""))
+    return rows.select(*both, F.when(F.col("n_graded") == 0, NO_DATA).otherwise(text).alias("summary"))

@@ -22,16 +22,18 @@ def has(text: Column, words: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(r"\Q" + w + r"\E" for w in words)), F.lit(False))
 
 
-def longest_contained(rows: DataFrame, key: str, text: Column, names: list[tuple[str, str]], out: str) -> DataFrame:
+def longest_contained(rows: DataFrame, key: str, text: Column, names: list[tuple[str, str]], out: str, words: bool = False) -> DataFrame:
     """rows with `out`: what the longest name contained in the text stands for; of equally long
-    ones the first in the list; null without any.
+    ones the first in the list; null without any. words: a name in ASCII counts only as a word,
+    whatever its case, so that PER is not found in PERSON.
 
     The list is code, not data: a chain of tests, longest first, in one pass without a join.
     """
     ordered = sorted(enumerate(names), key=lambda x: (-len(x[1][0]), x[0]))
     found = F.lit(None).cast("string")
     for _, (name, stands_for) in reversed(ordered):
-        found = F.when(text.contains(name), stands_for).otherwise(found)
+        hit = text.rlike(rf"(?i)(?<![a-z0-9])\Q{name}\E(?![a-z0-9])") if words and name.isascii() else text.contains(name)
+        found = F.when(hit, stands_for).otherwise(found)
     return rows.withColumn(out, found)
 
 
@@ -96,7 +98,7 @@ def route(questions: DataFrame, names: dict[str, list[tuple[str, str]]]) -> Data
     text = F.col("text")
     rows = questions.withColumn("_flat", F.replace(text, F.lit(" "), F.lit("")))
     for field in ("corp", "sector", "term"):
-        rows = longest_contained(rows, "qid", text, names[field], field)
+        rows = longest_contained(rows, "qid", text, names[field], field, words=field == "term")
     rows = longest_contained(rows, "qid", F.col("_flat"), names["account"], "account")
     balance = F.col("account").isin("assets", "liabilities", "equity")
     rows = rows.withColumn("statement", F.when(balance, "BS").when(F.col("account").isNotNull(), "IS")).withColumn("p", period(text))

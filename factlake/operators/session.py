@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +20,45 @@ def last_turns(turns: DataFrame, session: str, turn: str, field: str, n: int = 5
     return turns.withColumn("history", F.collect_list(field).over(w))
 
 
+def _streamed(rows: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
+    """Rows of each key in order, one after another, through step(row, state) -> (values, state).
+
+    Keys are dealt by hash and sorted; a task streams its batches and carries only the state of the
+    key at hand, so a key of any length is never gathered. Numbers that may be null travel as text.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.key != at:
+                    at, state = row.key, None
+                values, state = step(row, state)
+                out.append(values)
+            yield pd.DataFrame(out, columns=names)
+
+    sorted_rows = rows.withColumn("key", F.coalesce(F.col(key).cast("string"), F.lit(""))).repartition("key").sortWithinPartitions("key", *order)
+    return sorted_rows.mapInPandas(run, schema)
+
+
+def _complete(x, memory):
+    """One question from the memory of its session; x.year and the others are text or None."""
+    m = memory or dict.fromkeys(("corp", "year", "account", "scope", "statement"))
+    known = m["corp"] is not None
+    corp = m["corp"] if known and (x.corp is None or x.pronoun) else x.corp
+    rest = not x.compare and not x.switch and x.year is None and x.scope is None
+    fill = lambda f, when: m[f] if known and when and getattr(x, f) is None else getattr(x, f)
+    year = fill("year", x.compare or x.switch or rest)
+    if known and x.year is None and x.compare and x.back and year is not None:
+        year = str(int(year) - 1)
+    scope = fill("scope", x.compare or x.switch or rest)
+    account, statement = fill("account", x.compare), fill("statement", x.compare or x.switch)
+    done = {"corp": corp, "year": year, "account": account, "scope": scope, "statement": statement}
+    return (x.session, x.turn, *done.values()), {f: v if v is not None else m[f] for f, v in done.items()}
+
+
 def complete(turns: DataFrame) -> DataFrame:
     """Questions completed from the session's memory, which is filled from completed questions.
 
@@ -25,30 +67,13 @@ def complete(turns: DataFrame) -> DataFrame:
     A missing company is the last one; a pronoun makes it so in any case. A comparison takes the last
     year, less one if it looks back, and the scope, account and statement; a change of subject the
     year, scope and statement; otherwise year and scope are taken if both are missing. Since year-1
-    questions build on one another this is a fold over a session's turns, in one row.
+    questions build on one another, a session's turns are streamed in order with its memory.
     """
-    q = F.struct("turn", "corp", "year", "account", "scope", "statement", "pronoun", "compare", "back", "switch")
-    rows = turns.groupBy("session").agg(F.sort_array(F.collect_list(q)).alias("qs"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        m = acc["memory"]
-        known = m["corp"].isNotNull()
-        corp = F.when(known & (x["corp"].isNull() | x["pronoun"]), m["corp"]).otherwise(x["corp"])
-        rest = ~x["compare"] & ~x["switch"] & x["year"].isNull() & x["scope"].isNull()
-        year = F.when(known & (x["compare"] | x["switch"] | rest), F.coalesce(x["year"], F.when(x["compare"] & x["back"], m["year"] - 1).otherwise(m["year"]))).otherwise(x["year"])
-        fill = lambda f, when: F.when(known & when, F.coalesce(x[f], m[f])).otherwise(x[f])
-        scope = fill("scope", x["compare"] | x["switch"] | rest)
-        account, statement = fill("account", x["compare"]), fill("statement", x["compare"] | x["switch"])
-        done = F.struct(x["turn"].alias("turn"), corp.alias("corp"), year.alias("year"), account.alias("account"), scope.alias("scope"), statement.alias("statement"))
-        memory = F.struct(*[F.coalesce(v, m[f]).alias(f) for f, v in (("corp", corp), ("year", year), ("account", account), ("scope", scope), ("statement", statement))])
-        return F.struct(memory.alias("memory"), F.concat(acc["done"], F.array(done)).alias("done"))
-
-    kinds = "corp string, year int, account string, scope string, statement string"
-    zero = F.struct(
-        F.struct(*[F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds.split(", ")]).alias("memory"),
-        F.array().cast("array<struct<turn:int,corp:string,year:int,account:string,scope:string,statement:string>>").alias("done"),
-    )
-    return rows.select("session", F.explode(F.aggregate("qs", zero, fold)["done"]).alias("d")).select("session", "d.*")
+    kind = turns.schema["session"].dataType.simpleString()
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("pronoun", "compare", "back", "switch")]
+    rows = turns.select(F.col("session").cast("string").alias("session"), "turn", "corp", F.col("year").cast("string").alias("year"), "account", "scope", "statement", *flags)
+    out = _streamed(rows, "session", ["turn", "corp", "year", "account", "scope", "statement"], _complete, "session string, turn int, corp string, year string, account string, scope string, statement string")
+    return out.withColumns({"session": F.col("session").cast(kind), "year": F.col("year").cast("int")})
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
@@ -60,12 +85,14 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
 
 def cache_hits(events: DataFrame, key: str, ts: str, order: str, ttl_seconds: int) -> DataFrame:
     """Each request with whether a cache answers it. A miss stores the answer for ttl_seconds, a hit
-    does not prolong that; so hits depend on the last miss, which a fold over the key's requests knows."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(order).alias("id")))).alias("r"))
+    does not prolong that; so hits depend on the last miss, which is carried along a key's requests."""
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, order)}
+    micros = F.expr(f"timestampdiff(MICROSECOND, cast('1970-01-01' as {events.schema[ts].dataType.simpleString()}), `{ts}`)")
+    rows = events.select(F.col(key).cast("string").alias("of"), F.col(order).alias("id"), micros.alias("at"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        hit = F.coalesce(F.timestamp_diff("SECOND", acc["at"], x["ts"]) < ttl_seconds, F.lit(False))
-        return F.struct(F.when(hit, acc["at"]).otherwise(x["ts"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), hit.alias("hit")))).alias("out"))
+    def step(x, stored_at):
+        hit = stored_at is not None and (x.at - stored_at) // 1_000_000 < ttl_seconds
+        return (x.of, x.id, hit), stored_at if hit else x.at
 
-    zero = F.struct(F.lit(None).cast(events.schema[ts].dataType).alias("at"), F.array().cast(f"array<struct<id:{events.schema[order].dataType.simpleString()},hit:boolean>>").alias("out"))
-    return rows.select(key, F.explode(F.aggregate("r", zero, fold)["out"]).alias("x")).select(key, F.col("x.id").alias(order), F.col("x.hit").alias("hit"))
+    out = _streamed(rows, "of", ["at", "id"], step, f"of string, id {kinds[order]}, hit boolean")
+    return out.select(F.col("of").cast(kinds[key]).alias(key), F.col("id").alias(order), "hit")

@@ -102,7 +102,7 @@ def missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of report by words of their names, counted."""
     name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("사업보고서", "반기보고서", "분기보고서", "감사보고서")]), (F.col("o_orderkey") % 4 + 1).cast("int")), F.date_format("o_orderdate", " (yyyy.MM)"))
-    kind = F.when(name.contains("사업보고서"), "A001").when(name.contains("반기보고서"), "A002").when(name.contains("분기보고서"), "A003").otherwise("Other")
+    kind = F.coalesce(periods.report_kind(name), F.lit("Other"))
     p = periods.fiscal_period(name, F.col("o_orderdate"))
     rows = read(spark, sf_dir, "orders").select(kind.alias("kind"), p.alias("p")).select("kind", "p.year", "p.scope")
     return rows.groupBy("kind", "year", "scope").agg(F.count("*").alias("n"))

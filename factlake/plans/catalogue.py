@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, text_queries
+from . import analytics, reporting, text_queries
 
-QUERIES: dict = {**analytics.QUERIES, **text_queries.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **text_queries.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **text_queries.QUERIES, **reporting.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **text_queries.ORACLES, **reporting.ORACLES}

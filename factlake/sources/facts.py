@@ -139,3 +139,40 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """facts() as a table. It has a few dozen rows per company and year, whatever the orders."""
     return written(facts(spark, sf_dir), "facts")
+
+
+#: The sector that holds every company, and questions suggested by sector; others get the last.
+EVERYTHING = "ALL"
+SUGGESTED = {"ASIA": ("{s} revenue rank", "{s} margins"), "EUROPE": ("{s} debt rank",), None: ("{s} compared",)}
+
+
+def sector_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sector, corp_name, ordinal: each company under EVERYTHING and under its own sector."""
+    own = companies(spark, sf_dir)
+    sectors = F.array(F.struct(F.lit(EVERYTHING).alias("sector"), F.lit(0).alias("ordinal")), F.struct("sector", F.lit(1).alias("ordinal")))
+    return own.select("corp_name", F.explode(sectors).alias("s")).select("s.sector", "corp_name", "s.ordinal")
+
+
+def sector_of(bridge: DataFrame) -> DataFrame:
+    """corp_name and the first sector that lists it, EVERYTHING aside."""
+    return bridge.where(F.col("sector") != EVERYTHING).groupBy("corp_name").agg(F.min_by("sector", F.struct("ordinal", "sector")).alias("sector"))
+
+
+def aliased(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
+    """rows with `name` replaced by what it is an alias of, exactly or else in small letters; kept
+    where it is none. aliases: alias, stands_for; a list of names, broadcast."""
+    exact = aliases.select(F.col("alias").alias("_a"), F.col("stands_for").alias("_x"))
+    lower = aliases.groupBy(F.lower("alias").alias("_l")).agg(F.min("stands_for").alias("_y"))
+    out = rows.join(F.broadcast(exact), F.col(name) == F.col("_a"), "left").join(F.broadcast(lower), F.lower(name) == F.col("_l"), "left")
+    return out.withColumn(name, F.coalesce("_x", "_y", name)).drop("_a", "_x", "_l", "_y")
+
+
+def suggested(sectors: DataFrame) -> DataFrame:
+    """sector, position, question: those of the sector, else the general ones."""
+    lists = F.lit(None).cast("array<string>")
+    for s, texts in SUGGESTED.items():
+        if s is not None:
+            lists = F.when(F.col("sector") == s, F.array(*map(F.lit, texts))).otherwise(lists)
+    lists = F.coalesce(lists, F.array(*map(F.lit, SUGGESTED[None])))
+    rows = sectors.select("sector", F.posexplode(lists).alias("position", "text"))
+    return rows.select("sector", "position", F.replace("text", F.lit("{s}"), F.col("sector")).alias("question"))

@@ -25,13 +25,14 @@ CLASSES = {
     "CF_C": ("현금흐름표", "연결"), "CF_S": ("현금흐름표", "별도"),
     "EF_C": ("자본변동표", "연결"), "EF_S": ("자본변동표", "별도"),
 }
-#: Sections whose title has one of these are left out, and those shorter than MIN_SECTION.
-BLOCKED = ("목차", "정정", "서명", "표지", "확인서")
+# What the titles of sections of statements, notes and audits hold. Their figures are
+# facts already, so they are left out, as are sections shorter than MIN_SECTION.
+BLOCKED = ("재무제표", "요약재무정보", "재무상태표", "손익계산서", "포괄손익계산서", "현금흐름표", "자본변동표", "감사의견", "감사보고서", "외부감사")
 MIN_SECTION = 100
 #: Units as printed near a table, tested in this order.
 UNITS = ((r"단위\s*[:：]\s*백만\s*원|백만원", "백만원"), (r"단위\s*[:：]\s*천\s*원|천원", "천원"), (r"억원", "억원"), (r"단위\s*[:：]\s*원", "원"))
 
-CELLS = "kind string, class string, title string, section array<string>, table_no int, row_no int, cell_no int, label string, code string, context string, text string"
+CELLS = "kind string, class string, group_no int, title string, section array<string>, table_no int, row_no int, cell_no int, label string, code string, context string, text string"
 
 
 class _Events(HTMLParser):
@@ -41,8 +42,8 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
         self.path: list[tuple[int, str]] = []
-        self.kind, self.table, self.group, self.title, self.text = "", -1, 0, "", []
-        self.inside: list[str] = []
+        self.table, self.groups, self.text = -1, 0, []
+        self.inside: list[list] = []  # open table groups: number, class, title
         self.level = 0
         self.row = self.cell = -1
         self.label, self.attrs = "", {}
@@ -52,8 +53,8 @@ class _Events(HTMLParser):
         if tag.startswith("section-"):
             self.level = int(tag[8:] or 1) if tag[8:].isdigit() else 1
         elif tag == "table-group":
-            self.kind, self.title = attrs.get("ACLASS", ""), ""
-            self.inside.append(tag)
+            self.groups += 1
+            self.inside.append([self.groups, attrs.get("ACLASS", ""), ""])
         elif tag == "table":
             self.table, self.row = self.table + 1, -1
         elif tag == "tr":
@@ -69,25 +70,27 @@ class _Events(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         text = " ".join("".join(self.text).replace("　", " ").split())
         names = [t for _, t in self.path]
+        group, kind, title = self.inside[-1] if self.inside else (-1, "", "")
         if tag == "table-group":
-            self.kind = ""
             self.inside = self.inside[:-1]
         elif tag in ("td", "te", "th", "tu"):
             if self.cell == 0:
                 self.label = text
-            self.rows.append(("cell", self.kind, self.title, names, self.table, self.row, self.cell, self.label, self.attrs.get("ACODE"), self.attrs.get("ACONTEXT"), text))
+            self.rows.append(("cell", kind, group, title, names, self.table, self.row, self.cell, self.label, self.attrs.get("ACODE"), self.attrs.get("ACONTEXT"), text))
             self.text = []
         elif tag == "title":
             if self.inside:
-                self.title = text
+                self.inside[-1][2] = text
             else:
                 while self.path and self.path[-1][0] >= self.level:
                     self.path.pop()
                 self.path.append((self.level, text))
             self.text = []
         elif tag == "p":
-            if text and not (self.inside and self.kind):
-                self.rows.append(("text", "", "", names, -1, len(self.rows), -1, "", None, None, text))
+            if text:
+                # a paragraph belongs to its section unless a statement's group holds it, at any depth
+                held = next((k for _, k, _ in self.inside if k.removeprefix("{XBRL}") in CLASSES), kind)
+                self.rows.append(("text", held, group, title, names, -1, len(self.rows), -1, "", None, None, text))
             self.text = []
 
 
@@ -139,6 +142,10 @@ def facts(cells: DataFrame) -> DataFrame:
     """Numeric cells of known statements: coded cells, not first in their row, whose row has a label
     and whose text is a number. fact_id has the file, so filings do not collide."""
     rows = statement_class(cells.where("kind = 'cell'")).where("statement is not null and code is not null and cell_no > 0 and label <> ''")
+    # a group's unit: the first that a paragraph of it prints, else the first that a cell does, else its title's
+    said = cells.where("group_no >= 0").withColumn("unit", unit_hint(F.col("text"))).where("unit is not null")
+    said = said.groupBy("source_file", "group_no").agg(F.min_by("unit", F.struct(F.col("kind") == "cell", "table_no", "row_no", "cell_no")).alias("unit"))
+    rows = rows.join(said, ["source_file", "group_no"], "left")
     tag = tag_of_context(F.col("context"))
     rows = rows.withColumns(named(F.col("source_file"))).withColumns({"value": parse_value(F.col("text")), "period_tag": tag}).where("value is not null")
     p = parse_period_tag(F.col("period_tag"))
@@ -146,7 +153,7 @@ def facts(cells: DataFrame) -> DataFrame:
     return rows.select(
         ident.alias("fact_id"), "corp_name", "fiscal_year", "source_file", "statement", "report_type", "xbrl_class", F.col("title").alias("statement_title"), F.col("code").alias("account_code"),
         F.col("label").alias("account_kr"), normalize_account(F.col("label")).alias("account_norm"), "period_tag", p["cp"].alias("period_cp"), p["year"].alias("period_year"), p["type"].alias("period_type"),
-        p["scope"].alias("period_scope"), p["variant"].alias("period_variant"), F.coalesce(p["cp"] == "C", F.lit(True)).alias("is_current_period"), "value", F.col("text").alias("value_raw"), unit_hint(F.col("title")).alias("unit_hint"),
+        p["scope"].alias("period_scope"), p["variant"].alias("period_variant"), F.coalesce(p["cp"] == "C", F.lit(True)).alias("is_current_period"), "value", F.col("text").alias("value_raw"), F.coalesce("unit", unit_hint(F.col("title"))).alias("unit_hint"),
     )
 
 
@@ -162,7 +169,7 @@ def tables(cells: DataFrame) -> DataFrame:
 
 def sections(cells: DataFrame) -> DataFrame:
     """Paragraphs of each section joined in document order; short and blocked sections go."""
-    rows = cells.where("kind = 'text' and size(section) > 0")
+    rows = statement_class(cells.where("kind = 'text' and size(section) > 0")).where("statement is null")
     whole = rows.groupBy("source_file", "section").agg(F.min("row_no").alias("at"), F.sort_array(F.collect_list(F.struct("row_no", "text"))).alias("p"))
     out = whole.withColumns(named(F.col("source_file"))).withColumn("text", collapse(F.array_join(F.col("p.text"), " ")))
     out = out.where((F.length("text") >= MIN_SECTION) & ~F.element_at("section", -1).rlike("|".join(BLOCKED)))

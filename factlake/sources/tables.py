@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.periods import report_kind
+
 FACTS = (
     "fact_id string, corp_name string, fiscal_year int, source_file string, statement string, report_type string, xbrl_class string, statement_title string, account_code string, account_kr string, "
     "account_norm string, period_tag string, period_cp string, period_year int, period_type string, period_scope string, period_variant string, is_current_period boolean, value double, value_raw string, unit_hint string"
@@ -44,6 +46,7 @@ def write_chunks(chunks: DataFrame, embed, path: str) -> DataFrame:
 
 
 def latest_filings(rows: DataFrame) -> DataFrame:
-    """Listed filings of the three periodic kinds, each receipt number once."""
-    kind = F.when(F.col("report_nm").contains("사업보고서"), "A001").when(F.col("report_nm").contains("반기보고서"), "A002").when(F.col("report_nm").contains("분기보고서"), "A003")
-    return rows.withColumn("kind", kind).where("kind is not null").groupBy("rcept_no").agg(*[F.min(c).alias(c) for c in rows.columns if c != "rcept_no"], F.min("kind").alias("kind"))
+    """Listed filings of the three periodic kinds, each receipt number once: of its rows the whole
+    first one, by all columns."""
+    kept = rows.withColumn("kind", report_kind(F.col("report_nm"))).where("kind is not null")
+    return kept.groupBy("rcept_no").agg(F.min(F.struct(*[c for c in kept.columns if c != "rcept_no"])).alias("r")).select("rcept_no", "r.*")

@@ -9,16 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import folder
+
 TTL_SECONDS, HISTORY, LATE = 30 * 60, 5, "1 hour"
 RESULT = "user_id bigint, event_id bigint, session_no int, turn_no int, history string, expired boolean"
 STATE = "last_ts double, session_no int, turn_no int, history string"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A user's events in order. More than TTL_SECONDS of silence, or a reset, begins a new session;
-    the state is four scalars, and dropped when the watermark passes its end."""
+    """A user's events in order. More than TTL_SECONDS of silence, or a reset, begins a new session.
+    The state is four scalars. When the watermark passes a session's
+    end, its turns go; the number of sessions and the last time stay, so that a user who comes back
+    gets the next number."""
     if state.hasTimedOut:
-        state.remove()
+        last, session, _, _ = state.get
+        state.update((last, session, 0, ""))
         return
     last, session, turn, history = state.get if state.exists else (None, 0, 0, "")
     kept = history.split(",") if history else []
@@ -49,20 +54,15 @@ def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", "w.start", "w.end", "n")
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
+def drain(stream: DataFrame, shared: str) -> DataFrame:
     """Runs a stream over what there is and returns what it wrote to the folder."""
     spark: SparkSession = stream.sparkSession
-    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset one under /tmp."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/factlake-streams"
-
-
 def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, to the end."""
     from pyspark.sql import functions as F
@@ -70,4 +70,4 @@ def stream_session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a file or a folder of files
     events = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return drain(session_states(events), shared_folder(spark))
+    return drain(session_states(events), folder(spark))

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from factlake.functions.periods import fiscal_period
 from factlake.sources import filings, tables
 
 PAGE = """<?xml version="1.0" encoding="utf-8"?><DOCUMENT><COMPANY-NAME>Acme</COMPANY-NAME><BODY>
@@ -33,7 +35,7 @@ def test_parts(spark, folder):
         ("Acme", 2024, "revenue", "P", 2023, "FY", -1000.0, "백만원"),
     }
     sections = filings.sections(cells).where("source_file like '%_1.xml'").orderBy("section_idx").collect()
-    assert [(s.section_path, s.char_count) for s in sections] == [(["사업의 내용"], 100), (["사업의 내용", "위험 관리"], 129)]
+    assert [(s.section_path, s.char_count) for s in sections] == [(["사업의 내용"], 100), (["사업의 내용", "위험 관리"], 129), (["목차"], 100)]
     assert sections[1].text.endswith("tail <x>")
     kept = filings.tables(cells).where("source_file like '%_1.xml'").orderBy("table_no").collect()
     assert [t.xbrl_class for t in kept] == ["IS_C1", "NT_1"] and kept[1].markdown.startswith("| a\\|b | c |")
@@ -47,9 +49,35 @@ def test_written_tables(spark, folder, tmp_path):
     facts = tables.read_facts(spark, f"{out}/facts")
     built = filings.build_fact_table(facts.union(facts), f"{out}/built")
     assert built.count() == 4
-    assert tables.read_sections(spark, f"{out}/sections").count() == 4
+    assert tables.read_sections(spark, f"{out}/sections").count() == 6
 
 
 def test_codes(spark, tmp_path):
     (tmp_path / "codes.csv").write_text("corp_code,corp_name,stock_code\n126380,Acme,5930\n1,None,\n")
     assert [tuple(r) for r in tables.read_codes(spark, f"file://{tmp_path}/codes.csv").collect()] == [("00126380", "Acme", "005930")]
+
+
+UNITS = """<DOCUMENT><BODY><SECTION-1><TITLE>III. 재무</TITLE><P>{long}</P>
+<TABLE-GROUP ACLASS="{{XBRL}}BS_C"><TITLE>재무상태표</TITLE><P>제 56 기 2024.12.31 현재</P><P>(단위 : 천원)</P><TABLE><TR><TE ACODE="h">x</TE></TR>
+<TR><TE>자 산 총 계</TE><TE ACODE="a" ACONTEXT="CFY2024eFY_x">5</TE></TR></TABLE></TABLE-GROUP>
+<TABLE-GROUP ACLASS="{{XBRL}}IS_S1"><TITLE>손익계산서</TITLE><TABLE><TR><TD>(단위 : 백만원)</TD></TR><TR><TE>매출액</TE><TE ACODE="r" ACONTEXT="CFY2024dFY_x">7</TE></TR></TABLE>
+<TABLE-GROUP ACLASS="{{XBRL}}ZZ"><P>{inner}</P></TABLE-GROUP></TABLE-GROUP>
+<TABLE-GROUP ACLASS="{{XBRL}}ZZ"><P>{free}</P></TABLE-GROUP>
+</SECTION-1><SECTION-1><TITLE>연결재무제표 주석</TITLE><P>{long}</P></SECTION-1></BODY></DOCUMENT>""".format(long="가" * 100, inner="나" * 10, free="다" * 10)
+
+
+def test_units_groups_and_blocked_titles(spark, tmp_path):
+    """Units stand in paragraphs or cells; text of groups that are no statement stays; notes go."""
+    (tmp_path / "[Acme]_[2024년도공시]_1.xml").write_text(UNITS)
+    cells = filings.parsed(spark, f"file://{tmp_path}").cache()
+    assert {(f.account_norm, f.unit_hint) for f in filings.facts(cells).collect()} == {("assets", "천원"), ("revenue", "백만원")}
+    assert [(s.section_path, s.char_count) for s in filings.sections(cells).collect()] == [(["III. 재무"], 111)]
+
+
+def test_latest_filings_and_periods(spark):
+    rows = [("1", "사업보고서 (2023.12)", "b"), ("1", "사업보고서 (2023.12)", "a"), ("2", "분기보고서", "z"), ("3", "주요사항", "q")]
+    got = tables.latest_filings(spark.createDataFrame(rows, "rcept_no string, report_nm string, corp string")).orderBy("rcept_no").collect()
+    assert [(r.rcept_no, r.corp, r.kind) for r in got] == [("1", "a", "A001"), ("2", "z", "A003")]
+    cases = [("사업보고서", "2024-03-11", 2023, "FY"), ("반기보고서", "2024-08-14", 2024, "HY"), ("분기보고서", "2024-05-16", 2024, "1Q"), ("분기보고서", "2024-11-14", 2024, "3Q"), ("공시", "2024-02-01", 2024, "?"), ("분기보고서 (2024.09)", "2024-11-14", 2024, "3Q")]
+    frame = spark.createDataFrame([(t, d) for t, d, *_ in cases], "t string, d string").select(fiscal_period(F.col("t"), F.to_date("d")).alias("p"))
+    assert [(r.p.year, r.p.scope) for r in frame.collect()] == [c[2:] for c in cases]
