@@ -183,18 +183,26 @@ def kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return _cut(docs, bitmaps).toDF(*docs.columns, *COUNTS)
 
 
-def without_copied_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cut and n_chars anew. Only a document of which nothing but white space is left
-    goes; all others keep their remaining lines, however short."""
+@job
+def _without_copied_lines(docs: DataFrame) -> DataFrame:
+    """without_copied_lines(), with columns c0, c1 ..."""
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     out = _cut(docs, keep_bitmaps(docs)).where((F.col("_n_dropped") == 0) | F.col(at["text"]).rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
-    return out.drop(*COUNTS).toDF(*docs.columns)
+    return out.drop(*COUNTS)
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+def without_copied_lines(docs: DataFrame) -> DataFrame:
+    """docs with text cut and n_chars anew. Only a document of which nothing but white space is left
+    goes; all others keep their remaining lines, however short. Written, so that its batches to
+    Python are bounded whatever the session's settings are."""
+    return _without_copied_lines(docs).toDF(*docs.columns)
+
+
+@job
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the digest of what is kept, for each row of docs (doc_id, text)."""
     out = kept_text(docs, keep_bitmaps(docs))
     return out.select(
         "doc_id",
@@ -204,6 +212,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _LINES_SQL = r"""
   SELECT doc_id, i, lines[i] AS line,
     translate(regexp_replace(regexp_replace(lines[i], '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),

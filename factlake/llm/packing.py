@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 LENGTH, END = 4096, 2
 #: Bytes of text that are turned into words at once, words remembered by a task, and of these the
@@ -173,7 +173,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 
     # a null doc_id would turn its batch's numbers into doubles, so ids travel as text
     out = docs.select(F.col("doc_id").cast("string").alias("doc"), "text").mapInPandas(run, "doc string, part int, before bigint, n bigint, ids binary")
-    return stored(out.withColumn("doc_id", F.col("doc").cast(docs.schema["doc_id"].dataType)).drop("doc"), "ids")
+    with small_batches(docs.sparkSession):
+        return stored(out.withColumn("doc_id", F.col("doc").cast(docs.schema["doc_id"].dataType)).drop("doc"), "ids")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
