@@ -46,11 +46,11 @@ from .common import job, small, stored, table
 FOLDS, HELD_OUT = 7, 2
 LIMIT, KNOWN = 400_000, 200_000
 VOCABULARY, CLASS, BUCKETS, HIDDEN = 2048, 64, 32, 16
-EPOCHS, LANES, WINDOW, RATE, SEED = 1, 64, 32, 0.004, 5
+EPOCHS, LANES, WINDOW, RATE, SEED = 1, 128, 32, 0.008, 5
 #: Rounds of an epoch; tokens of a share, and those held at once; models that a task averages.
 ROUNDS, SHARE, BLOCK, FAN = 4, 2_000_000, 500_000, 16
 #: Documents that run in step, and bytes of text that are split into words at once.
-STEP_ROWS, SLICE = 256, 1 << 20
+STEP_ROWS, SLICE = 1024, 1 << 20
 #: No word holds white space, so this can stand for the end of a text.
 END = b"\n"
 
