@@ -96,3 +96,15 @@ def test_relative_time_and_rfc822(spark):
     t = one(spark, periods.parse_rfc822(F.lit("Mon, 01 Jan 2024 09:00:00 +0900")))
     assert t == datetime.datetime(2024, 1, 1, 0, 0)
     assert one(spark, periods.parse_rfc822(F.lit("nonsense"))) is None
+
+
+def test_fact_accuracy(spark):
+    """The given tables hold no scorable turn, so the rollup's figures are held here: halves round up, unscorable rows do not count."""
+    from factlake.operators.evaluate import fact_accuracy
+
+    rows = [("a", "x", True), ("a", "x", False), ("a", "x", False), ("a", "x", None), ("a", "y", True), ("c", "x", None)]
+    rows += [("b", "x", i == 0) for i in range(8)]
+    scored = spark.createDataFrame(rows, "system string, category string, number_ok boolean")
+    want = [("a", "total", 4, 2, 50), ("a", "x", 3, 1, 33), ("a", "y", 1, 1, 100), ("b", "total", 8, 1, 13), ("b", "x", 8, 1, 13)]
+    assert sorted(tuple(r) for r in fact_accuracy(scored).collect()) == want
+    assert fact_accuracy(scored.limit(0)).count() == 0
