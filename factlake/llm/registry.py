@@ -10,10 +10,12 @@ from .mixing import OP1_SQL, op1_source_mixing
 from .packing import op2_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .shingle_join import OP3_SQL, op3_shingle_join
+from .vector_codes import OP13_SQL, op13_vector_codes
 from .vector_join import OP9_SQL, op9_vector_join
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op13_vector_codes": op13_vector_codes,
     "op10_language_model": op10_language_model,
     "op6_html_text": op6_html_text,
     "op8_warc": op8_warc,
@@ -27,6 +29,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op13_vector_codes": OP13_SQL,
     "op8_warc": OP8_SQL,
     "op9_vector_join": OP9_SQL,
     "op1_source_mixing": OP1_SQL,
