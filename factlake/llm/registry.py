@@ -9,12 +9,16 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .mixing import OP1_SQL, op1_source_mixing
 from .packing import op2_packing
 from .quality import OP5_SQL, op5_quality_rules
+from .record_files import op12_record_files
 from .shingle_join import OP3_SQL, op3_shingle_join
+from .spelling import OP11_SQL, op11_spelling_variants
 from .vector_codes import OP13_SQL, op13_vector_codes
 from .vector_join import OP9_SQL, op9_vector_join
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_record_files": op12_record_files,
     "op13_vector_codes": op13_vector_codes,
     "op10_language_model": op10_language_model,
     "op6_html_text": op6_html_text,
@@ -29,6 +33,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op11_spelling_variants": OP11_SQL,
     "op13_vector_codes": OP13_SQL,
     "op8_warc": OP8_SQL,
     "op9_vector_join": OP9_SQL,
