@@ -12,7 +12,7 @@ from factlake.llm.packing import WordTokens, described, pack, sequences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WHOLE, WORDS = Tokenizer.from_file(PATH), WordTokens(PATH)
-ODD = [None, "", " \n\t", "a b", "don't STOP  it's", "Straße İ Σας x", "é ́x", "<|endoftext|> y<|endoftext|>z", "12ab!?\x1c\x85q", "日本 語", "aİ, İ. plain, words. Ça ǅ ª x́y's, ok"]
+ODD = [None, "", " \n\t", "a b", "don't STOP  it's", "Straße İ Σας x", "é ́x", "<|endoftext|> y<|endoftext|>z", "<|ENDOFTEXT|> a,<|endoftext|>, B<|End", "12ab!?\x1c\x85q", "日本 語", "aİ, İ. plain, words. Ça ǅ ª x́y's, ok"]
 
 
 @pytest.mark.parametrize("text", ODD)
