@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import columns, table
+from .common import columns, small_batches, stored, table
 
 OUT, IN, OFF = range(3)
 #: Labelled pages for training, and the seed of their making.
@@ -141,8 +141,8 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first: block elements, and runs of text ("#") as leaves. `at` is
     where in the page a node starts; length, linked and stops count what is below it."""
     nodes, open_blocks, run, anchors, linked = [Node(-1, "html")], [0], [], 0, 0
-    begun, inline, ends, no_end = -1, set(), {}, set()
-    held, seen = Counter(), {"html"}  # open elements by tag; tags that the page had
+    begun, inline, ends, kept_in, no_end = -1, set(), {}, {}, set()
+    places, seen = defaultdict(list), {"html"}  # of each tag, where its open elements are in open_blocks; tags that the page had
 
     def flush() -> None:
         nonlocal run, linked, inline, begun
@@ -155,16 +155,26 @@ def parse(page: str) -> list[Node]:
         run, linked, inline, begun = [], 0, set(), -1
 
     def close(tag: str, within: tuple[str, ...] = ()) -> None:
-        if not held[tag]:
+        """Closes the innermost open element of this tag and all in it, unless one of `within` is in it."""
+        if not places[tag]:
             return
-        for i in range(len(open_blocks) - 1, 0, -1):
-            name = nodes[open_blocks[i]].tag
-            if name == tag:
-                held.subtract(nodes[j].tag for j in open_blocks[i:])
-                del open_blocks[i:]
-                return
-            if name in within:
-                return
+        i = places[tag][-1]
+        if any(places[w] and places[w][-1] > i for w in within):
+            return
+        for j in open_blocks[i:]:
+            places[nodes[j].tag].pop()
+        del open_blocks[i:]
+
+    def ending(tag: str, at: int) -> tuple[int, int] | None:
+        """Where the first end tag of this name is. It ends at the first > of all, so one search is enough."""
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+        stop = page.find(">", m.end()) if m else -1
+        return (m.start(), stop + 1) if stop >= 0 else None
+
+    def stops_at(tag: str, at: int) -> int | None:
+        found = ending(tag, at)
+        body = re.compile(r"<body(?=[\s>])", re.I).search(page, at, found[0] if found else end) if tag == "head" else None
+        return body.start() if body else found[1] if found else None
 
     at, end, tags = 0, len(page), Tags(page)
     while at < end:
@@ -189,10 +199,9 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if (not attributes.rstrip().endswith("/") or tag in ("script", "style", "title", "textarea")) and tag not in no_end:
-                till = f"</{tag}(?=[\\s/>])[^>]*>" + "|(?=<body[\\s>])" * (tag == "head")
-                stop = re.compile(till, re.I).search(page, at)
-                if stop:
-                    at = stop.end()
+                stop = stops_at(tag, at)
+                if stop is not None:
+                    at = stop
                 elif tag == "head":
                     no_end.add(tag)
                 else:
@@ -200,12 +209,16 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in PARTS and not attributes.rstrip().endswith("/"):
             if tag not in ends or ends[tag][0] < at:
-                stop = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-                ends[tag] = stop.span() if stop else (end, 0)
+                ends[tag] = ending(tag, at) or (end, 0)
+                kept_in.pop(tag, None)
             first, after = ends[tag]
-            if after and not NOT_IN[tag].search(page, at, first):
-                at = after
-                continue
+            if after:
+                if kept_in.get(tag, -1) < at:  # what stood before this place is behind
+                    kept = NOT_IN[tag].search(page, at, first)
+                    kept_in[tag] = kept.start() if kept else end
+                if kept_in[tag] >= first:
+                    at = after
+                    continue
         if tag == "a":
             anchors = 1
         elif tag == "br":
@@ -224,7 +237,7 @@ def parse(page: str) -> list[Node]:
                 close("p", ("td", "th", "button", "object"))
             if tag not in ("html", "body") or tag not in seen:
                 seen.add(tag)
-                held[tag] += 1
+                places[tag].append(len(open_blocks))
                 nodes.append(Node(open_blocks[-1], tag, start, _names(attributes)))
                 open_blocks.append(len(nodes) - 1)
         elif tag not in VOID and attributes:
@@ -475,4 +488,5 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extract_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    with small_batches(spark):  # a task holds few long pages at once
+        return stored(out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")), "text")

@@ -86,7 +86,7 @@ def test_long_and_deep_pages(model):
 
 @pytest.mark.parametrize(
     "unit",
-    ['<a title="x ', "<a ", '<a ">"', "</b x=\"", "<a 'x\" ", "<head>", "<body>", "<button>a ", "<svg><p> ", "<", "<b class=q>", "&#1", "<a \">\" '>'", "<!x ", "<p title='"],
+    ['<a title="x ', "<a ", '<a ">"', "</b x=\"", "<a 'x\" ", "<head>", "<body>", "<button>a ", "<svg><p> ", "<", "<b class=q>", "&#1", "<a \">\" '>'", "<!x ", "<p title='", "<div>", "</script ", "</nav ", "</svg ", "<svg>"],
 )
 def test_time_follows_the_length(unit, model):
     """Hostile pages of 200 kB and one > at their end."""
@@ -96,6 +96,13 @@ def test_time_follows_the_length(unit, model):
         assert time.process_time() - start < 6
 
 
+@pytest.mark.parametrize("first, unit", [("<p><td>", "<div>"), ("<p><td>", "<div></p>"), ("<li><ul>", "<li><p>"), ("<script>", "</script "), ("<svg>", "</svg "), ("<head>", "</head "), ("<select><td>", "<option>"), ("<svg>", "<svg><i>")])
+def test_a_megabyte_of_open_elements(first, unit):
+    start = time.process_time()
+    assert H.parse(first + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 8
+
+
 def test_numbers_of_any_length(model):
     assert H._decoded("&#65;&#" + "0" * 9000 + "66;&#" + "9" * 9000 + ";c&#67") == "AB\ufffdcC"
 
