@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import SCOPE_ALIASES
+from .reports import PERIODS
 
+# The form of a tag.
 TAG = r"^([CP])FY(\d{4})([ed])(FY|HY|FQ|SQ|TQ|[1-4]Q)([AQ])?$"
 HEAD = r"^([CP])FY(\d{4})"
 
@@ -28,10 +30,14 @@ def parse_period_tag(tag: Column) -> Column:
     )
 
 
-def tag_of_context(context: Column) -> Column:
-    """The tag that a cell's context begins with, UNKNOWN without one."""
-    found = F.regexp_extract(context, r"^([CP]FY\d{4}[a-zA-Z0-9]+?)(?:_|$)", 1)
-    return F.when(F.coalesce(found, F.lit("")) == "", "UNKNOWN").otherwise(found)
+def tag_of_context(context: Column, near: Column | None = None) -> Column:
+    """The tag that a cell's context begins with; without one UNK_ and the period that the text near
+    its table names, else UNKNOWN."""
+    found = F.nullif(F.regexp_extract(context, r"^([CP]FY\d{4}[a-zA-Z0-9]+?)(?:_|$)", 1), F.lit(""))
+    guess = F.lit(None).cast("string")
+    for pattern, name in reversed(PERIODS if near is not None else ()):
+        guess = F.when(near.rlike(pattern), "UNK_" + name).otherwise(guess)
+    return F.coalesce(found, guess, F.lit("UNKNOWN"))
 
 
 def report_kind(title: Column) -> Column:

@@ -36,7 +36,8 @@ def dated(paragraphs: Column) -> Column:
 
 
 def item_id(company: Column, year: Column, in_quarter: Column, kind: str, number: Column, source: Column) -> Column:
-    """{company}_{year}{Qn or Y}_{kind}{0001}_{hash of the file}; the last keeps filings of a year apart."""
+    """{company}_{year}{Qn or Y}_{kind}{0001}_{hash of the file}; the last keeps filings of a year apart.
+    Numbers of more than four digits are written whole."""
     name = F.replace(F.coalesce(F.nullif(company, F.lit("")), F.lit("unknown")), F.lit(" "), F.lit("_"))
     when = F.coalesce(F.concat(F.lit("Q"), in_quarter.cast("string")), F.lit("Y"))
-    return F.concat(name, F.lit("_"), year.cast("string"), when, F.lit(f"_{kind}"), F.lpad(number.cast("string"), 4, "0"), F.lit("_"), F.substring(F.md5(source.cast("binary")), 1, 8))
+    return F.concat(name, F.lit("_"), year.cast("string"), when, F.lit(f"_{kind}"), F.format_string("%04d", number), F.lit("_"), F.substring(F.md5(source.cast("binary")), 1, 8))

@@ -112,8 +112,8 @@ def relax(hits: DataFrame) -> DataFrame:
 def overlap(query: Column, text: Column, characters: int = 1500) -> Column:
     """The default reranker: share of the query's tokens among those of the text's beginning, which
     is all that a cross-encoder would read."""
-    wanted = tokens(query)
-    return F.round(F.try_divide(F.size(F.array_intersect(wanted, tokens(F.substring(text, 1, characters)))), F.size(wanted)), 6)
+    wanted = F.array_distinct(tokens(F.lower(query)))
+    return F.round(F.try_divide(F.size(F.array_intersect(wanted, tokens(F.lower(F.substring(text, 1, characters))))), F.size(wanted)), 6)
 
 
 def confidence(relaxed: Column, reranked: Column, n: Column) -> Column:

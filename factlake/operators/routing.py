@@ -5,21 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keywords of intents and periods.
-DEFINITION = ("뜻", "의미", "정의", "란 무엇", "what is", "define", "meaning")
-NARRATIVE = ("전략", "리스크", "위험", "계획", "전망", "사업", "strategy", "risk", "plan", "outlook", "why")
-SECTOR = ("업종", "섹터", "비교", "순위", "sector", "rank", "어디", "가장")
-NEWS = ("뉴스", "소식", "최근", "동향", "news", "recent")
-PRIOR = ("전기", "전년", "작년", "지난해", "prior", "last year")
-CURRENT = ("당기", "올해", "기준", "current")
-END = ("말", "시점", "기준", "현재", "as of")
-CUMULATIVE = ("누적", "지금까지", "cumulative")
-ANNUAL = ("연간", "사업연도", "annual", "full year")
-HALF = ("반기", "상반기", "half")
+from .aliases import longest_in
+
+# Keywords of intents.
+DEFINITION = ("뭐야", "뭐지", "무엇", "무슨", "뭐냐", "뭔가요", "정의", "의미", "뜻", "개념", "설명해", "알려줘", "알려주세요", "가르쳐", "이란", "이라는")
+NARRATIVE = (
+    "사업", "개요", "전략", "연혁", "역사", "연구개발", "R&D", "어떤", "무엇", "왜", "어떻게", "설명", "분석", "평가",
+    "부문", "제품", "서비스", "시장", "경쟁", "전망", "정책", "계획", "방침", "방향", "주요", "성과",
+)
+SECTOR = ("업종", "산업", "섹터", "peer", "비교해", "비교 해", "어디", "가장")
+NEWS = ("최근", "요즘", "이슈", "동향", "현황", "분위기", "뉴스", "소식", "근황", "어떻게 되", "어떻게 돌아", "상황", "변화", "트렌드", "이슈는")
+# Words of periods; patterns where a blank may stand or a word must end.
+PRIOR = ("전기", "전년", "작년", "전분기")
+CURRENT = ("당기", "당분기", "당년도", "금년", "기준")
+END = r"말(?![\p{L}\p{N}_])|시점|기준|현재"
+CUMULATIVE = ("누적", "지금까지", "총")
+ANNUAL = r"연간|사업연도|사업\s*\(년\)|연말|12월\s*말"
+HALF = ("반기", "상반기", "H1", "2분기말")
+THIS_QUARTER = r"당분기|이번\s*분기"
+#: Quarters as "3분기", "Q3" or "3Q", whichever stands first.
+QUARTER = r"([1-4])\s*분기|[Qq]\s*([1-4])|([1-4])\s*[Qq]"
 
 
 def has(text: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(r"\Q" + w + r"\E" for w in words)), F.lit(False))
+    """Whether the text has one of the words, as they are written."""
+    return F.coalesce(text.rlike("|".join(r"\Q" + w + r"\E" for w in words)), F.lit(False))
 
 
 def longest_contained(rows: DataFrame, key: str, text: Column, names: list[tuple[str, str]], out: str, words: bool = False) -> DataFrame:
@@ -53,11 +63,9 @@ def longest_alias(rows: DataFrame, key: str, text: Column, aliases: DataFrame) -
 def period(text: Column) -> Column:
     """struct<year, scope, cp, type, variant> of a question."""
     year = F.nullif(F.regexp_extract(text, r"(20[0-9]{2})", 1), F.lit("")).cast("int")
-    quarter = F.coalesce(
-        F.nullif(F.regexp_extract(text, r"([1-4])\s*분기", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"[Qq]([1-4])", 1), F.lit("")), F.nullif(F.regexp_extract(text, r"([1-4])[Qq]", 1), F.lit(""))
-    )
-    scope = F.when(quarter.isNotNull(), F.concat(quarter, F.lit("Q"))).when(has(text, HALF), "HY").when(has(text, ANNUAL), "FY").when(text.contains("당분기"), "3Q")
-    end, cumulative = has(text, END), has(text, CUMULATIVE)
+    quarter = F.coalesce(*[F.nullif(F.regexp_extract(text, QUARTER, i), F.lit("")) for i in (1, 2, 3)])
+    scope = F.when(quarter.isNotNull(), F.concat(quarter, F.lit("Q"))).when(has(text, HALF), "HY").when(text.rlike(ANNUAL), "FY").when(text.rlike(THIS_QUARTER), "3Q")
+    end, cumulative = F.coalesce(text.rlike(END), F.lit(False)), has(text, CUMULATIVE)
     return F.struct(
         year.alias("year"),
         scope.alias("scope"),
@@ -89,7 +97,16 @@ def route_confidence(corp: Column, account: Column, year: Column, scope: Column)
     return (part(corp, 40) + part(account, 30) + part(year, 15) + part(scope, 15)) / F.lit(100.0)
 
 
-def route(questions: DataFrame, names: dict[str, list[tuple[str, str]]]) -> DataFrame:
+def with_name(rows: DataFrame, text: Column, names: list[tuple[str, str]] | DataFrame, out: str, words: bool = False) -> DataFrame:
+    """rows (qid, ...) with `out`: what the longest name in the text stands for. A list is code and is
+    tested in one pass; a table (alias, name) is a dictionary of any size, and is joined."""
+    if isinstance(names, list):
+        return longest_contained(rows, "qid", text, names, out, words)
+    found = longest_in(rows, "qid", text, names).select("qid", F.col("name").alias(out))
+    return rows.join(found, "qid", "left")
+
+
+def route(questions: DataFrame, names: dict[str, list[tuple[str, str]] | DataFrame]) -> DataFrame:
     """qid, text to entities, period, intent and confidence. names: corp, account, sector, term.
 
     Balance-sheet accounts are instants; flows are cumulative unless told; the period meant is the
@@ -98,8 +115,8 @@ def route(questions: DataFrame, names: dict[str, list[tuple[str, str]]]) -> Data
     text = F.col("text")
     rows = questions.withColumn("_flat", F.replace(text, F.lit(" "), F.lit("")))
     for field in ("corp", "sector", "term"):
-        rows = longest_contained(rows, "qid", text, names[field], field, words=field == "term")
-    rows = longest_contained(rows, "qid", F.col("_flat"), names["account"], "account")
+        rows = with_name(rows, text, names[field], field, words=field == "term")
+    rows = with_name(rows, F.col("_flat"), names["account"], "account")
     balance = F.col("account").isin("assets", "liabilities", "equity")
     rows = rows.withColumn("statement", F.when(balance, "BS").when(F.col("account").isNotNull(), "IS")).withColumn("p", period(text))
     return rows.select(

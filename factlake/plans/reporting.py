@@ -55,7 +55,7 @@ def report_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
         terms.first_pattern(t, reports.PERIODS).alias("period"),
         reports.quarter(t).alias("quarter"),
         reports.period_end(t).alias("period_end"),
-        reports.item_id(company, F.col("year"), reports.quarter(t), "t", k % 9999, t).alias("table_id"),
+        reports.item_id(company, F.col("year"), reports.quarter(t), "t", k, t).alias("table_id"),
     )
 
 
@@ -206,7 +206,7 @@ ORACLES = {
       u AS (SELECT *, {_QUARTER_SQL} AS quarter, regexp_extract(title, '(\\d{{4}})\\s*년\\s*(\\d{{1,2}})\\s*월\\s*(\\d{{1,2}})\\s*일', ['y', 'm', 'd']) AS a, regexp_extract(title, '(\\d{{4}})[-.](\\d{{1,2}})[-.](\\d{{1,2}})', ['y', 'm', 'd']) AS b FROM t)
       SELECT o_orderkey, {_first_sql("title", reports.REPORT_TYPES)} AS report_type, {_first_sql("title", reports.STATEMENTS)} AS statement, {_first_sql("title", reports.PERIODS)} AS period, quarter,
         CASE WHEN a.y <> '' THEN a.y || '-' || lpad(a.m, 2, '0') || '-' || lpad(a.d, 2, '0') WHEN b.y <> '' THEN b.y || '-' || lpad(b.m, 2, '0') || '-' || lpad(b.d, 2, '0') END AS period_end,
-        CASE WHEN o_orderkey % 3 > 0 THEN 'A_' || (o_orderkey % 3) ELSE 'unknown' END || '_' || year || coalesce('Q' || quarter, 'Y') || '_t' || lpad((o_orderkey % 9999)::VARCHAR, 4, '0') || '_' || left(md5(title), 8) AS table_id FROM u""",
+        CASE WHEN o_orderkey % 3 > 0 THEN 'A_' || (o_orderkey % 3) ELSE 'unknown' END || '_' || year || coalesce('Q' || quarter, 'Y') || '_t' || printf('%04d', o_orderkey) || '_' || left(md5(title), 8) AS table_id FROM u""",
     "title_dates": """WITH p AS (SELECT o_orderkey, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN '제 ' || (o_orderkey % 60) || ' 기' END, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END,
         CASE WHEN o_orderkey % 5 = 0 THEN '기준 ' || strftime(o_orderdate, '%Y-%m-%d') END, '2024.01.02 현재'], lambda x: x IS NOT NULL) AS p FROM orders) SELECT o_orderkey, array_to_string(p[1:3], ' | ') AS dates FROM p""",
     "page_tables": """SELECT n_regionkey, 'Region ' || n_regionkey || ' ' || chr(10) || chr(10) || '| name | a\\|b |' || chr(10) || '| --- | --- |' || chr(10)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import periods, text
-from ..operators import chunking, evaluate, retrieval, routing, session
+from ..operators import aliases, cells, chunking, evaluate, impacts, retrieval, routing, session
 from ..sources.facts import read
-from ..streaming.sessions import stream_session_state
+from ..streaming.sessions import stream_session_control, stream_session_state
 
 BLOCKED = ("Licensed", "copyright", "Cookie")
 ENTITIES = [("mentent", "A"), ("tion", "B"), ("ung", "C"), ("que", "D"), ("ción", "E"), ("heit", "F")]
@@ -73,6 +73,19 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("qid", "vec_id", "score", "rank")
 
 
+def bm25_topk_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk by bounds of terms and blocks."""
+    best, _ = impacts.bm25_top(impacts.impacts(_docs(spark, sf_dir)), _queries(spark, sf_dir), K)
+    return best
+
+
+def vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every twentieth vector the ten nearest of all, by cells."""
+    e = read(spark, sf_dir, "embeddings")
+    best, _ = cells.search(cells.build(e), e.where("vec_id % 20 = 0"), K)
+    return best
+
+
 def _fused(weights, c):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         a = _lexical(spark, sf_dir).withColumnRenamed("doc_id", "key")
@@ -147,6 +160,15 @@ def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(questions, names)
 
 
+def alias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest word of the documents that stands in a turn without its spaces, and its language."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[a-zà-ÿ]{5,}"), F.lit(0)))
+    known = read(spark, sf_dir, "documents").select(word.alias("alias"), "lang").groupBy("alias").agg(F.min("lang").alias("name"))
+    turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = read(spark, sf_dir, "conversations").select(turn.alias("id"), F.replace("text", F.lit(" "), F.lit("")).alias("t"))
+    return aliases.longest_in(rows, "id", F.col("t"), known)
+
+
 def longest_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     aliases = part.select(F.col("p_name").alias("alias"), F.upper("p_name").alias("name")).union(part.select(F.substring_index("p_name", " ", 1), F.lit("first word"))).distinct()
@@ -239,7 +261,7 @@ def keyword_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 9 == 1, "오류: timeout").when(F.col("doc_id") % 9 == 2, "값을 찾을 수 없습니다").otherwise(F.col("text"))
+    answer = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 9 == 1, "답변 생성 중 오류가 발생했습니다: timeout").when(F.col("doc_id") % 9 == 2, "값을 찾을 수 없습니다").otherwise(F.col("text"))
     rows = read(spark, sf_dir, "documents").select(text.answer_status(answer).alias("status"), "n_chars")
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("n_chars").cast("double") / F.count("*"), 3).alias("mean_chars"))
 
@@ -268,6 +290,8 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_filtered": bm25_filtered,
     "vector_topk": vector_topk,
+    "vector_topk_cells": vector_topk_cells,
+    "bm25_topk_pruned": bm25_topk_pruned,
     "hybrid_fusion": _fused((0.4, 0.6), 0),
     "fusion_rrf60": _fused((0.5, 0.5), 60),
     "filter_relaxation": filter_relaxation,
@@ -275,6 +299,7 @@ QUERIES = {
     "rerank_overlap": rerank_overlap,
     "route_intent": route_intent,
     "longest_alias": longest_alias,
+    "alias_search": alias_search,
     "session_carry": session_carry,
     "session_last5": session_last5,
     "session_complete": session_complete,
@@ -292,6 +317,7 @@ QUERIES = {
     "eval_rollup": eval_rollup,
     "eval_metrics": eval_metrics,
     "stream_session_state": stream_session_state,
+    "stream_session_control": stream_session_control,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '\\s+'), lambda x: x <> '')"
@@ -326,18 +352,25 @@ def _fused_sql(weights, c) -> str:
 _SECTIONS = f"sections AS (SELECT * FROM documents WHERE length(text) >= 100 AND NOT regexp_matches(string_split(text, chr(10))[1], '{'|'.join(BLOCKED)}'))"
 
 
+# Written out here, not taken from the library, so that agreement shows that both have the same values.
+_ENDINGS_SQL = "입니다|이며|이다|합니다|있습니다|하고|에서|으로|부터|까지|등이|등은|되어|되고"
+_STOPWORDS_SQL = """'있습니다', '입니다', '합니다', '하고', '있으며', '있다', '이다', '되고', '되어', '기준', '관련', '주요', '다음', '같은', '통해', '위한', '위해', '대한', '대해',
+  '이러한', '그리고', '또한', '또는', '그러나', '하지만', '당사', '회사', '당기', '전기', '우리', '습니다', '니다'"""
+
+
 def _tokens_sql(t: str) -> str:
-    def stem(w: str) -> str:
-        return "CASE " + " ".join(f"WHEN ends_with({w}, '{e}') AND length({w}) > {len(e) + 1} THEN left({w}, length({w}) - {len(e)})" for e in text.ENDINGS) + f" ELSE {w} END"
+    words = f"list_filter(string_split(regexp_replace(coalesce({t}, ''), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
+    return f"list_transform({words}, lambda w: regexp_replace(w, '^(.{{2,}})(?:{_ENDINGS_SQL})$', '\\1'))"
+
 
-    words = f"list_filter(string_split(regexp_replace(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
-    return f"list_distinct(list_transform({words}, lambda w: {stem('w')}))"
+def _keywords_sql(t: str) -> str:
+    return f"list_distinct(list_filter({_tokens_sql(t)}, lambda w: w NOT IN ({_STOPWORDS_SQL})))"
 
 
 def _coverage_sql(truth: str, answer: str) -> str:
-    inside = f"replace(lower(coalesce({answer}, '')), ' ', '')"
+    inside = f"replace(coalesce({answer}, ''), ' ', '')"
     hit = f"contains({inside}, w) OR (length(w) > 2 AND contains({inside}, left(w, length(w) - 1)))"
-    return f"round(len(list_filter({_tokens_sql(truth)}, lambda w: {hit}))::DOUBLE / nullif(len({_tokens_sql(truth)}), 0), 3)"
+    return f"round(len(list_filter({_keywords_sql(truth)}, lambda w: {hit}))::DOUBLE / nullif(len({_keywords_sql(truth)}), 0), 3)"
 
 
 def _numbers_sql(t: str) -> str:
@@ -350,7 +383,7 @@ def _main_sql(t: str) -> str:
 
 
 _ENTITY = "CASE " + " ".join(f"WHEN contains(text, '{a}') THEN '{b}'" for a, b in sorted(ENTITIES, key=lambda x: -len(x[0]))) + " END"
-_STATUS = "CASE WHEN trim(coalesce({a}, '')) = '' THEN 'empty' WHEN regexp_matches({a}, '" + "|".join(text.ERRORS) + "') THEN 'error' WHEN regexp_matches({a}, '" + "|".join(text.NOT_FOUND) + "') THEN 'not_found' ELSE 'answered' END"
+_STATUS = "CASE WHEN coalesce({a}, '') = '' THEN 'empty' WHEN contains({a}, '답변 생성 중 오류') THEN 'error' WHEN contains({a}, '찾을 수 없') OR contains({a}, '확인할 수 없') THEN 'not_found' ELSE 'answered' END"
 _STRIP = "trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 _QUESTIONS = """q AS (SELECT * FROM (SELECT conv_id, turn, role, text, lead(text) OVER w AS reply, lead(text, 3) OVER w AS later
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user')"""
@@ -406,14 +439,18 @@ ORACLES = {
     "retrieve": _bm25_sql("all") + f""", h AS (SELECT r.qid, r.doc_id, r.score, CASE WHEN source = 'src' || (qid % 20) THEN CASE WHEN lang = ['en', 'fr', 'de', 'es'][(qid % 4 + 1)::INTEGER] THEN 0 ELSE 1 END ELSE 2 END AS level
         FROM ranked r JOIN documents USING (doc_id)), m AS (SELECT *, min(level) OVER (PARTITION BY qid) AS applied FROM h),
       t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INTEGER AS before FROM m WHERE level = applied),
-      b AS (SELECT t.qid, t.doc_id, before, applied, {_tokens_sql("q.text")} AS w, {_tokens_sql("left(d.text, 1500)")} AS t FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents d USING (doc_id) WHERE before <= {K}),
+      b AS (SELECT t.qid, t.doc_id, before, applied, list_distinct({_tokens_sql("lower(q.text)")}) AS w, list_distinct({_tokens_sql("lower(left(d.text, 1500))")}) AS t FROM t JOIN benchmark q ON q.item_id = t.qid JOIN documents d USING (doc_id) WHERE before <= {K}),
       s AS (SELECT qid, doc_id, before, applied, round(len(list_intersect(w, t))::DOUBLE / nullif(len(w), 0), 6) AS overlap FROM b),
       o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, before)::INTEGER AS rank FROM s), k AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM o WHERE rank <= 3)
       SELECT qid, doc_id, rank, applied, CASE WHEN applied > 0 THEN 'low' WHEN n >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM k""",
-    "rerank_overlap": _bm25_sql("all") + f""", b AS (SELECT r.qid, r.doc_id, r.rank AS before, {_tokens_sql("q.text")} AS w, {_tokens_sql("left(d.text, 1500)")} AS t FROM ranked r JOIN benchmark q ON q.item_id = r.qid JOIN documents d USING (doc_id)
+    "rerank_overlap": _bm25_sql("all") + f""", b AS (SELECT r.qid, r.doc_id, r.rank AS before, list_distinct({_tokens_sql("lower(q.text)")}) AS w, list_distinct({_tokens_sql("lower(left(d.text, 1500))")}) AS t FROM ranked r JOIN benchmark q ON q.item_id = r.qid JOIN documents d USING (doc_id)
         WHERE r.rank <= {K}), s AS (SELECT qid, doc_id, before, round(len(list_intersect(w, t))::DOUBLE / nullif(len(w), 0), 6) AS overlap FROM b),
       o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, before)::INTEGER AS rank FROM s) SELECT * FROM o WHERE rank <= 3""",
     "route_intent": _route_sql(),
+    "alias_search": """WITH a AS (SELECT w AS alias, min(lang) AS name FROM (SELECT unnest(regexp_extract_all(text, '[a-zà-ÿ]{5,}')) AS w, lang FROM documents) GROUP BY w),
+      t AS (SELECT conv_id || '/' || turn AS id, replace(text, ' ', '') AS t FROM conversations), l AS (SELECT DISTINCT length(alias) AS n FROM a),
+      s AS (SELECT DISTINCT id, substr(t, i, n) AS s FROM t, l, range(1, length(t) + 1) AS r(i) WHERE i <= length(t) - n + 1)
+      SELECT id, alias, name FROM (SELECT id, alias, name, row_number() OVER (PARTITION BY id ORDER BY length(alias) DESC, alias, name) AS k FROM s JOIN a ON s.s = a.alias) WHERE k = 1""",
     "longest_alias": """WITH a AS (SELECT p_name AS alias, upper(p_name) AS name FROM part UNION SELECT string_split(p_name, ' ')[1], 'first word' FROM part),
       t AS (SELECT p_partkey, ' ' || regexp_replace(lower(concat_ws(' ', 'The', p_name, p_type, p_brand)), '\\W+', ' ', 'g') || ' ' AS t FROM part),
       h AS (SELECT p_partkey, lower(alias) AS alias, name, row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, lower(alias), name) AS rn FROM t JOIN a ON contains(t, ' ' || lower(alias) || ' '))
@@ -439,7 +476,7 @@ ORACLES = {
     "number_match": f"""WITH d AS (SELECT doc_id, text, regexp_replace(text, '^[^\\n]*\\n?', '') AS below FROM documents)
       SELECT doc_id, {_main_sql("text")} AS number, CASE WHEN {_main_sql("text")} IS NOT NULL THEN list_contains({_numbers_sql("below")}, {_main_sql("text")}) END AS ok FROM d""",
     "keyword_coverage": f"WITH {_QUESTIONS} SELECT conv_id, turn, {_coverage_sql('text', 'reply')} AS coverage FROM q",
-    "answer_status": f"""WITH a AS (SELECT n_chars, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '오류: timeout' WHEN 2 THEN '값을 찾을 수 없습니다' ELSE text END AS a FROM documents), s AS (SELECT {_STATUS.format(a="a")} AS status, n_chars FROM a)
+    "answer_status": f"""WITH a AS (SELECT n_chars, CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN '답변 생성 중 오류가 발생했습니다: timeout' WHEN 2 THEN '값을 찾을 수 없습니다' ELSE text END AS a FROM documents), s AS (SELECT {_STATUS.format(a="a")} AS status, n_chars FROM a)
       SELECT status, count(*) AS n, round(sum(n_chars)::DOUBLE / count(*), 3) AS mean_chars FROM s GROUP BY status""",
     "eval_rollup": _ANSWERS + """ SELECT system, CASE WHEN grouping(category) = 1 THEN 'total' ELSE category END AS category, count(*) FILTER (status = 'answered') AS ok, count(*) AS n,
       ((count(*) FILTER (status = 'answered') * 2000 + count(*)) // (2 * count(*)))::DOUBLE / 10 AS pct FROM s GROUP BY GROUPING SETS ((system, category), (system))""",
@@ -449,4 +486,20 @@ ORACLES = {
       s AS (SELECT *, sum((expired OR f)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e)
       SELECT user_id, event_id, n::INTEGER AS session_no, row_number() OVER w::INTEGER AS turn_no, array_to_string(list(event_type) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS history, expired
       FROM s WINDOW w AS (PARTITION BY user_id, n ORDER BY ts, event_id)""",
+    "stream_session_control": """WITH k AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 37 = 0 THEN 'delete' WHEN event_id % 17 = 0 THEN 'reset' WHEN event_id % 23 = 0 THEN 'stats' ELSE event_type END AS t FROM events),
+      g AS (SELECT *, coalesce(sum((t = 'delete')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM k),
+      p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, d ORDER BY ts, event_id) AS prev FROM g WHERE t NOT IN ('delete', 'stats')),
+      f AS (SELECT *, coalesce(ts - prev > INTERVAL 2 DAY, false) AS forgot, coalesce(ts - prev > INTERVAL 6 HOUR, false) AS gap FROM p),
+      r AS (SELECT *, sum(forgot::INTEGER) OVER (PARTITION BY user_id, d ORDER BY ts, event_id) AS r FROM f),
+      s AS (SELECT *, sum((prev IS NULL OR gap OR t = 'reset')::INTEGER) OVER (PARTITION BY user_id, d, r ORDER BY ts, event_id) AS n FROM r),
+      x AS (SELECT user_id, d, event_id, ts, n AS session_no, row_number() OVER w AS turn_no, row_number() OVER (PARTITION BY user_id, d, r ORDER BY ts, event_id) AS turns,
+        array_to_string(list(t) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS history, gap AND NOT forgot AS expired FROM s WINDOW w AS (PARTITION BY user_id, d, r, n ORDER BY ts, event_id)),
+      o AS (SELECT g.user_id, g.event_id, g.t, coalesce(g.ts - x.ts > INTERVAL 2 DAY, true) AS away, coalesce(g.ts - x.ts > INTERVAL 6 HOUR, false) AS quiet, x.session_no, x.turn_no, x.turns, x.history
+        FROM (SELECT * FROM g WHERE t IN ('delete', 'stats')) g ASOF LEFT JOIN x ON g.user_id = x.user_id AND g.d = x.d AND g.ts >= x.ts)
+      SELECT user_id, event_id, 'turn' AS kind, session_no::INTEGER AS session_no, turn_no::INTEGER AS turn_no, turns::BIGINT AS turns, history, expired FROM x
+      UNION ALL SELECT user_id, event_id, CASE t WHEN 'delete' THEN 'deleted' ELSE 'stats' END, CASE WHEN away THEN 0 ELSE session_no END::INTEGER, CASE WHEN away OR quiet THEN 0 ELSE turn_no END::INTEGER,
+        CASE WHEN away THEN 0 ELSE turns END::BIGINT, CASE WHEN away OR quiet OR t = 'delete' THEN '' ELSE history END, quiet AND NOT away FROM o""",
+    "bm25_topk_pruned": _bm25_sql("all") + f" SELECT qid, doc_id, score, rank FROM ranked WHERE rank <= {K}",
+    "vector_topk_cells": f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(e.v, q.v), 6) AS score FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM n) WHERE rank <= {K}""",
 }

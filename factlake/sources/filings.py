@@ -1,7 +1,7 @@
 """Filings (XML or HTML files) to facts, tables and sections.
 
 A file is parsed in one task by a tolerant event parser; the rest is columns. A file that cannot
-be read yields no rows but an entry among the quarantined.
+be read yields no cells; the manifest has its error.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import parse_period_tag, tag_of_context
+from ..functions.reports import DATED
 from ..functions.text import collapse, markdown_table, normalize_account
 from ..functions.values import parse_value
+from ..operators.aliases import longest_in
 
 # Statement classes with their statement and report type.
 CLASSES = {
@@ -29,10 +31,14 @@ CLASSES = {
 # facts already, so they are left out, as are sections shorter than MIN_SECTION.
 BLOCKED = ("재무제표", "요약재무정보", "재무상태표", "손익계산서", "포괄손익계산서", "현금흐름표", "자본변동표", "감사의견", "감사보고서", "외부감사")
 MIN_SECTION = 100
-#: Units as printed near a table, tested in this order.
-UNITS = ((r"단위\s*[:：]\s*백만\s*원|백만원", "백만원"), (r"단위\s*[:：]\s*천\s*원|천원", "천원"), (r"억원", "억원"), (r"단위\s*[:：]\s*원", "원"))
+# Units as printed near a table, tested in this order, and the cells that may print them.
+UNITS = (
+    (r"단위\s*[:：]\s*백만\s*원", "백만원"), (r"단위\s*[:：]\s*천\s*원", "천원"), (r"단위\s*[:：]\s*억\s*원", "억원"), (r"단위\s*[:：]\s*원(?![\p{L}\p{N}_])", "원"),
+    (r"\(\s*백만\s*원\s*\)", "백만원"), (r"\(\s*천\s*원\s*\)", "천원"),
+)
+UNIT_CELLS = ("te", "td", "tu")
 
-CELLS = "kind string, class string, group_no int, title string, section array<string>, table_no int, row_no int, cell_no int, label string, code string, context string, text string"
+CELLS = "kind string, tag string, class string, group_no int, groups array<int>, title string, section array<string>, table_no int, row_no int, cell_no int, label string, code string, context string, text string"
 
 
 class _Events(HTMLParser):
@@ -69,14 +75,14 @@ class _Events(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         text = " ".join("".join(self.text).replace("　", " ").split())
-        names = [t for _, t in self.path]
+        names, groups = [t for _, t in self.path], [n for n, _, _ in self.inside]
         group, kind, title = self.inside[-1] if self.inside else (-1, "", "")
         if tag == "table-group":
             self.inside = self.inside[:-1]
         elif tag in ("td", "te", "th", "tu"):
             if self.cell == 0:
                 self.label = text
-            self.rows.append(("cell", kind, group, title, names, self.table, self.row, self.cell, self.label, self.attrs.get("ACODE"), self.attrs.get("ACONTEXT"), text))
+            self.rows.append(("cell", tag, kind, group, groups, title, names, self.table, self.row, self.cell, self.label, self.attrs.get("ACODE"), self.attrs.get("ACONTEXT"), text))
             self.text = []
         elif tag == "title":
             if self.inside:
@@ -90,7 +96,7 @@ class _Events(HTMLParser):
             if text:
                 # a paragraph belongs to its section unless a statement's group holds it, at any depth
                 held = next((k for _, k, _ in self.inside if k.removeprefix("{XBRL}") in CLASSES), kind)
-                self.rows.append(("text", held, group, title, names, -1, len(self.rows), -1, "", None, None, text))
+                self.rows.append(("text", tag, held, group, groups, title, names, -1, len(self.rows), -1, "", None, None, text))
             self.text = []
 
 
@@ -115,11 +121,11 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def named(source_file: Column) -> dict[str, Column]:
-    """Company and year from a name like [company]_[2024년도공시]_x.xml."""
+    """Company and year from a name like [company]_[2024년도공시]_x.xml; with_companies() knows better."""
     name = F.url_decode(F.regexp_replace(F.element_at(F.split(source_file, "/"), -1), r"\+", "%2B"))
     year = F.regexp_extract(name, r"(\d{4})년도공시", 1)
     return {
-        "corp_name": F.nullif(F.regexp_extract(name, r"\[([^\]]+)\]", 1), F.lit("")),
+        "corp_name": F.nullif(F.regexp_extract(name, r"[\[_]([가-힣A-Za-z0-9]+)[\]_]", 1), F.lit("")),
         "fiscal_year": F.nullif(F.when(year != "", year).otherwise(F.regexp_extract(name, r"(20\d{2})", 1)), F.lit("")).cast("int"),
     }
 
@@ -138,20 +144,41 @@ def unit_hint(text: Column) -> Column:
     return out
 
 
+def surroundings(cells: DataFrame) -> DataFrame:
+    """source_file, group_no, unit, dates of each group of tables, from all that stands in it, groups
+    within it included: the first unit that a paragraph prints, else the first that a cell does; its
+    first three paragraphs with a date or a business year, in order."""
+    said = cells.where(F.col("kind").isin("text", "cell")).select("source_file", F.explode("groups").alias("group_no"), "kind", "tag", "table_no", "row_no", "cell_no", "text")
+    is_cell = F.col("kind") == "cell"
+    unit = F.when(~is_cell | F.col("tag").isin(*UNIT_CELLS), unit_hint(F.col("text")))
+    date = F.when(~is_cell & F.col("text").rlike(DATED), F.struct("row_no", "text"))
+    said = said.withColumns({"unit": unit, "date": date}).where("unit is not null or date is not null")
+    dates = F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("date")), 1, 3), lambda d: d["text"]), " | ")
+    first = F.min(F.when(F.col("unit").isNotNull(), F.struct(is_cell, "table_no", "row_no", "cell_no", "unit")))
+    return said.groupBy("source_file", "group_no").agg(first["unit"].alias("unit"), dates.alias("dates"))
+
+
+def with_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """rows with corp_name: the longest known company (alias, name) that the file's name contains;
+    files of none keep theirs. A row a file meets the companies, not a row a cell."""
+    base = F.url_decode(F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\+", "%2B"))
+    files = rows.select("source_file").distinct().withColumn("_name", base)
+    known = longest_in(files, "source_file", F.col("_name"), companies).select("source_file", F.col("name").alias("_known"))
+    return rows.join(known, "source_file", "left").withColumn("corp_name", F.coalesce("_known", "corp_name")).drop("_known")
+
+
 def facts(cells: DataFrame) -> DataFrame:
     """Numeric cells of known statements: coded cells, not first in their row, whose row has a label
     and whose text is a number. fact_id has the file, so filings do not collide."""
     rows = statement_class(cells.where("kind = 'cell'")).where("statement is not null and code is not null and cell_no > 0 and label <> ''")
-    # a group's unit: the first that a paragraph of it prints, else the first that a cell does, else its title's
-    said = cells.where("group_no >= 0").withColumn("unit", unit_hint(F.col("text"))).where("unit is not null")
-    said = said.groupBy("source_file", "group_no").agg(F.min_by("unit", F.struct(F.col("kind") == "cell", "table_no", "row_no", "cell_no")).alias("unit"))
-    rows = rows.join(said, ["source_file", "group_no"], "left")
-    tag = tag_of_context(F.col("context"))
+    near = surroundings(cells)
+    rows = rows.join(near, ["source_file", "group_no"], "left")
+    tag = tag_of_context(F.col("context"), F.col("dates"))
     rows = rows.withColumns(named(F.col("source_file"))).withColumns({"value": parse_value(F.col("text")), "period_tag": tag}).where("value is not null")
     p = parse_period_tag(F.col("period_tag"))
     ident = F.concat_ws("_", "corp_name", F.col("fiscal_year").cast("string"), "xbrl_class", "code", "period_tag", *[F.col(c).cast("string") for c in ("table_no", "row_no", "cell_no")], F.md5(F.col("source_file").cast("binary")))
     return rows.select(
-        ident.alias("fact_id"), "corp_name", "fiscal_year", "source_file", "statement", "report_type", "xbrl_class", F.col("title").alias("statement_title"), F.col("code").alias("account_code"),
+        ident.alias("fact_id"), "corp_name", "fiscal_year", "source_file", "statement", "report_type", "xbrl_class", F.col("title").alias("statement_title"), F.coalesce("dates", F.lit("")).alias("title_dates"), F.col("code").alias("account_code"),
         F.col("label").alias("account_kr"), normalize_account(F.col("label")).alias("account_norm"), "period_tag", p["cp"].alias("period_cp"), p["year"].alias("period_year"), p["type"].alias("period_type"),
         p["scope"].alias("period_scope"), p["variant"].alias("period_variant"), F.coalesce(p["cp"] == "C", F.lit(True)).alias("is_current_period"), "value", F.col("text").alias("value_raw"), F.coalesce("unit", unit_hint(F.col("title"))).alias("unit_hint"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import report_kind
 
 FACTS = (
-    "fact_id string, corp_name string, fiscal_year int, source_file string, statement string, report_type string, xbrl_class string, statement_title string, account_code string, account_kr string, "
+    "fact_id string, corp_name string, fiscal_year int, source_file string, statement string, report_type string, xbrl_class string, statement_title string, title_dates string, account_code string, account_kr string, "
     "account_norm string, period_tag string, period_cp string, period_year int, period_type string, period_scope string, period_variant string, is_current_period boolean, value double, value_raw string, unit_hint string"
 )
 SECTIONS = "corp_name string, fiscal_year int, source_file string, section_path array<string>, section_idx int, text string, char_count int"

@@ -1,4 +1,5 @@
 import pytest
+import pytest
 from pyspark.sql import functions as F
 
 from factlake.functions.periods import fiscal_period
@@ -81,3 +82,32 @@ def test_latest_filings_and_periods(spark):
     cases = [("사업보고서", "2024-03-11", 2023, "FY"), ("반기보고서", "2024-08-14", 2024, "HY"), ("분기보고서", "2024-05-16", 2024, "1Q"), ("분기보고서", "2024-11-14", 2024, "3Q"), ("공시", "2024-02-01", 2024, "?"), ("분기보고서 (2024.09)", "2024-11-14", 2024, "3Q")]
     frame = spark.createDataFrame([(t, d) for t, d, *_ in cases], "t string, d string").select(fiscal_period(F.col("t"), F.to_date("d")).alias("p"))
     assert [(r.p.year, r.p.scope) for r in frame.collect()] == [c[2:] for c in cases]
+
+
+def group(kind, *parts, unit="", rows=""):
+    said = "".join(f"<P>{p}</P>" for p in parts)
+    return f'<TABLE-GROUP ACLASS="{{XBRL}}{kind}"><TITLE>t</TITLE>{said}<TABLE>{unit}<TR><TE>매출액</TE><TE ACODE="r" ACONTEXT="other">7</TE></TR>{rows}</TABLE></TABLE-GROUP>'
+
+
+@pytest.mark.parametrize("parts, cell, want", [
+    (["이번 표는 천원까지 적었다"], "", None), (["(천 원)"], "", "천원"), (["( 백만원 )"], "", "백만원"), (["(억원)"], "", None), (["단위 : 억 원"], "", "억원"), (["단위：원"], "", "원"), (["단위 : 원화"], "", None),
+    (["없음"], "<TR><TH>(단위 : 천원)</TH></TR>", None), (["없음"], "<TR><TU>(단위 : 천원)</TU></TR>", "천원"), (["(단위 : 원) (백만원)", "단위 : 천원"], "", "원"), (["x", "단위 : 천원"], "<TR><TD>단위 : 백만원</TD></TR>", "천원"),
+])
+def test_units_as_printed(spark, tmp_path, parts, cell, want):
+    """Literal expectations: a unit counts with its heading or in brackets, not as a word of a sentence."""
+    (tmp_path / "[Acme]_[2024년도공시]_1.xml").write_text(f"<DOCUMENT>{group('IS_C1', *parts, unit=cell)}</DOCUMENT>")
+    assert [f.unit_hint for f in filings.facts(filings.parsed(spark, f"file://{tmp_path}")).collect()] == [want]
+
+
+def test_periods_from_text_near_a_table(spark, tmp_path):
+    """Cells without a period in their context take it from the first three dated paragraphs of their group."""
+    body = [
+        group("IS_C1", "제 56 기 반기말 2024.06.30 현재", "other"), group("IS_C2", "제 56 기 3분기 2024.09.30"), group("IS_C3", "2024-12-31 기말", "제 55 기", "2022.12.31", "2021.12.31"),
+        group("BS_C", "반기, but no date"), f'<TABLE-GROUP ACLASS="{{XBRL}}CF_C"><TITLE>t</TITLE>{group("ZZ", "제 1 분기 2024.03.31 1분기말")}<TABLE><TR><TE>매출액</TE><TE ACODE="r">7</TE></TR></TABLE></TABLE-GROUP>',
+    ]
+    (tmp_path / "[Acme]_[2024년도공시]_1.xml").write_text(f"<DOCUMENT>{''.join(body)}</DOCUMENT>")
+    got = {f.xbrl_class: (f.period_tag, f.title_dates, f.is_current_period) for f in filings.facts(filings.parsed(spark, f"file://{tmp_path}")).collect()}
+    assert got == {
+        "IS_C1": ("UNK_HY_END", "제 56 기 반기말 2024.06.30 현재", True), "IS_C2": ("UNK_3Q_CUM", "제 56 기 3분기 2024.09.30", True), "IS_C3": ("UNK_FY_END", "2024-12-31 기말 | 제 55 기 | 2022.12.31", True),
+        "BS_C": ("UNKNOWN", "", True), "CF_C": ("UNK_1Q_END", "제 1 분기 2024.03.31 1분기말", True),
+    }

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from factlake.functions import periods, text, values
+from factlake.functions import reports, periods, text, values
 from factlake.operators import chunking, retrieval, routing
 
 
@@ -49,7 +49,9 @@ def test_format_amount(spark, x, want):
     assert one(spark, values.format_amount(F.lit(x).cast("decimal(28,2)"))) == want
 
 
-@pytest.mark.parametrize("label, want", [("Net sales (주30)", "revenue"), ("　매출액 ", "revenue"), ("영업이익(손실)", "operating_profit"), ("기타 (단위: 원)", "기타"), (None, None)])
+@pytest.mark.parametrize("label, want", [("Net sales (주30)", "revenue"), ("　매출액 ", "revenue"), ("영업이익(손실)", "operating_profit"), ("기타 (단위: 원)", "기타"), (None, None),
+    ("매출액 (주25,26,33)", "revenue"), ("기타(주)", "기타(주)"), ("기타(주석3)", "기타(주석3)"), ("기타(주 3)(단위:원)", "기타(주3)"), ("기타(단위:원)(주3)", "기타"), ("기타(단위(a)", "기타"),
+    ("-·기타, ", "기타"), ("(주3)", ""), ("가(나)(주 ,)", "가(나)"), ("주3)", "주3)"), ("a((주3)", "a("), ("(단위:원)b)", "(단위:원)b)")])
 def test_normalize_account(spark, label, want):
     assert one(spark, text.normalize_account(F.lit(label).cast("string"))) == want
 
@@ -58,7 +60,24 @@ def test_numbers_and_status(spark):
     assert one(spark, text.numbers(F.lit("a 1,234 and 12 and 9.55 x 123"))) == ["1234", "9.55"]
     assert one(spark, text.number_match(F.lit("it is 58,414 of 1,234"), F.lit("58414 won"))) is True
     assert one(spark, text.number_match(F.lit("none"), F.lit("58414"))) is None
-    assert [one(spark, text.answer_status(F.lit(a).cast("string"))) for a in (None, " ", "Error: x", "찾을 수 없습니다", "ok")] == ["empty", "empty", "error", "not_found", "answered"]
+    assert [one(spark, text.answer_status(F.lit(a).cast("string"))) for a in (None, "", " ", "Error: x", "답변 생성 중 오류가 발생했습니다", "찾을 수 없습니다", "값을 확인할 수 없", "ok")] == [
+        "empty", "empty", "answered", "answered", "error", "not_found", "not_found", "answered",
+    ]
+
+
+@pytest.mark.parametrize("truth, answer, want", [
+    ("당사는 반도체를 생산합니다 그리고 반도체를 판매하고 있습니다", "반도체를 만든다", 0.25),  # 당사는 반도체를 생산 판매 (그리고, 있습니다 are no keywords)
+    ("매출에서 이익까지", "매출 이익", 1.0), ("합니다", "합니다", None), ("a b c", "x", None), (None, "x", None), ("Net sales", "net SALES", 0.0), ("Net sales", "Netsale", 1.0),
+])
+def test_keyword_coverage(spark, truth, answer, want):
+    """Values worked out by hand from the endings and the words that do not count."""
+    got = one(spark, text.keyword_coverage(F.lit(truth).cast("string"), F.lit(answer)))
+    assert got == want
+
+
+def test_item_ids_do_not_collide(spark):
+    ids = {one(spark, reports.item_id(F.lit("A B"), F.lit(2024), F.lit(None).cast("int"), "t", F.lit(n), F.lit("f"))) for n in (1, 9999, 10_000, 10_001, 99_990)}
+    assert {i[:15] for i in ids} == {"A_B_2024Y_t0001", "A_B_2024Y_t9999", "A_B_2024Y_t1000", "A_B_2024Y_t9999"} and len(ids) == 5
 
 
 def test_markdown(spark):

@@ -1,12 +1,10 @@
 """Queries that SQL cannot express, and streams, against plain versions."""
 
 import random
-from datetime import datetime, timedelta
 
 from factlake.operators import session
 from factlake.operators.chunking import split_text
 from factlake.plans.text_queries import chunk_recursive, sections
-from factlake.streaming.sessions import drain, session_states
 
 
 def plain_complete(turns):
@@ -47,20 +45,3 @@ def test_chunk_recursive(spark, sf):
         want += [(d.doc_id, i, p) for i, p in enumerate(pieces)]
     assert sorted(map(tuple, chunk_recursive(spark, sf).collect())) == sorted(want)
     assert all(len(p) <= 3000 for _, _, p in want)
-
-
-def test_sessions_go_on_over_files(spark, tmp_path):
-    """Three files, read one by one: a session that ends between them gets the next number."""
-    start = datetime(2024, 1, 1)
-    minutes = [0, 10, 50, 55, 60 * 24, 60 * 24 + 5, 60 * 48]
-    for i, part in enumerate((minutes[:3], minutes[3:5], minutes[5:])):
-        rows = [(7, m, start + timedelta(minutes=m), "click") for m in part]
-        spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp, event_type string").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
-    stream = spark.readStream.schema("user_id bigint, event_id bigint, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
-    got = {r.event_id: (r.session_no, r.turn_no, r.expired) for r in drain(session_states(stream), f"file://{tmp_path}").collect()}
-    want, number, turn, last = {}, 0, 0, None
-    for m in minutes:
-        expired = last is not None and m - last > 30
-        number, turn = (number + 1, 1) if last is None or expired else (number, turn + 1)
-        want[m], last = (number, turn, expired), m
-    assert got == want
