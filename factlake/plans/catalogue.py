@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, reporting, text_queries
+from . import analytics, jobs, reporting, text_queries
 
-QUERIES: dict = {**analytics.QUERIES, **text_queries.QUERIES, **reporting.QUERIES}
-ORACLES: dict = {**analytics.ORACLES, **text_queries.ORACLES, **reporting.ORACLES}
+QUERIES: dict = {**analytics.QUERIES, **text_queries.QUERIES, **reporting.QUERIES, **jobs.QUERIES}
+ORACLES: dict = {**analytics.ORACLES, **text_queries.ORACLES, **reporting.ORACLES, **jobs.ORACLES}
