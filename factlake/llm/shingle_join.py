@@ -17,8 +17,9 @@ multiplied, slab of columns by slab, with overlap counts accumulated and tested
 4. Product. A group of at most BLOCK classes is one block (a class with a long set counts as
    several, so a block is bounded by its shingles). A larger one is cut by size and by hash, blocks
    are multiplied, and their links merged; classes that then are outside the group's largest
-   component are multiplied with all of the group, block by block, where sizes allow links. So no
-   link is lost, and no group emits its pairs: a block returns a spanning forest of its links.
+   component are multiplied with one another and with it, block by block, where sizes and the
+   number of frequent shingles allow links, and those that share rare ones are compared as such.
+   So no link is lost, and no group emits its pairs: a block returns a spanning forest of its links.
 
 Defined results: a null or empty text, or one without words, has no shingles and links with
 nothing. A text under five words is one shingle. Rows that share a doc_id are judged row by row,
@@ -279,38 +280,65 @@ def link_classes(sets: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
         pairs = pairs.join(known.select(*[F.col(c).alias(f"{c}_{i}") for c in known.columns]), f"key_{i}")
     enough = F.col("both") + F.least("often_a", "often_b") >= F.greatest(F.lit(1), F.floor(F.least("n_a", "n_b") / 20))
     possible = 9 * (F.col("both") + F.least("uncounted_a", "uncounted_b")) >= 4 * (F.col("n_a") + F.col("n_b"))
-    pairs = pairs.where(enough & (~F.col("whole_a") | ~F.col("whole_b") | possible)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    pairs = stored(pairs.where(enough & (~F.col("whole_a") | ~F.col("whole_b") | possible)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")), "pairs")
 
-    weighed = known.select("key", "n", F.ceil(F.col("n") / UNIT).alias("w"))
+    # often: the most that two classes can share besides what `pairs` has counted; null if that is not known
+    often = F.when(F.col("whole"), F.col("uncounted")).alias("often")
+    weighed = known.select("key", "n", F.ceil(F.col("n") / UNIT).alias("w"), often)
     groups = components(star.union(pairs), "a", "b").select(F.col("node").alias("key"), "root").join(weighed, "key")
     groups = stored(groups, "groups")
     size = groups.groupBy("root").agg(F.sum("w").alias("size"))
     groups = stored(groups.join(size, "root"), "sized")
-    large = stored(_cut_by_size(groups.where(F.col("size") > BLOCK), "slot"), "cut-by-size")
     parts = groups.where(F.col("size") <= BLOCK).select("root", F.lit(0).alias("salt"), F.lit(0).alias("slot"), "key")
+    large = groups.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return components(stored(_multiply(stored(parts, "cut"), sets, "root", "salt", "slot"), "links"), "a", "b")
+    large = stored(_cut_by_size(large, "slot"), "cut-by-size")
     parts = parts.unionByName(large.select("root", F.lit(0).alias("salt"), "slot", "key"))
     by_hash = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)).cast("int")
     parts = parts.unionByName(large.select("root", F.lit(1).alias("salt"), by_hash.alias("slot"), "key"))
     first = stored(_multiply(stored(parts, "cut"), sets, "root", "salt", "slot"), "links")
     linked = components(first, "a", "b")
 
-    large = large.join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
+    large = large.drop("slot").join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
     large = stored(large.withColumn("part", F.coalesce("part", "key")), "large")
     held = large.groupBy("root", "part").agg(F.count("*").alias("in_part"))
     main = held.groupBy("root").agg(F.max_by("part", F.struct("in_part", "part")).alias("main"))
-    rest = large.join(main, "root").where("part <> main").select("root", "key", "n", "w")
-    if rest.isEmpty():
+    large = stored(large.join(main, "root").withColumn("rest", F.col("part") != F.col("main")), "parted")
+    if large.where("rest").isEmpty():
         return linked
-    rest = stored(_cut_by_size(rest, "i"), "rest")
-    # blocks of the rest against blocks of all, both by size, where sizes allow a link
-    spans = lambda rows, slot, of: rows.groupBy("root", F.col(slot).alias(of)).agg(F.min("n").alias(f"{of}_from"), F.max("n").alias(f"{of}_to"))
-    fits = (5 * F.col("j_to") >= 4 * F.col("i_from")) & (5 * F.col("i_to") >= 4 * F.col("j_from"))
-    meet = stored(spans(rest, "i", "i").join(spans(large, "slot", "j"), "root").where(fits).select("root", "i", "j"), "meet")
-    rows = rest.join(meet, ["root", "i"]).select("root", "i", "j", "key").union(
-        large.select("root", F.col("slot").alias("j"), "key").join(meet, ["root", "j"]).select("root", "i", "j", "key")
-    )
-    more = _multiply(stored(rows.distinct(), "rows"), sets, "root", "i", "j")
-    return components(first.union(stored(more, "links")), "a", "b")
+    more = stored(_multiply(stored(_across(large), "rows"), sets, "root", "i", "j"), "links")
+    # pairs that share rare shingles may link by these: they are compared as such, by one of their classes
+    part = large.select("key", "part")
+    apart = pairs.join(part.toDF("a", "part_a"), "a").join(part.toDF("b", "part_b"), "b").where("part_a <> part_b").select("a", "b")
+    many = apart.groupBy("a").agg(F.count("*").alias("c"))
+    apart = stored(apart.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK)).alias("salt")), "apart")
+    rows = apart.select("a", "salt", F.col("b").alias("key")).union(apart.select("a", "salt", F.col("a").alias("key")).distinct())
+    rest = stored(_multiply(stored(rows, "rows"), sets, "a", "salt"), "links")
+    return components(first.union(more).union(rest), "a", "b")
+
+
+def _across(large: DataFrame) -> DataFrame:
+    """root, i, j, key: the blocks in which classes outside a group's main component meet one another, each
+    two blocks once, and those of the main one. Blocks are cut by size; blocks whose sizes, or whose frequent
+    shingles, allow no link are not paired."""
+    outside = stored(_cut_by_size(large.where("rest").select("root", "key", "n", "w", "often"), "i"), "outside")
+    inside = stored(_cut_by_size(large.where("not rest").select("root", "key", "n", "w", "often"), "j"), "inside")
+
+    def spans(rows: DataFrame, slot: str, of: str) -> DataFrame:
+        known = F.when(F.count("often") == F.count("*"), F.max("often"))  # null: some may share more
+        return rows.groupBy("root", F.col(slot).alias(of)).agg(F.min("n").alias(f"{of}_from"), F.max("n").alias(f"{of}_to"), known.alias(f"{of}_often"))
+
+    sized = (5 * F.col("j_to") >= 4 * F.col("i_from")) & (5 * F.col("i_to") >= 4 * F.col("j_from"))
+    shared = F.when(F.col("i_often").isNotNull() & F.col("j_often").isNotNull(), F.least("i_often", "j_often"))
+    fits = sized & F.coalesce(9 * shared >= 4 * (F.col("i_from") + F.col("j_from")), F.lit(True))
+    both = spans(outside, "i", "i").join(spans(outside, "i", "j"), "root").where(fits & (F.col("i") <= F.col("j")))
+    meet = both.select("root", "i", "j").union(spans(outside, "i", "i").join(spans(inside, "j", "j"), "root").where(fits).select("root", "i", (-1 - F.col("j")).alias("j")))
+    meet = stored(meet, "meet")
+    rows = outside.join(meet, ["root", "i"]).select("root", "i", "j", "key")
+    rows = rows.union(outside.withColumnRenamed("i", "j").join(meet, ["root", "j"]).select("root", "i", "j", "key"))
+    rows = rows.union(inside.withColumn("j", -1 - F.col("j")).join(meet, ["root", "j"]).select("root", "i", "j", "key"))
+    return rows.distinct()
 
 
 def _doc() -> Column:

@@ -115,3 +115,24 @@ def test_empty_and_long(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     got = S.near_duplicates(spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_templates_of_many_documents(spark, monkeypatch):
+    """Documents of one template with own endings form one large group. Few link: some by endings that two or
+    three share, some because they are short, so that the template alone is enough; all of these are found."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(164)]
+    texts = []
+    for i in range(150):
+        own = [f"o{i}x{k}" for k in range(rng.choice([31, 31, 31, 33, 36, 40, 12, 60]))]
+        texts.append(base + own)
+        if i % 5 == 0:
+            texts.append(base + own[: rng.randint(8, 31)] + [f"q{i}x{k}" for k in range(rng.randint(0, 20))])
+        if i % 7 == 0:
+            texts.append(base[: rng.randint(120, 160)] + own)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+    assert 20 < len({r.component_id for r in got}) < len(rows) - 20
