@@ -101,6 +101,15 @@ def eval_fact_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fact_accuracy(_scored(spark, sf_dir))
 
 
+def eval_document_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two readings of every document, without its first line and of its first line only, scored by the
+    document's main number, by language."""
+    below, head = F.regexp_replace("text", r"^[^\n]*\n?", ""), F.substring_index("text", "\n", 1)
+    readings = F.explode(F.array(*[F.struct(F.lit(n).alias("system"), c.alias("answer")) for n, c in (("below", below), ("head", head))]))
+    rows = read(spark, sf_dir, "documents").select("text", F.col("lang").alias("category"), readings.alias("r"))
+    return evaluate.fact_accuracy(rows.select("r.system", "category", text.number_match(F.col("text"), F.col("r.answer")).alias("number_ok")))
+
+
 def eval_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.distribution(_scored(spark, sf_dir), "intent", "confidence", "status")
 
@@ -162,6 +171,7 @@ QUERIES = {
     "eval_summary": eval_summary,
     "eval_summary_json": eval_summary_json,
     "eval_fact_accuracy": eval_fact_accuracy,
+    "eval_document_accuracy": eval_document_accuracy,
     "eval_distribution": eval_distribution,
     "eval_side_by_side": eval_side_by_side,
     "company_alias": company_alias,
@@ -217,6 +227,11 @@ ORACLES = {
     "eval_summary_json": _SCORED_SQL + """ SELECT system, '{"total":' || count(*) || ',"fact_lookup_n":' || (count(*) FILTER (intent = 'fact_lookup')) || ',"narrative_n":' || (count(*) FILTER (intent = 'narrative')) || '}' AS summary FROM e GROUP BY system""",
     "eval_fact_accuracy": _SCORED_SQL + """ SELECT system, CASE WHEN grouping(category) = 1 THEN 'total' ELSE category END AS category, count(*) AS n, sum(ok::INTEGER)::BIGINT AS correct,
       ((sum(ok::INTEGER) * 200 + count(*)) // (2 * count(*)))::BIGINT AS pct FROM e WHERE ok IS NOT NULL GROUP BY GROUPING SETS ((system, category), (system))""",
+    "eval_document_accuracy": f"""WITH d AS (SELECT text, lang, {_main_sql("text")} AS number FROM documents),
+      r AS (SELECT 'below' AS system, lang AS category, number, regexp_replace(text, '^[^\\n]*\\n?', '') AS answer FROM d UNION ALL SELECT 'head', lang, number, string_split(text, chr(10))[1] FROM d),
+      e AS (SELECT system, category, list_contains({_numbers_sql("answer")}, number) AS ok FROM r WHERE number IS NOT NULL)
+      SELECT system, CASE WHEN grouping(category) = 1 THEN 'total' ELSE category END AS category, count(*) AS n, sum(ok::INTEGER)::BIGINT AS correct, ((sum(ok::INTEGER) * 200 + count(*)) // (2 * count(*)))::BIGINT AS pct
+      FROM e GROUP BY GROUPING SETS ((system, category), (system))""",
     "eval_distribution": _SCORED_SQL + """ SELECT field, value, count(*) AS n FROM (SELECT 'intent' AS field, intent AS value FROM e UNION ALL SELECT 'confidence', confidence FROM e UNION ALL SELECT 'status', status FROM e) GROUP BY ALL""",
     "eval_side_by_side": _SCORED_SQL + """ SELECT id, category, max(status) FILTER (system = 'reply') AS reply, max(status) FILTER (system = 'later') AS later FROM e GROUP BY ALL""",
     "company_alias": f"""WITH a(alias, s) AS (VALUES {_ALIASES_SQL}), c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Nation No. ' WHEN 1 THEN 'NATION NO. ' ELSE 'N' END || c_nationkey AS n FROM customer)
