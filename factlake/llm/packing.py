@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import job, small_batches, stored, table
 
 LENGTH, END = 4096, 2
 #: Bytes of text that are turned into words at once, words remembered by a task, and of these the
 #: ones kept when there are more and when the task ends: the first met, so the common ones.
-SLICE, REMEMBERED, KEPT = 1 << 20, 500_000, 250_000
+SLICE, REMEMBERED, KEPT = 1 << 20, 200_000, 100_000
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes by kind: signs of ASCII but for the apostrophe, letters of ASCII, second bytes of letters to U+00FF.
 _SIGN, _LETTER, _SECOND = (np.isin(np.arange(256), list(x)) for x in (b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", {*range(128, 192)} - {0x97, 0xB7}))
@@ -232,6 +232,12 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))
 
 
+@job
+def packed_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """What described() tells of pack(); the ids themselves are deleted when it is written."""
+    return described(pack(docs, tokenizer))
+
+
 def described(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -241,4 +247,4 @@ def op2_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return described(pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer))
+    return packed_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer)
