@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, job, scratch, small, stored, table
 
-#: Compressed bytes of a file, and least payload that is not written twice.
-FILE_BYTES, REVISIT_BYTES = 64 << 20, 1000
+#: Compressed bytes of a file, least payload that is not written twice, and bytes that a reader holds, about.
+FILE_BYTES, REVISIT_BYTES, HELD = 16 << 20, 1000, 4 << 20
 #: Payload bytes of a shard: a share of the table within these bounds; pairs that tell where one ends.
 SHARDS, LEAST_BYTES, MOST_BYTES, PER_SHARD = 64, 4 << 20, 256 << 20, 32
 DATE = "1970-01-01T00:00:00Z"
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
             yield batch
 
     schema = "shard int, page bigint, digest binary, kind int, url string, payload binary, top bigint"
-    sharded = both.mapInPandas(shard, schema).repartition(len(starts.value) + 1, "shard")
+    sharded = both.mapInPandas(shard, schema).repartitionById(len(starts.value) + 1, "shard")  # a task for each shard
     ordered = sharded.sortWithinPartitions("shard", "page", "digest", "kind", "url", "payload")
     return ordered.mapInPandas(_writer(folder, file_bytes), "file string, shard int, records int, bytes bigint, sha256 string")
 
@@ -201,12 +201,12 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-def _reader(folder: str):
+def _reader(folder: str, payloads: bool):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, path = _store(folder)
         for batch in batches:
             for name in batch["file"]:
-                rows = []
+                rows, held = [], 0
                 with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for h, block in _records(stream):
                         if hashlib.sha1(block).digest() != base64.b32decode(h["WARC-Block-Digest"][5:]):
@@ -216,10 +216,12 @@ def _reader(folder: str):
                         size = int(h["X-Payload-Length"])
                         if payload is not None and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                             raise ValueError(f"{name}: a payload has another digest")
+                        payload = payload if payloads else None
+                        held += len(payload or b"") + 1000
                         rows.append((h["X-Page-ID"], h["WARC-Target-URI"], payload, size, digest, h["WARC-Type"], h.get("X-Refers-To-Page")))
-                        if len(rows) == 500:
+                        if held >= HELD:
                             yield pd.DataFrame(rows, columns=_COLUMNS)
-                            rows = []
+                            rows, held = [], 0
                 yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return read
@@ -228,13 +230,14 @@ def _reader(folder: str):
 _COLUMNS = ["page", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers"]
 
 
-def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """The records of the manifest's files; digests and lengths are verified. A revisit has no payload."""
+def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of the manifest's files; digests and lengths are verified. A revisit has no payload, nor has
+    any record if they are not asked for."""
     count, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
     tasks = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // FILE_BYTES)
     files = manifest.select("file").repartition(max(1, min(count, tasks)))
     schema = "page string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers string"
-    rows = files.mapInPandas(_reader(folder), schema)
+    rows = files.mapInPandas(_reader(folder, payloads), schema)
     number = lambda c: F.when(F.col(c) != "", F.col(c).cast("bigint"))
     return rows.select(number("page").alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"))
 
@@ -242,7 +245,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder)
-    read = read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_archives(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     out = stored(read, "records")
     discard(spark, folder)
     return out
