@@ -32,8 +32,8 @@ from .graph import components
 THRESHOLD = 0.9
 #: Classes in a tile; the leading share of axes; slack for rounding in float32; axes of a box.
 TILE, LEADING, SLACK, BOX = 1024, 0.375, 1e-5, 8
-#: Blocks to cut a table into, as long as they hold so many classes at least and at most.
-BLOCKS, LEAST, BLOCK = 16, 1024, 65_536
+#: Blocks to cut a table into, as long as they hold so many classes at least and at most, and bytes at most.
+BLOCKS, LEAST, BLOCK, BLOCK_BYTES = 16, 1024, 65_536, 32 << 20
 _LOWEST = -(2**63)
 
 
@@ -192,7 +192,7 @@ def _blocks(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     spark, doubles = classes.sparkSession, "".join(f", {c} double" for c in sides)
     turned = stored(classes.select("key", "copies", "unit").mapInPandas(rotate, "key bigint, copies bigint, unit binary" + doubles), "turned")
     total = turned.count()
-    block = min(BLOCK, max(LEAST, math.ceil(total / BLOCKS)))
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * dim), max(LEAST, math.ceil(total / BLOCKS))))
     cuts, splits = _cells(turned.select(*sides), math.ceil(total / block))
 
     def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
