@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import job, small, stored, table
 
 FOLDS, HELD_OUT = 7, 2
-LIMIT, KNOWN = 400_000, 200_000
+LIMIT, KNOWN, LONGEST = 400_000, 200_000, 256
 VOCABULARY, CLASS, BUCKETS, HIDDEN = 2048, 64, 32, 16
 EPOCHS, LANES, WINDOW, RATE, SEED = 1, 128, 32, 0.008, 5
 #: Rounds of an epoch; tokens of a share, and those held at once; models that a task averages.
@@ -412,8 +412,8 @@ def in_order(training: DataFrame) -> DataFrame:
     return dealt.join(held, "part").select("tokens", (F.col("at") + F.col("shift")).alias("place"))
 
 
-def trained(model: Model, training: DataFrame, n: int) -> tuple[Model, int]:
-    """The model after EPOCHS over all rows of training (doc, row, tokens) of n tokens in all, and the
+def trained(model: Model, training: DataFrame, n: int, epochs: int = EPOCHS) -> tuple[Model, int]:
+    """The model after `epochs` over all rows of training (doc, row, tokens) of n tokens in all, and the
     tokens it was trained on."""
     shares = max(1, n // SHARE)
     start, raw, used = model.save(), model.flat(model.still(), 0), 0
@@ -430,7 +430,7 @@ def trained(model: Model, training: DataFrame, n: int) -> tuple[Model, int]:
                 tokens += sum(map(len, block))
             yield pd.DataFrame({"share": [share], "n": [tokens], "flat": [model.flat(moving, steps)]})
 
-    for i in range(EPOCHS * ROUNDS):
+    for i in range(epochs * ROUNDS):
         of_round = dealt.where(F.pmod(F.floor(F.col("place") / shares), F.lit(ROUNDS)) == i % ROUNDS)
         rows = of_round.repartitionByRange(shares, "share").sortWithinPartitions("share", "place").mapInPandas(learn, "share bigint, n bigint, flat binary")
         left = shares
@@ -451,7 +451,7 @@ def held_out() -> F.Column:
 
 
 @job
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs
     (doc_id, text)."""
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
@@ -460,7 +460,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = stored(part.groupBy("hash").agg(F.sum("c").alias("c"), F.max("bucket").alias("bucket")), "counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     best = small(stored(counts.orderBy(F.desc("c"), "hash").limit(KNOWN), "best"))
-    named = part.join(best, "hash").groupBy("hash").agg(F.min("word").alias("word"), F.first(best["c"]).alias("total"), F.first(best["bucket"]).alias("b"))
+    # a word of more than LONGEST bytes is looked up as rare words are, so that what goes to the driver is bounded
+    named = part.where(F.octet_length("word") <= LONGEST).join(best, "hash").groupBy("hash").agg(F.min("word").alias("word"), F.first(best["c"]).alias("total"), F.first(best["bucket"]).alias("b"))
     top = sorted(named.select("word", F.col("total").alias("c"), F.col("b").alias("bucket")).collect(), key=lambda r: (-r.c, bytes(r.word)))  # at most KNOWN rows
     lexicon = Lexicon([bytes(r.word) for r in top], np.array([r.c for r in top], np.int64), n, v, VOCABULARY)
     own = np.array([r.c for r in top[: lexicon.own]], np.float64)
@@ -485,7 +486,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         look_up, "doc string, held_out boolean, row bigint, tokens binary, known bigint, base double, rest binary"
     )
     looked_up = stored(looked_up, "tokens")
-    raw = trained(model, looked_up.where("not held_out").select("doc", "row", "tokens"), n)[0].save()
+    raw = trained(model, looked_up.where("not held_out").select("doc", "row", "tokens"), n, epochs)[0].save()
     shares = np.log10(mass / (n + v + 1))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
