@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factlake.llm import line_dedup, mixing, packing, quality, shingle_join
-from factlake.llm.common import release, stored, table
+from factlake.llm.common import job, release, table
 
 #: Epochs that the mixing stage may take of a source; every source is taken once at least.
 REPEATS = 2.0
@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.described(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for _, stage in STAGES:
+
+        @job
+        def staged(rows: DataFrame, stage=stage) -> DataFrame:
+            return stage(spark, rows, sf_dir)
+
+        # a stage's result is written, what it wrote on the way is deleted, and then what it read
+        before, docs = docs, staged(docs)
         release(before)  # of the stages' tables; documents are not ours
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
