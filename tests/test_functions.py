@@ -127,3 +127,11 @@ def test_fact_accuracy(spark):
     want = [("a", "total", 4, 2, 50), ("a", "x", 3, 1, 33), ("a", "y", 1, 1, 100), ("b", "total", 8, 1, 13), ("b", "x", 8, 1, 13)]
     assert sorted(tuple(r) for r in fact_accuracy(scored).collect()) == want
     assert fact_accuracy(scored.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("title, quarter, end", [
+    ("제 3 분기 2024.09.30", 3, "2024-09-30"), ("2Q 3분기", 3, None), ("q4 실적 (2024-1-5)", 4, "2024-01-05"), ("반기 2024.06.30, 2024년 6 월 3일", 2, "2024-06-03"), ("사업보고서", None, None), (None, None, None), ("5Q", None, None),
+])
+def test_quarters_and_dates_of_titles(spark, title, quarter, end):
+    t = F.lit(title).cast("string")
+    assert (one(spark, reports.quarter(t)), one(spark, reports.period_end(t))) == (quarter, end)
