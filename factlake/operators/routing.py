@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import few_or_merged, written
 from .aliases import longest_in
 
 # Keywords of intents.
@@ -50,12 +51,13 @@ def longest_contained(rows: DataFrame, key: str, text: Column, names: list[tuple
 def longest_alias(rows: DataFrame, key: str, text: Column, aliases: DataFrame) -> DataFrame:
     """key and name: the longest alias (alias, name) that stands in the text as whole words, for
     alias tables of any size: the text's words meet the aliases' first words in an equality join,
-    and only those few are tested against the text."""
+    and only those few are tested against the text. Aliases are broadcast if their rows, counted, are
+    few; the words of the texts never are, though Spark takes them for as few as the texts."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""))
     tokens = rows.select(key, F.lower(text).alias("_t"), F.explode(words).alias("_w"))
     first = aliases.select(F.lower("alias").alias("alias"), "name", F.split_part(F.lower(F.col("alias")), F.lit(" "), F.lit(1)).alias("_w"))
     whole = lambda t: F.concat(F.lit(" "), F.regexp_replace(t, r"\W+", " "), F.lit(" "))
-    hits = tokens.join(first, "_w").where(whole(F.col("_t")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
+    hits = tokens.join(few_or_merged(written(first, "first-words")), "_w").where(whole(F.col("_t")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
     order = Window.partitionBy(key).orderBy(F.desc(F.length("alias")), "alias", "name")
     return hits.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select(key, "alias", "name")
 
