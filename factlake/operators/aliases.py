@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import SMALL_ROWS, written
 
-#: Code points of a gram; shorter aliases are grams themselves. Code points of a segment at least.
-GRAM, SEGMENT = 4, 128
+#: Code points of a gram: the most that an alias has, so that a gram of long aliases is rare in texts; shorter
+#: aliases are grams themselves. Code points of a segment at least.
+GRAMS, SEGMENT = (8, 5), 128
 
 
 def _grams(text: Column, size: Column | int) -> Column:
@@ -26,10 +27,10 @@ def index(aliases: DataFrame) -> DataFrame:
     """gram, alias, name: each distinct alias (alias, name) once, under its rarest gram; null and empty ones
     are left out. Written once."""
     rows = aliases.select("alias", "name").where("alias <> ''").distinct()
-    size = F.least(F.length("alias"), F.lit(GRAM))
+    size = F.coalesce(*[F.when(F.length("alias") >= n, n) for n in GRAMS], F.length("alias"))
     filed = rows.select("alias", "name", F.explode(F.array_distinct(_grams(F.col("alias"), size))).alias("gram"))
     common = filed.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = filed.join(common, "gram").groupBy("alias", "name").agg(F.min(F.struct("n", "gram")).alias("g"))
+    rarest = filed.hint("merge").join(common, "gram").groupBy("alias", "name").agg(F.min(F.struct("n", "gram")).alias("g"))
     return written(rarest.select(F.col("g.gram").alias("gram"), "alias", "name"), "aliases")
 
 
@@ -50,15 +51,16 @@ def contained(rows: DataFrame, key: str, text: Column, aliases: DataFrame, most:
     without their texts, and what they find meets the segments again.
     """
     filed = index(aliases)
-    n, longest, sizes = filed.agg(F.count("*"), F.max(F.length("alias")), F.collect_set(F.length("gram"))).first()  # GRAM sizes at most
+    n, longest, sizes = filed.agg(F.count("*"), F.max(F.length("alias")), F.collect_set(F.length("gram"))).first()  # sizes up to the largest of GRAMS
     pieces = _segments(rows, key, text, longest or 1)
     all_grams = F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[_grams(F.col("segment"), int(s)) for s in sorted(sizes)])))
     holds = F.col("segment").contains(F.col("alias"))
     if n <= most:
         found = pieces.select(key, "segment", all_grams.alias("gram")).join(F.broadcast(filed), "gram").where(holds)
     else:
-        met = pieces.select(key, "place", all_grams.alias("gram")).join(filed, "gram").select(key, "place", "alias", "name")
-        found = met.join(pieces, [key, "place"]).where(holds)
+        # Spark takes exploded rows for as few as there were before, so it is told not to broadcast them
+        met = pieces.select(key, "place", all_grams.alias("gram")).hint("merge").join(filed, "gram").select(key, "place", "alias", "name")
+        found = met.hint("merge").join(pieces, [key, "place"]).where(holds)
     return found.select(key, "alias", "name").distinct()
 
 
