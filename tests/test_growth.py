@@ -5,7 +5,8 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from factlake.operators import aliases, routing
+from factlake.operators import aliases, retrieval, routing
+from factlake.plans import text_queries
 
 
 def plan(df):
@@ -34,3 +35,21 @@ def test_grams_of_texts_are_not_broadcast(spark, tmp_path):
     found = aliases.longest_in(texts, "k", F.col("t"), names, most=0)
     assert "BroadcastHashJoin" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(i, "largering", "b") for i in range(50)]
+
+
+def test_hits_stay_where_their_documents_are(spark, tmp_path):
+    docs = files(spark, tmp_path, [(i, f"the word w{i % 7}", "en") for i in range(60)], "doc_id long, text string, lang string", "docs")
+    asked = spark.createDataFrame([(1, "the w3", "en"), (2, "w5 word", "en")], "qid long, text string, lang string")
+    for group in (None, "lang"):
+        shuffles = [x for x in plan(retrieval.bm25(docs, asked, group)).splitlines() if "hashpartitioning(" in x]
+        assert len(shuffles) == 1 and "hashpartitioning(doc_id" in shuffles[0]
+
+
+def test_candidates_meet_texts_that_stay(spark, sf):
+    """Texts are not shuffled to the few rows to rerank, whatever Spark takes these for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = [x for x in plan(text_queries.rerank_overlap(spark, sf)).splitlines() if "hashpartitioning(doc_id" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not shuffled
