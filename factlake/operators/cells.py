@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from ..sources.shared import written
 #: Centres at most, which tasks hold; centres for the root of the number of vectors; queries that are looked
 #: up at once; slack for rounding.
 CENTRES, SHARE, QUERIES, SLACK = 4096, 4, 4096, 1e-6
+#: Cosines that a task works out at once.
+PRODUCTS = 1 << 20
 
 
 def units(rows: DataFrame, key: str, group: str | None) -> DataFrame:
@@ -84,33 +87,42 @@ def _bounds(queries: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     return queries.join(F.broadcast(cells), "g").select(key, "g", "cell", "n", same.alias("bound")).where("bound is not null")
 
 
-def _look(members: DataFrame, key: str, of: list, k: int) -> DataFrame:
+def _look(members: DataFrame, key: str, of: pa.Table, k: int) -> DataFrame:
     """qid, key, score: of each query the k best members of each batch of the cells that it looks into.
     of: (qid, g, cells, v), QUERIES at most, which go to the tasks."""
-    at: dict[tuple[str, int], list[int]] = {}
-    for i, q in enumerate(of):
-        for c in q.cells:
-            at.setdefault((q.g, c), []).append(i)
-    names, points = [q.qid for q in of], [np.array(q.v, np.float64) for q in of]
+    names, groups, points, cells = (of[c].to_pylist() if c in ("qid", "g") else [x.values.to_numpy() for x in of[c]] for c in ("qid", "g", "v", "cells"))
+    at: dict[tuple[str, int], np.ndarray] = {}  # four bytes a query and cell
+    for g in set(groups):
+        mine = [i for i, h in enumerate(groups) if h == g]
+        cell, who = np.concatenate([cells[i] for i in mine]), np.repeat(np.array(mine, np.int32), [len(cells[i]) for i in mine])
+        order = np.argsort(cell, kind="stable")
+        of_cell, starts = np.unique(cell[order], return_index=True)
+        at |= {(g, int(c)): asking for c, asking in zip(of_cell, np.split(who[order], starts[1:]), strict=True)}
     kind = members.schema[key].dataType.simpleString()
 
+    def best(ids: np.ndarray, score: np.ndarray, these: np.ndarray) -> pd.DataFrame:
+        """Of each query the k best and itself, and what equals the last of these but for rounding."""
+        if len(ids) > k + 1:
+            least = np.partition(score, -(k + 1), axis=0)[-(k + 1)] - SLACK
+            row, column = np.nonzero(score >= least)
+        else:
+            row, column = (x.ravel() for x in np.indices(score.shape))
+        return pd.DataFrame({"i": these[column], key: ids[row], "score": score[row, column]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for (g, c), rows in batch.groupby(["g", "cell"], sort=False):
-                asking = at.get((g, int(c)), [])
+                asking = at.get((g, int(c)), ())
                 for length in {len(points[i]) for i in asking}:
-                    mine, these = _by_length(rows, length), [i for i in asking if len(points[i]) == length]
-                    if not len(mine):
+                    mine = _by_length(rows, length)
+                    these = np.array([i for i in asking if len(points[i]) == length])
+                    vectors, ids = _matrix(mine["v"]), mine[key].to_numpy()
+                    if not len(ids):
                         continue
-                    score = _matrix(mine["v"]) @ np.stack([points[i] for i in these]).T
-                    ids = mine[key].to_numpy()
-                    for j, i in enumerate(these):
-                        s = score[:, j]
-                        least = np.partition(s, -(k + 1))[-(k + 1)] - SLACK if len(s) > k + 1 else -2  # itself may be among them
-                        best = np.flatnonzero(s >= least)
-                        out.append(pd.DataFrame({"i": i, key: ids[best], "score": s[best]}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], key: [], "score": []})
+                    step = max(1, PRODUCTS // len(ids))  # so many queries at once that their products are few
+                    for j in range(0, len(these), step):
+                        some = these[j : j + step]
+                        yield best(ids, vectors @ np.stack([points[i] for i in some]).T, some)
 
     found = members.where(F.array_contains(F.array(*[F.lit(c) for c in sorted({c for _, c in at})]), F.col("cell"))) if at else members.limit(0)
     rows = found.select(key, "g", "cell", "v").mapInPandas(run, f"i int, {key} {kind}, score double")
@@ -159,6 +171,6 @@ def _best(rows: DataFrame, key: str, k: int) -> DataFrame:
 def _phase(members: DataFrame, cells: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """The k best of each query from its cells; written, as the next phase reads it twice."""
     lists = cells.groupBy(F.col(key).alias("_k")).agg(F.collect_list("cell").alias("cells"))  # CENTRES at most
-    of = queries.join(lists, F.col(key).eqNullSafe(F.col("_k"))).select(F.col(key).alias("qid"), "g", "cells", "v").collect()  # QUERIES at most
+    of = queries.join(lists, F.col(key).eqNullSafe(F.col("_k"))).select(F.col(key).alias("qid"), "g", "cells", "v").toArrow()  # QUERIES at most
     found = _look(members, key, of, k).withColumn("score", F.round("score", 6))
     return written(_best(found, key, k), "nearest")

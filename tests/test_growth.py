@@ -5,9 +5,11 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from factlake.operators import aliases, retrieval, routing
+from factlake.operators import aliases, cells, retrieval, routing
 from factlake.plans import text_queries
 
+from .test_pruning import brute
+
 
 def plan(df):
     out = io.StringIO()
@@ -53,3 +55,15 @@ def test_candidates_meet_texts_that_stay(spark, sf):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not shuffled
+
+
+def test_vector_products_are_few_at_once(spark, monkeypatch):
+    """Parts of a cell's queries give what all of them at once give."""
+    monkeypatch.setattr(cells, "PRODUCTS", cells.PRODUCTS >> 14)
+    rows = [(i, [float(i % 7 + 1), float(i % 11), 1.0], "a") for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    best, _ = cells.search(cells.build(frame, centres=2), frame, 3)
+    got = {}
+    for r in best.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.vec_id)
+    assert got == brute(rows, rows, 3, None)
