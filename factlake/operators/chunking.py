@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +42,12 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
 
 
 def recursive_chunks(sections: DataFrame, key: str, size: int = 3000, overlap: int = 300) -> DataFrame:
-    """key, chunk_idx, chunk. Short sections are one chunk and never leave the JVM."""
+    """key, chunk_idx, chunk. Short sections are one chunk and never leave the JVM; long ones go to Python
+    a hundred at a time, as a plain function of a row does, not by batches of ten thousand."""
     short = sections.where(F.length("text") <= size).select(key, F.lit(0).alias("chunk_idx"), F.col("text").alias("chunk"))
-    kind = sections.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, c) for k, t in zip(batch[key], batch["text"], strict=True) for i, c in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "chunk_idx", "chunk"])
-
-    long = sections.where(F.length("text") > size).select(key, "text")
-    return short.unionByName(long.mapInPandas(run, f"{key} {kind}, chunk_idx int, chunk string"))
+    pieces = F.udf(lambda t: split_text(t, size, overlap), "array<string>", useArrow=False)
+    long = sections.where(F.length("text") > size).select(key, F.posexplode(pieces("text")).alias("chunk_idx", "chunk"))
+    return short.unionByName(long)
 
 
 def stride_chunks(sections: DataFrame, key: str, size: int, overlap: int) -> DataFrame:
