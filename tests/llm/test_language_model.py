@@ -141,3 +141,45 @@ def test_partitions_and_order_change_nothing(spark, monkeypatch):
             assert base == pytest.approx(base2, rel=1e-9)
             assert abs(score - score2) / n < 1e-4
     assert scores[0][0][3] != scores[0][0][2]
+
+
+def test_long_texts_do_not_cost_a_softmax_a_window(monkeypatch):
+    """Softmax is worked out for many states at once, also where few texts are still open."""
+    model, r = noisy(dtype=np.float32)
+    calls = []
+    whole = L.Model.log_likelihood
+    monkeypatch.setattr(L.Model, "log_likelihood", lambda self, h, *a: calls.append(len(h)) or whole(self, h, *a))
+    texts = [r.integers(0, 25, n) for n in (40 * L.WINDOW, 5, 39 * L.WINDOW)]
+    assert np.isfinite(model.score(texts)).all()
+    assert calls == [sum(map(len, texts))]
+
+
+def test_large_weights_change_nothing_but_rounding():
+    """Where exp() might overflow, the largest logit is taken away first; elsewhere both ways agree."""
+    model, r = noisy(dtype=np.float32)
+    h, token = r.uniform(-1, 1, (200, 4)).astype(np.float32), r.integers(0, 25, 200)
+    *weights, calm = model.output()
+    assert calm
+    assert model.log_likelihood(h, token, (*weights, True)) == pytest.approx(model.log_likelihood(h, token, (*weights, False)), rel=1e-4)
+    model.class_w = model.class_w * np.float32(1000)
+    assert not model.output()[2]
+    assert np.isfinite(model.log_likelihood(h, token)).all()
+    grads, _, loss = model.gradients(token.reshape(20, 10), np.r_[np.full((1, 10), -1), token.reshape(20, 10)[:-1]], np.zeros((10, 4), np.float32), np.ones((20, 10), bool))
+    assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grads.values())
+
+
+def test_words_by_arrow_are_those_of_plain_splitting():
+    texts = [None, "", " ", "\n", " a  B\x0b\x0c\r\n", "".join(map(chr, range(1, 700))), "x\x00y \x1cz\x1d \x85\xa0\u2028 q", "\u0130\u212a \xc4 A", "a b " * 1000]
+    words, every, size = L.coded_words(L.pa.array(texts, L.pa.string()))
+    plain = [L.split_words(t) for t in texts]
+    assert np.array(words.to_pylist(), object)[every].tolist() == [w for own in plain for w in own]
+    assert size.tolist() == list(map(len, plain))
+    assert L.buckets(words).tolist() == [zlib.crc32(w[-3:]) % L.BUCKETS for w in words.to_pylist()]
+    assert L.hashes(words).tolist() == [L.xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words.to_pylist()]
+    part = L.coded_words(L.pa.array(texts, L.pa.string())[4:7])
+    assert part[2].tolist() == size[4:7].tolist()
+
+
+def test_batches_are_put_together_by_their_tokens():
+    batches = [L.pd.DataFrame({"tokens": [b"ab" * n], "row": [n]}) for n in (3, 4, 5, 20, 1)] + [L.pd.DataFrame({"tokens": [], "row": []})]
+    assert [b["row"].tolist() for b in L._gathered(iter(batches), 7)] == [[3, 4], [5, 20], [1]]
