@@ -59,3 +59,19 @@ def test_known_companies_in_file_names(spark):
     rows = spark.createDataFrame([("x/[Foo]_AcmeEnergy_2024.xml", "Foo"), ("x/[Bar]_1.xml", "Bar"), ("x/[Bar]_1.xml", "Bar")], "source_file string, corp_name string")
     known = spark.createDataFrame([("Acme", "A"), ("AcmeEnergy", "E")], "alias string, name string")
     assert sorted(r.corp_name for r in filings.with_companies(rows, known).collect()) == ["Bar", "Bar", "E"]
+
+
+@pytest.mark.parametrize("bits", [aliases.MAP, aliases.BLOCK])
+def test_a_map_that_lets_too_much_through_loses_nothing(spark, monkeypatch, bits):
+    """With one block for thousands of aliases almost any part may be one; texts are cut into many pieces."""
+    monkeypatch.setattr(aliases, "MAP", bits)
+    monkeypatch.setattr(aliases, "PIECE", 64)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdeé한😀") for _ in range(n))
+    names = [(word(rng.randint(4, 12)), f"n{i}") for i in range(5000)] + [("x" * 40, "long"), ("x" * 40 + "yz", "longer"), ("x" * 31, "under"), ("x" * 32, "at")]
+    texts = [(i, word(rng.randint(0, 200))) for i in range(150)] + [(200 + n, word(70) + "x" * n + word(70)) for n in range(28, 44)] + [(300, "x" * 41 + "yz"), (301, None), (302, "")]
+    rows, known = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(names, "alias string, name string")
+    got = {r.id: (r.alias, r.name) for r in aliases.longest_in(rows, "id", F.col("t"), known, 0).collect()}
+    assert got == plain(texts, names)
+    every = [tuple(r) for r in aliases.contained(rows, "id", F.col("t"), known, 0).collect()]
+    assert sorted(every) == sorted({(k, a, n) for k, t in texts for a, n in names if t and a in t})

@@ -1,6 +1,7 @@
 """Plans that hold when tables grow: what is broadcast, what is shuffled, what a task holds."""
 
 import io
+import random
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -108,3 +109,16 @@ def test_the_pruned_search_keeps_postings_of_asked_terms_and_no_hits(spark, tmp_
     want = retrieval.top(retrieval.bm25(docs, queries).withColumn("score", F.round("score", 5)), 5, "qid", "score", "doc_id", "rank")
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.select("qid", "doc_id", "score", "rank").collect()))
     assert max(sizes.values()) == 3 * 400 and all(n <= 30 * 5 for name, n in sizes.items() if name != "postings")
+
+
+def test_texts_are_not_shuffled_gram_by_gram(spark, tmp_path):
+    """Beyond a dictionary to broadcast, only the parts of texts that may be aliases are shuffled."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    names = [(word(rng.randint(5, 14)), f"n{i}") for i in range(300)]
+    rows = [(i, word(300) + names[i % 300][0] + word(300)) for i in range(1000)]
+    texts, known = files(spark, tmp_path, rows, "k long, t string", "texts"), files(spark, tmp_path, names, "alias string, name string", "names")
+    before = shuffled(spark)
+    got = {r.k: len(r.alias) for r in aliases.longest_in(texts, "k", F.col("t"), known, most=0).collect()}
+    assert shuffled(spark) - before < sum(len(t) for _, t in rows)
+    assert got == {i: max(len(a) for a, _ in names if a in t) for i, t in rows}
